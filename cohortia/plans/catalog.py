@@ -312,7 +312,7 @@ def missingness_by_split(v: Views) -> DataFrame:
 @query
 def table_one_continuous(v: Views) -> DataFrame:
     table = report.table_one_continuous(v.split_features(), ["HAQ0", "CDAI0", "Weight", "Height", "price", "eleven"])
-    return table.drop("p_value")
+    return table.drop("p_value").withColumns({name: F.round(name, 4) for name in ("mean", "sd")})
 
 
 @query
