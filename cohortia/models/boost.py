@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -119,7 +119,11 @@ class Boosting:
         self.max_bins, self.refresh = max_bins, refresh
         self.edges = edges or bin_edges(df, self.features, row_id, max_bins)
         rows = binned(df, self.features, self.edges, row_id, label, fold, len(self.fits), max_bins)
-        self.rows = cut_lineage(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = cut_lineage(rows)
+        tasks = self.spark.sparkContext.defaultParallelism
+        if rows.rdd.getNumPartitions() < tasks:
+            rows = rows.repartition(tasks, "key")
+        self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         self.active = [True] * len(self.fits)
         self.trees: list[list[Tree]] = [[] for _ in self.fits]
         # Trees already added to the stored margins.
@@ -187,7 +191,8 @@ class Boosting:
 
     def _best_splits(self, growing: dict[int, Tree], open_nodes: dict[int, list[int]]) -> dict:
         """Best split of each open node: one Spark job, one result row per node."""
-        rows = _split_rows(self._histograms(growing, open_nodes), {m: self.fits[m].params for m in growing}, self.max_bins)
+        params = {m: self.fits[m].params for m in growing}
+        rows = _split_rows(self._histograms(growing, open_nodes), params, self.max_bins)
         return {(row["model"], row["node"]): row for row in rows.collect()}
 
     def _histograms(self, growing: dict[int, Tree], open_nodes: dict[int, list[int]]) -> DataFrame:
@@ -345,87 +350,66 @@ def _node_rows(model_id: int, t: int, tree: Tree, features: Sequence[str], edges
     return rows
 
 
+# One statement per level: the plan is built in one step, which matters at a job per level.
+SPLIT_SQL = """
+WITH summed AS (
+  SELECT model, node, feature, bin, sum(g) AS g, sum(h) AS h
+  FROM (SELECT /*+ REPARTITION(model, node, feature) */ * FROM {cells})
+  GROUP BY model, node, feature, bin),
+placed AS (
+  SELECT model, node, feature, bin,
+         sum(g) OVER w AS g, sum(h) OVER w AS h,
+         sum(if(bin = {missing}, g, 0L)) OVER w AS gm, sum(if(bin = {missing}, h, 0L)) OVER w AS hm,
+         sum(g) OVER upto AS gl,
+         sum(h) OVER upto AS hl
+  FROM summed
+  WINDOW w AS (PARTITION BY model, node, feature),
+         upto AS (PARTITION BY model, node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sided AS (
+  SELECT model, node, feature, bin, g, h,
+         inline(array(named_struct('default_left', 0, 'gl', gl, 'hl', hl),
+                      named_struct('default_left', 1, 'gl', gl + gm, 'hl', hl + hm)))
+  FROM placed),
+gained AS (
+  SELECT *, g - gl AS gr, h - hl AS hr,
+         pow(gl / {unit}, 2) / (hl / {unit} + {shrink}) + pow((g - gl) / {unit}, 2) / ((h - hl) / {unit} + {shrink})
+         - pow(g / {unit}, 2) / (h / {unit} + {shrink}) AS gain
+  FROM sided WHERE h > 0),
+best AS (
+  SELECT model, node, max(g) AS g, max(h) AS h,
+         max(struct(gain, -feature AS f, -bin AS b, -default_left AS d, gl, hl, gr, hr)) FILTER (
+           WHERE bin < {missing} AND hl > 0 AND hr > 0 AND least(hl, hr) >= {least} * {unit}
+             AND gain > {least_gain} AND gain >= {gamma}) AS s
+  FROM gained GROUP BY model, node)
+SELECT model, node, g, h, -s.f AS feature, -s.b AS bin, -s.d AS default_left, s.gain, s.gl, s.hl, s.gr, s.hr FROM best
+"""
+
+
 def _split_rows(cells: DataFrame, params: dict[int, BoostParams], missing: int) -> DataFrame:
     """Best split per (model, node), NULL feature where none is good enough.
 
-    All groups are bounded by the number of bins and features, not by the rows.
+    Sums and the window share one exchange, by feature.  All groups are bounded by the number of
+    bins and features, not by the rows.  Ties go to the first feature, the lowest bin and, for
+    missing values, the right side.
     """
-    keys = ["model", "node", "feature"]
-    # Partitioned by feature first, so that the sums and the window share one exchange.
-    summed = cells.repartition(*keys).groupBy(*keys, "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    absent = F.col("bin") == missing
-    nothing = F.lit(0).cast("bigint")
-    placed = summed.select(
-        *keys,
-        "bin",
-        F.sum("g").over(group).alias("g"),
-        F.sum("h").over(group).alias("h"),
-        F.sum(F.when(absent, F.col("g")).otherwise(nothing)).over(group).alias("gm"),
-        F.sum(F.when(absent, F.col("h")).otherwise(nothing)).over(group).alias("hm"),
-        F.sum("g").over(upto).alias("gl"),
-        F.sum("h").over(upto).alias("hl"),
-    )
-    sides = F.array(
-        F.struct(F.lit(0).alias("default_left"), F.col("gl"), F.col("hl")),
-        F.struct(F.lit(1).alias("default_left"), (F.col("gl") + F.col("gm")).alias("gl"), (F.col("hl") + F.col("hm")).alias("hl")),
-    )
-    tried = placed.select(*keys, "bin", "g", "h", F.inline(sides)).withColumns(
-        {"gr": F.col("g") - F.col("gl"), "hr": F.col("h") - F.col("hl")}
-    )
 
-    def setting(name: str):
+    def setting(name: str) -> str:
         values = {m: float(getattr(p, name)) for m, p in params.items()}
         if len(set(values.values())) == 1:
-            return F.lit(next(iter(values.values())))
-        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("model")]
-
-    unit = float(GRID_UNIT)
-    shrink = setting("reg_lambda")
-
-    def quality(g: str, h: str):
-        scaled = F.col(g) / unit
-        return scaled * scaled / (F.col(h) / unit + shrink)
-
-    gain = quality("gl", "hl") + quality("gr", "hr") - quality("g", "h")
-    least = setting("min_child_weight") * unit
-    allowed = (
-        (F.col("bin") < missing)
-        & (F.col("hl") > 0)
-        & (F.col("hr") > 0)
-        & (F.col("hl") >= least)
-        & (F.col("hr") >= least)
-        & (gain > LEAST_GAIN)
-        & (gain >= setting("gamma"))
-    )
-    # Largest gain; on ties the first feature, the lowest bin, missing to the right.
-    ordered = F.struct(
-        gain.alias("gain"),
-        (-F.col("feature")).alias("f"),
-        (-F.col("bin")).alias("b"),
-        (-F.col("default_left")).alias("d"),
-        "gl",
-        "hl",
-        "gr",
-        "hr",
-    )
-    best = tried.groupBy("model", "node").agg(
-        F.max(F.when(allowed, ordered)).alias("s"), F.max("g").alias("g"), F.max("h").alias("h")
-    )
-    return best.select(
-        "model",
-        "node",
-        "g",
-        "h",
-        (-F.col("s.f")).alias("feature"),
-        (-F.col("s.b")).alias("bin"),
-        (-F.col("s.d")).alias("default_left"),
-        "s.gain",
-        "s.gl",
-        "s.hl",
-        "s.gr",
-        "s.hr",
+            return f"{next(iter(values.values()))!r}D"
+        return "map(" + ", ".join(f"{m}, {value!r}D" for m, value in values.items()) + ")[model]"
+
+    return cells.sparkSession.sql(
+        SPLIT_SQL.format(
+            cells="{cells}",
+            missing=missing,
+            unit=f"{GRID_UNIT}.0D",
+            shrink=setting("reg_lambda"),
+            least=setting("min_child_weight"),
+            gamma=setting("gamma"),
+            least_gain=f"{LEAST_GAIN!r}D",
+        ),
+        cells=cells,
     )
 
 

@@ -9,10 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import col
+from ..models.boost import fit_boost
+from ..models.params import BoostParams, param_grid
+from ..models.predict import collect_trees, predict
+from ..models.shap import expected_margin, margin_gap, shap_long, shap_scaled
+from ..models.tune import best_params, tune
 from ..operators import correction as corr
 from ..operators import eligibility as elig
 from ..operators import encode, explain, metrics, profile, report, split, visits
 from ..operators.bootstrap import auc_ci
+from ..operators.evaluate import evaluate, summary_rows
+from ..session import cut_lineage
 from ..sources.fixtures import (
     CATEGORICAL,
     CUTOFF_SITE,
@@ -415,3 +422,116 @@ def shap_top10_long(v: Views) -> DataFrame:
 @query
 def shap_top10_by_group(v: Views) -> DataFrame:
     return explain.top_by_group(v.shap_given(), v.row_groups())
+
+
+# --- evaluation bundle on a given score
+
+
+@query
+def evaluation_bundle(v: Views) -> DataFrame:
+    return evaluate(v.scored()).drop("kappa")
+
+
+@query
+def evaluation_summary(v: Views) -> DataFrame:
+    return summary_rows(evaluate(v.scored()))
+
+
+@query
+def evaluation_with_interval(v: Views) -> DataFrame:
+    return summary_rows(evaluate(v.scored(), reps=200))
+
+
+# --- trained models
+
+MODEL_FEATURES = [
+    "CDAI0",
+    "k7",
+    "month",
+    "price",
+    "Weight",
+    "treatment_group.1-URGENT",
+    "treatment_group.2-HIGH",
+    "treatment_group.3-MEDIUM",
+    "treatment_group.4-NOT SPECIFIED",
+    "treatment_group.5-LOW",
+]
+SMALL_MODEL = BoostParams(eta=0.3, max_depth=3, colsample_bytree=0.8, subsample=0.8)
+SMALL_ROUNDS = 4
+
+
+def _training(v: Views) -> DataFrame:
+    """Training table, written once: edges, rows, scores and attributions all read it."""
+    return cut_lineage(v.training())
+
+
+def _small_trees(rows: DataFrame) -> DataFrame:
+    return fit_boost(rows.where("split = 'train'"), MODEL_FEATURES, "y", "row_id", SMALL_MODEL, SMALL_ROUNDS)
+
+
+@query
+def boost_root_split(v: Views) -> DataFrame:
+    stump = BoostParams(eta=0.3, max_depth=1)
+    trees = fit_boost(_training(v).where("split = 'train'"), MODEL_FEATURES, "y", "row_id", stump, 1)
+    return trees.drop("model_id", "tree")
+
+
+@query
+def boost_trees(v: Views) -> DataFrame:
+    return _small_trees(_training(v))
+
+
+@query
+def boost_predict(v: Views) -> DataFrame:
+    rows = _training(v)
+    return predict(rows, _small_trees(rows), MODEL_FEATURES, keep=["row_id", "split", "y"])
+
+
+@query
+def boost_evaluation(v: Views) -> DataFrame:
+    rows = _training(v)
+    return evaluate(predict(rows, _small_trees(rows), MODEL_FEATURES, keep=["row_id", "split", "y"]))
+
+
+@query
+def tune_best(v: Views) -> DataFrame:
+    grid = param_grid(
+        eta=[0.1, 0.3],
+        max_depth=[2, 3],
+        gamma=[0.0],
+        colsample_bytree=[0.8],
+        min_child_weight=[1.0],
+        subsample=[0.8],
+        nrounds=[2, 4],
+    )
+    rows = _training(v).where("split = 'train'")
+    return best_params(tune(rows, MODEL_FEATURES, "y", "row_id", grid, folds=3, early_stop=2))
+
+
+@query
+def shap_long_model(v: Views) -> DataFrame:
+    rows = _training(v)
+    return shap_scaled(shap_long(rows, _small_trees(rows), MODEL_FEATURES, keep=["row_id"]))
+
+
+@query
+def shap_adds_up(v: Views) -> DataFrame:
+    rows = _training(v)
+    trees = _small_trees(rows)
+    expected = expected_margin(collect_trees(trees, MODEL_FEATURES), SMALL_MODEL.base_score)
+    scored = predict(rows, trees, MODEL_FEATURES, keep=["row_id"])
+    return margin_gap(shap_long(rows, trees, MODEL_FEATURES), scored, expected)
+
+
+@query
+def shap_high_score_mean(v: Views) -> DataFrame:
+    rows = _training(v)
+    shap = shap_long(metrics.sensitivity_subset(rows).where("split = 'train'"), _small_trees(rows), MODEL_FEATURES)
+    return explain.mean_abs_shap(shap)
+
+
+@query
+def shap_model_top_by_group(v: Views) -> DataFrame:
+    rows = _training(v)
+    shap = shap_long(rows.where("split = 'train'"), _small_trees(rows), MODEL_FEATURES)
+    return explain.top_by_group(shap, rows.select("row_id", "treatment_group"), n=3)

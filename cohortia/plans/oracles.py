@@ -512,3 +512,87 @@ SQL["shap_top10_by_group"] = f"""WITH {SHAP}, grouped AS (
 ranked AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY treatment_group ORDER BY mean_abs_shap DESC, variable) AS rank FROM grouped)
 SELECT treatment_group, variable, round(mean_abs_shap, 6) AS mean_abs_shap, rank FROM ranked WHERE rank <= 10"""
+
+# --- evaluation bundle
+
+BUNDLE = f"""{CHOSEN}, {auc_sql('scored', 'split')}, thresholds AS (
+  SELECT 'fixed' AS "at", 0.5 AS threshold UNION ALL SELECT 'trained', t FROM chosen),
+cells AS (
+  SELECT split, "at", CAST(threshold AS DOUBLE) AS threshold, COUNT(*) FILTER (WHERE y = 1 AND p > threshold) AS tp,
+         COUNT(*) FILTER (WHERE y = 0 AND p > threshold) AS fp, COUNT(*) FILTER (WHERE y = 1 AND p <= threshold) AS fn,
+         COUNT(*) FILTER (WHERE y = 0 AND p <= threshold) AS tn
+  FROM scored, thresholds GROUP BY 1, 2, 3),
+bundle AS (
+  SELECT c.*, auc, CAST(tp + fp + fn + tn AS DOUBLE) AS n, CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS sens,
+         CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0) AS spec
+  FROM cells c JOIN aucs a ON c.split = a.split)"""
+SQL["evaluation_bundle"] = f"""WITH {BUNDLE}
+SELECT split, "at", round(threshold, 6) AS threshold, tp, fp, fn, tn, round(sens, 6) AS sensitivity,
+       round(spec, 6) AS specificity, round(CAST(tp AS DOUBLE) / NULLIF(tp + fp, 0), 6) AS ppv,
+       round(CAST(tn AS DOUBLE) / NULLIF(tn + fn, 0), 6) AS npv,
+       round(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 6) AS f1, round(2.0 * tn / NULLIF(2 * tn + fp + fn, 0), 6) AS f1_neg,
+       round((sens + spec) / 2, 6) AS balanced_accuracy, round((tp + tn) / n, 6) AS accuracy,
+       round((tp + fn) / n, 6) AS prevalence, round(tp / n, 6) AS detection_rate,
+       round((tp + fp) / n, 6) AS detection_prevalence, round(auc, 6) AS auc
+FROM bundle"""
+SQL["evaluation_summary"] = f"""WITH {BUNDLE}
+SELECT split, format('{{:.3f}}', auc) AS auc, format('{{:.3f}}', 2.0 * tp / (2 * tp + fp + fn)) AS f1_positive,
+       format('{{:.3f}}', 2.0 * tn / (2 * tn + fp + fn)) AS f1_negative, format('{{:.3f}}', threshold) AS threshold,
+       format('{{:.3f}}', sens) AS tpr, format('{{:.3f}}', 1 - spec) AS fpr
+FROM bundle WHERE "at" = 'trained'"""
+
+# --- the first split of a model: gradients are 0.5 - y, curvatures 0.25
+
+DUMMY_LEVELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+MODEL_COLUMNS = {
+    "CDAI0": "CDAI0",
+    "k7": "CAST(k7 AS DOUBLE)",
+    "month": "CAST(mon AS DOUBLE)",
+    "price": "price",
+    "Weight": "Weight",
+    **{f"treatment_group.{level}": f"CASE WHEN grp = '{level}' THEN 1.0 ELSE 0.0 END" for level in DUMMY_LEVELS},
+}
+MODEL_ROWS = f"""model_rows AS (
+  SELECT o_orderkey AS row_id, CAST(o_totalprice / 10000 + o_orderkey % 7 < 12 AS BIGINT) AS y2,
+         CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_orderpriority END AS grp,
+         CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_totalprice / 10000.0 END AS CDAI0,
+         o_orderkey % 7 AS k7, month(o_orderdate) AS mon, c_acctbal / 100 AS Weight,
+         CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE o_totalprice END AS price,
+         CASE WHEN o_custkey % 101 = 0 THEN NULL ELSE n_name END AS Code
+  FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey),
+{split_of('model_rows', 'y2')},
+long AS ({" UNION ALL ".join(
+    f"SELECT {i} AS f, '{name}' AS feature, CAST({value} AS DOUBLE) AS x, 0.5 - y2 AS g FROM splits WHERE split = 'train'"
+    for i, (name, value) in enumerate(MODEL_COLUMNS.items()))})"""
+SQL["boost_root_split"] = f"""WITH {MODEL_ROWS},
+vals AS (
+  SELECT f, feature, x, COUNT(*) AS c, CAST(SUM(g) AS DOUBLE) AS g FROM long WHERE x IS NOT NULL GROUP BY f, feature, x),
+spaced AS (
+  SELECT *, (x + LEAD(x) OVER w) / 2 AS edge, COUNT(*) OVER (PARTITION BY f) AS kinds,
+         SUM(c) OVER (PARTITION BY f) AS total, SUM(c) OVER w AS upto, SUM(c) OVER w AS nl, SUM(g) OVER w AS gl
+  FROM vals WINDOW w AS (PARTITION BY f ORDER BY x)),
+edges AS (
+  SELECT f, feature, edge, CAST(nl AS DOUBLE) AS nl, gl FROM spaced
+  WHERE edge IS NOT NULL AND (kinds <= 64 OR (upto * 64) // total > ((upto - c) * 64) // total)),
+sums AS (
+  SELECT f, feature, CAST(COUNT(*) AS DOUBLE) AS n, CAST(SUM(g) AS DOUBLE) AS g,
+         CAST(COUNT(*) FILTER (WHERE x IS NULL) AS DOUBLE) AS nm,
+         COALESCE(CAST(SUM(g) FILTER (WHERE x IS NULL) AS DOUBLE), 0.0) AS gm
+  FROM long GROUP BY f, feature),
+cuts AS (
+  SELECT * FROM edges
+  UNION ALL SELECT f, feature, CAST('Infinity' AS DOUBLE), n - nm, g - gm FROM sums),
+tried AS (
+  SELECT c.f, c.feature, edge, d, n, g, CASE WHEN d = 1 THEN nl + nm ELSE nl END AS n1,
+         CASE WHEN d = 1 THEN gl + gm ELSE gl END AS g1
+  FROM cuts c JOIN sums s ON c.f = s.f JOIN (SELECT 0 AS d UNION ALL SELECT 1) sides ON TRUE),
+gained AS (
+  SELECT *, g1 * g1 / (n1 / 4 + 1) + (g - g1) * (g - g1) / ((n - n1) / 4 + 1) - g * g / (n / 4 + 1) AS gain
+  FROM tried WHERE n1 / 4 >= 1 AND (n - n1) / 4 >= 1),
+best AS (SELECT * FROM gained ORDER BY gain DESC, f, edge, d LIMIT 1)
+SELECT CAST(1 AS BIGINT) AS node, feature, round(edge, 6) AS split_value, CAST(d AS BIGINT) AS default_left,
+       CAST(NULL AS DOUBLE) AS value, round(gain, 6) AS gain, round(n / 4, 6) AS cover FROM best
+UNION ALL
+SELECT 2, NULL, NULL, NULL, round(-0.3 * g1 / (n1 / 4 + 1), 6), NULL, round(n1 / 4, 6) FROM best
+UNION ALL
+SELECT 3, NULL, NULL, NULL, round(-0.3 * (g - g1) / ((n - n1) / 4 + 1), 6), NULL, round((n - n1) / 4, 6) FROM best"""
