@@ -198,9 +198,14 @@ def cohort_flow(v: Views) -> DataFrame:
 # --- profiling and encoding
 
 
+def _features(v: Views) -> DataFrame:
+    """The feature table, written once, for queries that read it more than once."""
+    return cut_lineage(v.features())
+
+
 @query
 def cardinality_profile(v: Views) -> DataFrame:
-    return profile.profile_cardinality(v.features())
+    return profile.profile_cardinality(_features(v))
 
 
 @query
@@ -220,14 +225,14 @@ def level_table(v: Views) -> DataFrame:
 
 @query
 def one_hot(v: Views) -> DataFrame:
-    filled = encode.fill_missing_level(v.features(), CATEGORICAL).select("row_id", *CATEGORICAL)
+    filled = encode.fill_missing_level(_features(v), CATEGORICAL).select("row_id", *CATEGORICAL)
     return encode.one_hot(filled, CATEGORICAL)
 
 
 @query
 def ordinal_encode(v: Views) -> DataFrame:
     columns = ["four", "ten_null", "segment", "treatment_group"]
-    return encode.ordinal_encode(encode.cast_bools(v.features()), columns).select("row_id", "every_third", *columns)
+    return encode.ordinal_encode(encode.cast_bools(_features(v)), columns).select("row_id", "every_third", *columns)
 
 
 @query
@@ -259,27 +264,27 @@ def feature_matrix(v: Views) -> DataFrame:
 
 @query
 def aligned_features(v: Views) -> DataFrame:
-    features = v.features()
+    features = _features(v)
     encoded = encode.ordinal_encode(features, ["segment"]).select("row_id", F.col("segment").alias("segment_code"))
     return encode.align(features.select("row_id", "segment"), encoded)
 
 
 @query
 def aligned_row_counts(v: Views) -> DataFrame:
-    features = v.features()
+    features = _features(v)
     return encode.unmatched_rows(features.select("row_id"), encode.nan_to_null(features).select("row_id"))
 
 
 @query
 def feature_subset_top(v: Views) -> DataFrame:
-    filled = encode.fill_missing_level(v.features(), ["segment", "p_type"])
+    filled = encode.fill_missing_level(_features(v), ["segment", "p_type"])
     encoded = encode.one_hot(filled, ["segment", "p_type"])
     return encode.feature_subset(encoded, ["HAQ0", "CDAI0", "segment", "Pain"], ["row_id", "CDAI_response"])
 
 
 @query
 def near_zero_variance(v: Views) -> DataFrame:
-    return profile.near_zero_var(v.features(), [*NUMERIC, "constant", "all_null", "priority"])
+    return profile.near_zero_var(_features(v), [*NUMERIC, "constant", "all_null", "priority"])
 
 
 # --- split and reports
@@ -329,7 +334,7 @@ def table_one_categorical(v: Views) -> DataFrame:
 
 @query
 def table_one_p_values(v: Views) -> DataFrame:
-    rows = v.split_features()
+    rows = cut_lineage(v.split_features())
     means = report.table_one_continuous(rows, ["HAQ0", "CDAI0", "Weight"]).select("variable", "p_value")
     levels = report.table_one_categorical(rows, CATEGORICAL).select("variable", "p_value")
     return means.unionByName(levels).distinct()

@@ -535,10 +535,11 @@ SELECT split, "at", round(threshold, 6) AS threshold, tp, fp, fn, tn, round(sens
        round((tp + fn) / n, 6) AS prevalence, round(tp / n, 6) AS detection_rate,
        round((tp + fp) / n, 6) AS detection_prevalence, round(auc, 6) AS auc
 FROM bundle"""
+THREE = "format('{{:.3f}}', round({}, 3))"
 SQL["evaluation_summary"] = f"""WITH {BUNDLE}
-SELECT split, format('{{:.3f}}', auc) AS auc, format('{{:.3f}}', 2.0 * tp / (2 * tp + fp + fn)) AS f1_positive,
-       format('{{:.3f}}', 2.0 * tn / (2 * tn + fp + fn)) AS f1_negative, format('{{:.3f}}', threshold) AS threshold,
-       format('{{:.3f}}', sens) AS tpr, format('{{:.3f}}', 1 - spec) AS fpr
+SELECT split, {THREE.format("auc")} AS auc, {THREE.format("2.0 * tp / (2 * tp + fp + fn)")} AS f1_positive,
+       {THREE.format("2.0 * tn / (2 * tn + fp + fn)")} AS f1_negative, {THREE.format("threshold")} AS threshold,
+       {THREE.format("sens")} AS tpr, {THREE.format("1 - spec")} AS fpr
 FROM bundle WHERE "at" = 'trained'"""
 
 # --- the first split of a model: gradients are 0.5 - y, curvatures 0.25

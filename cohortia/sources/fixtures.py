@@ -38,9 +38,13 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder
+        self.read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A given table; its footer is read once per set of views."""
+        if name not in self.read:
+            self.read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.read[name]
 
     def raw_visits(self) -> DataFrame:
         return self.table("orders").select(
