@@ -88,10 +88,26 @@ def predict(
             for tree in forest:
                 margin += tree_values(values, tree)
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(1.0 / (1.0 + np.exp(-margin)))], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(1.0 / (1.0 + np.exp(-margin)))], names=[*plain_names(keep), "p"]
+            )
 
-    source = df.select(
-        *[col(c) for c in keep], *[col(f).cast("double").alias(x) for f, x in zip(features, inputs, strict=True)]
+    schema = T.StructType([*plain_fields(df, keep), T.StructField("p", T.DoubleType())])
+    return plain_source(df, keep, features, inputs).mapInArrow(score, schema).toDF(*keep, name)
+
+
+def plain_names(keep: Sequence[str]) -> list[str]:
+    """Stand-ins for kept column names, which may hold dots."""
+    return [f"__k{i}" for i in range(len(keep))]
+
+
+def plain_fields(df: DataFrame, keep: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(plain, df.schema[c].dataType) for c, plain in zip(keep, plain_names(keep), strict=True)]
+
+
+def plain_source(df: DataFrame, keep: Sequence[str], features: Sequence[str], inputs: Sequence[str]) -> DataFrame:
+    """Kept columns and features as doubles under stand-in names."""
+    return df.select(
+        *[col(c).alias(plain) for c, plain in zip(keep, plain_names(keep), strict=True)],
+        *[col(f).cast("double").alias(x) for f, x in zip(features, inputs, strict=True)],
     )
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.DoubleType())])
-    return source.mapInArrow(score, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.nulls import col
 from .binning import matrix
-from .predict import RawTree, collect_trees
+from .predict import RawTree, collect_trees, plain_fields, plain_names, plain_source
 
 ROWS_AT_ONCE = 65_536
 
@@ -111,15 +111,12 @@ def shap_wide(
                 values = matrix(batch, inputs)
                 kept = [batch.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, lists(attributions(values, forest)), lists(values)], names=[*keep, "phi", "x"]
+                    [*kept, lists(attributions(values, forest)), lists(values)], names=[*plain_names(keep), "phi", "x"]
                 )
 
-    source = df.select(
-        *[col(c) for c in keep], *[col(f).cast("double").alias(x) for f, x in zip(features, inputs, strict=True)]
-    )
     doubles = T.ArrayType(T.DoubleType())
-    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("phi", doubles), T.StructField("x", doubles)])
-    return source.mapInArrow(explain, schema)
+    schema = T.StructType([*plain_fields(df, keep), T.StructField("phi", doubles), T.StructField("x", doubles)])
+    return plain_source(df, keep, features, inputs).mapInArrow(explain, schema).toDF(*keep, "phi", "x")
 
 
 def shap_long(

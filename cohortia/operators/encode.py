@@ -62,6 +62,8 @@ def collect_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVEL
     """
     columns = list(columns)
     levels: dict[str, list] = {name: [] for name in columns}
+    if not columns:
+        return levels
     known = level_table(df, columns).where("level IS NOT NULL").select("variable", "level")
     rows = known.limit(limit * len(columns) + 1).collect()
     for row in rows:
@@ -98,6 +100,8 @@ def ordinal_encode(
     """Codes in level order, starting at ``base``; missing stays missing."""
     levels = collect_levels(df, columns) if levels is None else levels
     codes = {name: {str(level): base + i for i, level in enumerate(levels[name])} for name in columns}
+    if not columns:
+        return df
     return df.withColumns(
         {
             name: (lookup(col(name).cast("string"), codes[name]) if codes[name] else F.lit(None)).cast("double")

@@ -111,27 +111,19 @@ def prepare(cohort: DataFrame, settings: StudySettings) -> tuple[DataFrame, Data
     tables all read it again.
     """
     keys = [settings.row_id, "Code", TARGET]
-    pruned = profile.prune_columns(profile.drop_types(cohort.withColumn("__row", F.col(settings.row_id))),
-                                   [c for c in settings.excluded_columns if c not in keys])
+    excluded = [name for name in settings.excluded_columns if name not in keys]
+    readable = cut_lineage(profile.prune_columns(profile.drop_types(cohort), excluded))
     hold_out = split.HoldOut("Code", settings.external_sites)
-    readable = cut_lineage(pruned.drop(settings.row_id).withColumnRenamed("__row", settings.row_id))
-    readable = cut_lineage(
-        split.assign_split(readable, TARGET, settings.row_id, str(settings.seed), hold_out)
-    )
-
-    encoded_columns = [c for c in settings.encoded_columns if c in readable.columns]
-    kinds = profile.classify_columns(readable.drop(*keys, "split"))
-    other = [
-        f.name
-        for f in readable.schema.fields
-        if isinstance(f.dataType, T.StringType) and f.name not in (*keys, "split", *encoded_columns)
-        and kinds.get(f.name) == "categorical"
-    ]
-    filled = encode.fill_missing_level(encode.cast_bools(readable), encoded_columns)
-    coded = encode.ordinal_encode(filled, other) if other else filled
-    levels = encode.collect_levels(coded, encoded_columns) if encoded_columns else {}
-    single = [c for c in encoded_columns if len(levels[c]) < 2]
-    encoded = encode.one_hot(coded, encoded_columns, levels).drop(*single)
+    readable = cut_lineage(split.assign_split(readable, TARGET, settings.row_id, str(settings.seed), hold_out))
+
+    one_hot = [name for name in settings.encoded_columns if name in readable.columns]
+    kinds = profile.classify_columns(readable.drop(*keys, "split", *one_hot))
+    logical = {f.name for f in readable.schema.fields if isinstance(f.dataType, T.BooleanType)}
+    ordinal = [name for name, kind in kinds.items() if kind == "categorical" and name not in logical]
+    filled = encode.cast_bools(encode.fill_missing_level(readable, one_hot))
+    levels = encode.collect_levels(filled, [*one_hot, *ordinal])
+    single = [name for name in one_hot if len(levels[name]) < 2]
+    encoded = encode.one_hot(encode.ordinal_encode(filled, ordinal, levels), one_hot, levels).drop(*single)
     return readable, encode.nan_to_null(encoded)
 
 
