@@ -119,14 +119,23 @@ def shap_wide(
     return plain_source(df, keep, features, inputs).mapInArrow(explain, schema).toDF(*keep, "phi", "x")
 
 
+def long_form(wide: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row per row and feature: variable, attribution, feature value, beside the kept columns."""
+    keep = [name for name in wide.columns if name not in ("phi", "x")]
+    names = F.array(*[F.lit(name) for name in features])
+    cells = F.arrays_zip(names.alias("variable"), F.col("phi").alias("value"), F.col("x").alias("rfvalue"))
+    return wide.select(*[col(c) for c in keep], F.inline(cells)).toDF(*keep, "variable", "value", "rfvalue")
+
+
 def shap_long(
     df: DataFrame, trees: DataFrame, features: Sequence[str], keep: Sequence[str] = ("row_id",), model_id: int = 0
 ) -> DataFrame:
-    """One row per row and feature: variable, attribution, feature value."""
-    names = F.array(*[F.lit(name) for name in features])
-    wide = shap_wide(df, trees, features, keep, model_id).withColumn("variable", names)
-    cells = F.arrays_zip("variable", F.col("phi").alias("value"), F.col("x").alias("rfvalue"))
-    return wide.select(*[col(c) for c in keep], F.inline(cells)).toDF(*keep, "variable", "value", "rfvalue")
+    """Attributions in long form.
+
+    Columns a later step groups or filters by are best kept here: they then need no join with a
+    table that has one row per row and feature.
+    """
+    return long_form(shap_wide(df, trees, features, keep, model_id), features)
 
 
 def shap_scaled(long: DataFrame) -> DataFrame:
@@ -140,9 +149,8 @@ def shap_scaled(long: DataFrame) -> DataFrame:
     return joined.withColumn("stdfvalue", scaled).drop("__low", "__high")
 
 
-def margin_gap(long: DataFrame, scored: DataFrame, expected: float, on: str = "row_id", score: str = "p") -> DataFrame:
-    """Largest distance between a row's margin and the sum of its attributions."""
-    sums = long.groupBy(on).agg(F.sum("value").alias("__sum"))
+def margin_gap(wide: DataFrame, expected: float, score: str = "p") -> DataFrame:
+    """Largest distance between a row's margin and its attributions plus the expected margin."""
     margin = F.log(F.col(score) / (1 - F.col(score)))
-    gap = F.abs(margin - F.col("__sum") - expected)
-    return scored.join(sums, on).agg(F.count(F.lit(1)).alias("n_rows"), F.max(gap).alias("max_gap"))
+    total = F.aggregate("phi", F.lit(expected), lambda sum_, value: sum_ + value)
+    return wide.agg(F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(margin - total)).alias("max_gap"))

@@ -45,9 +45,17 @@ def top_n_per_group(df: DataFrame, by: str, order: str, n: int = TOP_N, tie: str
     return df.withColumn("rank", F.row_number().over(window).cast("bigint")).where(F.col("rank") <= n)
 
 
+def rank_by_group(labelled: DataFrame, group: str = "treatment_group", n: int = TOP_N) -> DataFrame:
+    """Top variables within each group of attributions that carry their row's group.
+
+    Columns encoded from the group itself are not ranked; rows without a group are left out.
+    """
+    known = drop_prefix(labelled, f"{group}.").where(F.col(group).isNotNull())
+    return top_n_per_group(mean_abs_shap(known, [group]), group, "mean_abs_shap", n)
+
+
 def top_by_group(
     shap: DataFrame, groups: DataFrame, group: str = "treatment_group", n: int = TOP_N, on: str = "row_id"
 ) -> DataFrame:
-    """Top variables within each group, the group's own encoded columns not ranked."""
-    labelled = attach_group(drop_prefix(shap, f"{group}."), groups, on, group)
-    return top_n_per_group(mean_abs_shap(labelled, [group]), group, "mean_abs_shap", n)
+    """As ``rank_by_group`` for attributions whose groups are in another table."""
+    return rank_by_group(attach_group(drop_prefix(shap, f"{group}."), groups, on, group), group, n)

@@ -34,6 +34,22 @@ def hot_groups(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> DataFr
     return sizes.where((F.col("__n") > rows) & (F.col("__n") * HOT_SHARE > total)).select(*by)
 
 
+def join_sized(
+    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Inner join with a table of one row per key that also counts the key's ``rows`` in ``size``.
+
+    A key that holds more than 1/100,000 of all rows gets its row by broadcast (fewer than
+    100,000 such keys exist), where the rows lie; all others meet in a shuffle whose
+    partitions no single key can fill.
+    """
+    keys = list(keys)
+    total = per_key.agg(F.sum(size).alias("__total")).scalar()
+    hot = per_key.where((F.col(size) > hot_rows) & (F.col(size) * HOT_SHARE > total))
+    ordinary = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key, keys)
+    return ordinary.unionByName(rows.join(F.broadcast(hot), keys)).drop(size)
+
+
 def numbered(
     df: DataFrame, by: Sequence[str], order: str, tie: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

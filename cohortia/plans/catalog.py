@@ -12,7 +12,7 @@ from ..functions.nulls import col
 from ..models.boost import fit_boost
 from ..models.params import BoostParams, param_grid
 from ..models.predict import collect_trees, predict
-from ..models.shap import expected_margin, margin_gap, shap_long, shap_scaled
+from ..models.shap import expected_margin, margin_gap, shap_long, shap_scaled, shap_wide
 from ..models.tune import best_params, tune
 from ..operators import correction as corr
 from ..operators import eligibility as elig
@@ -481,6 +481,17 @@ def boost_root_split(v: Views) -> DataFrame:
     return trees.drop("model_id", "tree")
 
 
+@query
+def stump_attributions(v: Views) -> DataFrame:
+    """Scores and attributions of the one-split model, simple enough to restate in SQL."""
+    rows = _training(v)
+    stump = BoostParams(eta=0.3, max_depth=1)
+    trees = cut_lineage(fit_boost(rows.where("split = 'train'"), MODEL_FEATURES, "y", "row_id", stump, 1))
+    scored = predict(rows, trees, MODEL_FEATURES)
+    long = shap_long(scored, trees, MODEL_FEATURES, keep=["row_id", "p"])
+    return long.where("value <> 0").drop("rfvalue")
+
+
 @query
 def boost_trees(v: Views) -> DataFrame:
     return _small_trees(_training(v))
@@ -524,8 +535,8 @@ def shap_adds_up(v: Views) -> DataFrame:
     rows = _training(v)
     trees = _small_trees(rows)
     expected = expected_margin(collect_trees(trees, MODEL_FEATURES), SMALL_MODEL.base_score)
-    scored = predict(rows, trees, MODEL_FEATURES, keep=["row_id"])
-    return margin_gap(shap_long(rows, trees, MODEL_FEATURES), scored, expected)
+    scored = predict(rows, trees, MODEL_FEATURES)
+    return margin_gap(shap_wide(scored, trees, MODEL_FEATURES, keep=["row_id", "p"]), expected)
 
 
 @query
@@ -538,5 +549,6 @@ def shap_high_score_mean(v: Views) -> DataFrame:
 @query
 def shap_model_top_by_group(v: Views) -> DataFrame:
     rows = _training(v)
-    shap = shap_long(rows.where("split = 'train'"), _small_trees(rows), MODEL_FEATURES)
-    return explain.top_by_group(shap, rows.select("row_id", "treatment_group"), n=3)
+    kept = ["row_id", "treatment_group"]
+    shap = shap_long(rows.where("split = 'train'"), _small_trees(rows), MODEL_FEATURES, keep=kept)
+    return explain.rank_by_group(shap, n=3)

@@ -565,7 +565,7 @@ MODEL_ROWS = f"""model_rows AS (
 long AS ({" UNION ALL ".join(
     f"SELECT {i} AS f, '{name}' AS feature, CAST({value} AS DOUBLE) AS x, 0.5 - y2 AS g FROM splits WHERE split = 'train'"
     for i, (name, value) in enumerate(MODEL_COLUMNS.items()))})"""
-SQL["boost_root_split"] = f"""WITH {MODEL_ROWS},
+STUMP = f"""{MODEL_ROWS},
 vals AS (
   SELECT f, feature, x, COUNT(*) AS c, CAST(SUM(g) AS DOUBLE) AS g FROM long WHERE x IS NOT NULL GROUP BY f, feature, x),
 spaced AS (
@@ -590,10 +590,21 @@ tried AS (
 gained AS (
   SELECT *, g1 * g1 / (n1 / 4 + 1) + (g - g1) * (g - g1) / ((n - n1) / 4 + 1) - g * g / (n / 4 + 1) AS gain
   FROM tried WHERE n1 / 4 >= 1 AND (n - n1) / 4 >= 1),
-best AS (SELECT * FROM gained ORDER BY gain DESC, f, edge, d LIMIT 1)
+best AS (SELECT * FROM gained ORDER BY gain DESC, f, edge, d LIMIT 1)"""
+SQL["boost_root_split"] = f"""WITH {STUMP}
 SELECT CAST(1 AS BIGINT) AS node, feature, round(edge, 6) AS split_value, CAST(d AS BIGINT) AS default_left,
        CAST(NULL AS DOUBLE) AS value, round(gain, 6) AS gain, round(n / 4, 6) AS cover FROM best
 UNION ALL
 SELECT 2, NULL, NULL, NULL, round(-0.3 * g1 / (n1 / 4 + 1), 6), NULL, round(n1 / 4, 6) FROM best
 UNION ALL
 SELECT 3, NULL, NULL, NULL, round(-0.3 * (g - g1) / ((n - n1) / 4 + 1), 6), NULL, round((n - n1) / 4, 6) FROM best"""
+SQL["stump_attributions"] = f"""WITH {STUMP},
+every AS ({" UNION ALL ".join(
+    f"SELECT row_id, '{name}' AS variable, CAST({value} AS DOUBLE) AS x FROM splits" for name, value in MODEL_COLUMNS.items())}),
+leaves AS (
+  SELECT *, -0.3 * g1 / (n1 / 4 + 1) AS left_value, -0.3 * (g - g1) / ((n - n1) / 4 + 1) AS right_value FROM best),
+scored AS (
+  SELECT row_id, variable, CASE WHEN (x IS NULL AND d = 1) OR x < edge THEN left_value ELSE right_value END AS leaf,
+         (n1 * left_value + (n - n1) * right_value) / n AS expected
+  FROM every JOIN leaves ON variable = feature)
+SELECT row_id, variable, round(leaf - expected, 6) AS value, round(1 / (1 + exp(-leaf)), 6) AS p FROM scored"""

@@ -23,7 +23,7 @@ from ..models.params import (
     param_grid,
 )
 from ..models.predict import predict
-from ..models.shap import shap_long
+from ..models.shap import long_form, shap_long, shap_wide
 from ..models.tune import chosen_params, tune
 from ..operators import correction as corr
 from ..operators import eligibility as elig
@@ -192,9 +192,11 @@ def run_study(
     ).join(metrics.auc(metrics.sensitivity_subset(beyond, SCORE), TARGET, by=["split"]).select("split", "auc"), "split")
     results["subgroups"] = metrics.subgroup_metrics(beyond, threshold, GROUP, TARGET, by=["split"])
 
-    shap = cut_lineage(shap_long(train, trees, features, keep=[row_id]))
+    # Attributions are kept as one array per row, with the group and score later steps ask for.
+    labelled = encode.align(train, facts.withColumnRenamed(SCORE, "baseline_score"), row_id)
+    wide = cut_lineage(shap_wide(labelled, trees, features, keep=[row_id, GROUP, "baseline_score"]))
+    shap = long_form(wide, features)
     results["shap_top"] = explain.top_variables(shap)
-    high = metrics.sensitivity_subset(scored.where("split = 'train'"), SCORE).select(row_id)
-    results["shap_high_score"] = explain.mean_abs_shap(shap.join(high, row_id, "left_semi"))
-    results["shap_top_by_group"] = explain.top_by_group(shap, facts, GROUP, on=row_id)
+    results["shap_high_score"] = explain.mean_abs_shap(metrics.sensitivity_subset(shap, "baseline_score"))
+    results["shap_top_by_group"] = explain.rank_by_group(shap, GROUP)
     return results

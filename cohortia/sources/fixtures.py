@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.eligibility import map_groups
+from ..operators.rank import join_sized
 from ..operators.split import HoldOut, assign_split
 from ..operators.visits import COURSE, attach_outcome, first_visits, outcome_in_window
 from ..session import cut_lineage, tune
@@ -61,12 +62,11 @@ class Views:
         """Visits with their course start.
 
         The start is grouped with partial results and joined back rather than taken by a window,
-        so that a very large course can be split over tasks.  Keys are never missing here, and a
-        plain join leaves rows partitioned by course for the aggregation that follows.
+        and a very large course gets its start by broadcast, so no task holds a whole course.
         """
         visits = self.raw_visits()
-        starts = visits.groupBy(*COURSE).agg(F.min("Visit_date").alias("ttt_startDate"))
-        return visits.join(starts, list(COURSE))
+        starts = visits.groupBy(*COURSE).agg(F.min("Visit_date").alias("ttt_startDate"), F.count("*").alias("n"))
+        return join_sized(visits, starts, COURSE, "n")
 
     def sites(self) -> DataFrame:
         """One row per patient: site and registry facts."""

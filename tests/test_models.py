@@ -13,7 +13,7 @@ from cohortia.models.binning import bin_edges
 from cohortia.models.boost import GRID_UNIT, Boosting, Fit, fit_boost
 from cohortia.models.params import GRID, BoostParams, param_grid
 from cohortia.models.predict import collect_trees, predict
-from cohortia.models.shap import attributions, expected_margin, margin_gap, shap_long, shap_scaled
+from cohortia.models.shap import attributions, expected_margin, margin_gap, shap_long, shap_scaled, shap_wide
 from cohortia.operators import metrics
 
 FEATURES = ["a", "b.x", "c"]
@@ -176,8 +176,9 @@ def test_attributions(spark):
 
     long = shap_long(df, trees, FEATURES)
     assert long.count() == 3 * len(rows)
-    scored = predict(df, trees, FEATURES, keep=["row_id"])
-    gap = margin_gap(long, scored, expected_margin(forest, 0.5)).first()
+    wide = shap_wide(predict(df, trees, FEATURES), trees, FEATURES, keep=["row_id", "b.x", "p"])
+    assert wide.columns == ["row_id", "b.x", "p", "phi", "x"]
+    gap = margin_gap(wide, expected_margin(forest, 0.5)).first()
     assert gap["n_rows"] == len(rows) and gap["max_gap"] < 1e-9
     scaled = shap_scaled(long)
     assert scaled.agg(F.min("stdfvalue"), F.max("stdfvalue")).first()[:] == (0.0, 1.0)
