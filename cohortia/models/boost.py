@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .binning import MAX_BINS, bin_edges, binned, pack, packed
 from .params import BoostParams
+from .ship import received, shipped
 
 GRID_UNIT = 1 << 20
 REFRESH_ROUNDS = 10
@@ -199,10 +200,10 @@ class Boosting:
         fits, seed, missing = self.fits, self.seed, self.max_bins
         slots = missing + 1
         turns = {m: len(self.trees[m]) for m in growing}
-        shared = self.spark.sparkContext.broadcast((growing, self._recent()))
+        shared = shipped(self.spark, (growing, self._recent()))
 
         def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trees, recent = shared.value
+            trees, recent = received(shared)
             sums, where = {}, {}
             for m, nodes in open_nodes.items():
                 where[m] = np.full(len(trees[m].feature), -1, np.int64)
@@ -256,11 +257,11 @@ class Boosting:
 
     def fold_in(self) -> None:
         """Add the recent trees to the stored margins, and cut the lineage there."""
-        shared = self.spark.sparkContext.broadcast(self._recent())
+        shared = shipped(self.spark, self._recent())
         missing = self.max_bins
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            recent = shared.value
+            recent = received(shared)
             for batch in batches:
                 n = batch.num_rows
                 if not n:
@@ -288,10 +289,10 @@ class Boosting:
         """
         fits, missing, folded = self.fits, self.max_bins, list(self.folded)
         active = [m for m, on in enumerate(self.active) if on]
-        shared = self.spark.sparkContext.broadcast(self._recent())
+        shared = shipped(self.spark, self._recent())
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            recent = shared.value
+            recent = received(shared)
             for batch in batches:
                 n = batch.num_rows
                 if not n:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.nulls import col
 from .binning import matrix
+from .ship import received, shipped
 
 
 @dataclass
@@ -76,12 +77,12 @@ def predict(
     """Probability per row, beside the columns of ``keep`` (all by default)."""
     features = list(features)
     keep = list(df.columns if keep is None else keep)
-    shared = df.sparkSession.sparkContext.broadcast(collect_trees(trees, features, model_id))
+    shared = shipped(df.sparkSession, collect_trees(trees, features, model_id))
     start = math.log(base_score / (1 - base_score))
     inputs = [f"__x{i}" for i in range(len(features))]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
+        forest = received(shared)
         for batch in batches:
             values = matrix(batch, inputs)
             margin = np.full(batch.num_rows, start)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.nulls import col
 from .binning import matrix
 from .predict import RawTree, collect_trees, plain_fields, plain_names, plain_source
+from .ship import received, shipped
 
 ROWS_AT_ONCE = 65_536
 
@@ -86,7 +87,7 @@ def shap_wide(
 ) -> DataFrame:
     """Attributions and feature values of each row as two arrays in feature order."""
     features, keep = list(features), list(keep)
-    shared = df.sparkSession.sparkContext.broadcast(collect_trees(trees, features, model_id))
+    shared = shipped(df.sparkSession, collect_trees(trees, features, model_id))
     inputs = [f"__x{i}" for i in range(len(features))]
 
     def lists(values: np.ndarray) -> pa.Array:
@@ -105,7 +106,7 @@ def shap_wide(
             yield pa.Table.from_batches(held)
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared.value
+        forest = received(shared)
         for table in gathered(batches):
             for batch in table.combine_chunks().to_batches():
                 values = matrix(batch, inputs)
