@@ -35,7 +35,8 @@ def treatment_duration(df: DataFrame, extraction: str = "extraction_date_calc")
 
 def bmi(df: DataFrame, weight: str = "Weight", height: str = "Height") -> DataFrame:
     """Weight over squared height in metres; a height of zero gives no value."""
-    return df.withColumn("BMI_recalc", F.try_divide(F.col(weight), F.pow(F.col(height) / 100, F.lit(2)))).drop("BMI")
+    metres = F.col(height) / 100
+    return df.withColumn("BMI_recalc", F.try_divide(F.col(weight), metres * metres)).drop("BMI")
 
 
 def with_disease(df: DataFrame, disease: str = "ra") -> DataFrame:

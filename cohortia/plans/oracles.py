@@ -145,7 +145,7 @@ dated AS (
   FROM baseline)
 SELECT visit_id, round(CASE WHEN years > 2 THEN 2.0 ELSE years END, 6) AS treatment_duration_calc FROM dated"""
 SQL["bmi_recalc"] = f"""WITH {BASELINE}
-SELECT visit_id, round(CASE WHEN Height <> 0 THEN Weight / ((Height / 100.0) * (Height / 100.0)) END, 6) AS BMI_recalc
+SELECT visit_id, round(CASE WHEN Height <> 0 THEN Weight / ((Height / 100.0) * (Height / 100.0)) END, 9) AS BMI_recalc
 FROM baseline"""
 INTRO = " OR ".join(f"(Code = '{site}' AND year >= {year})" for site, year in INTRODUCTION_YEARS.items())
 SQL["after_intro_flag"] = f"""WITH {BASELINE}
@@ -465,8 +465,10 @@ BEST = """best AS (
   FROM (SELECT *, CAST(tp AS HUGEINT) * n_neg - CAST(fp AS HUGEINT) * n_pos AS j FROM roc))"""
 SQL["roc_points"] = f"WITH {SCORED}, {roc_sql('scored')} SELECT {ROC_COLUMNS} FROM roc"
 SQL["youden_threshold"] = f"""WITH {SCORED}, {roc_sql('scored')}, {BEST}
-SELECT split, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, n_best FROM best WHERE k = 1"""
-CHOSEN = f"{SCORED}, {roc_sql('scored')}, {BEST}, chosen AS (SELECT threshold AS t FROM best WHERE k = 1 AND split = 'train')"
+SELECT split, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr, n_best
+FROM best WHERE k = 1"""
+CHOSEN = f"""{SCORED}, {roc_sql('scored')}, {BEST},
+chosen AS (SELECT threshold AS t FROM best WHERE k = 1 AND split = 'train')"""
 SQL["operating_point"] = f"""WITH {CHOSEN}, near AS (
   SELECT roc.*, ROW_NUMBER() OVER (PARTITION BY split ORDER BY abs(threshold - t), threshold) AS k FROM roc, chosen)
 SELECT split, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM near WHERE k = 1"""

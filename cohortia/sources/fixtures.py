@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.eligibility import map_groups
 from ..operators.rank import join_sized
@@ -36,15 +37,20 @@ NUMERIC = ["HAQ0", "CDAI0", "Weight", "Height", "price", "four", "ten", "eleven"
 class Views:
     """The views over one folder of parquet tables."""
 
+    schemas: dict[str, StructType] = {}
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder
         self.read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A given table; its footer is read once per set of views."""
+        """A given table; its footer is read once."""
         if name not in self.read:
-            self.read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            path = f"{self.folder}/{name}.parquet"
+            if path not in Views.schemas:
+                Views.schemas[path] = self.spark.read.parquet(path).schema
+            self.read[name] = self.spark.read.schema(Views.schemas[path]).parquet(path)
         return self.read[name]
 
     def raw_visits(self) -> DataFrame:
