@@ -36,7 +36,7 @@ REGISTRY: dict[str, Callable[[Views], DataFrame]] = {}
 GIVEN_THRESHOLD = 0.5
 # Digits shown of floating results.  Body mass values can end in an exact half at six digits, which
 # engines round either way.
-DIGITS = {"bmi_recalc": 9}
+DIGITS = {"bmi_recalc": 12}
 
 
 def query(make: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
