@@ -145,7 +145,7 @@ dated AS (
   FROM baseline)
 SELECT visit_id, round(CASE WHEN years > 2 THEN 2.0 ELSE years END, 6) AS treatment_duration_calc FROM dated"""
 SQL["bmi_recalc"] = f"""WITH {BASELINE}
-SELECT visit_id, round(CASE WHEN Height <> 0 THEN Weight / ((Height / 100.0) * (Height / 100.0)) END, 12) AS BMI_recalc
+SELECT visit_id, CASE WHEN Height <> 0 THEN Weight / ((Height / 100.0) * (Height / 100.0)) END AS BMI_recalc
 FROM baseline"""
 INTRO = " OR ".join(f"(Code = '{site}' AND year >= {year})" for site, year in INTRODUCTION_YEARS.items())
 SQL["after_intro_flag"] = f"""WITH {BASELINE}
