@@ -189,6 +189,7 @@ class Views:
         return assign_split(cut_lineage(self.features()), "CDAI_response", "row_id", SPLIT_SEED, HOLD_OUT)
 
     def orders_with_site(self) -> DataFrame:
+        """Orders with patient facts; a patient with very many orders does not fill one task."""
         row, price = F.col("o_orderkey"), F.col("o_totalprice")
         orders = self.table("orders").select(
             row.alias("row_id"),
@@ -202,7 +203,9 @@ class Views:
             F.month("o_orderdate").cast("double").alias("month"),
             F.when(row % 23 == 0, F.lit(float("nan"))).otherwise(price).alias("price"),
         )
-        return orders.join(self.sites().select("ID", "Code", "Weight", "segment"), "ID")
+        sizes = orders.groupBy("ID").agg(F.count("*").alias("n"))
+        patients = self.sites().select("ID", "Code", "Weight", "segment").join(sizes, "ID")
+        return join_sized(orders, patients, ["ID"], "n")
 
     def scored(self) -> DataFrame:
         """Rows with a label, a given score, a group, a baseline score and their split."""
