@@ -208,14 +208,18 @@ class Views:
         return join_sized(orders, patients, ["ID"], "n")
 
     def scored(self) -> DataFrame:
-        """Rows with a label, a given score, a group, a baseline score and their split."""
-        return assign_split(self.orders_with_site(), "y", "row_id", SPLIT_SEED, HOLD_OUT).select(
+        """Rows with a label, a given score, a group, a baseline score and their split.
+
+        The join behind them runs once; the split then reads its result three times.
+        """
+        rows = cut_lineage(self.orders_with_site().select("row_id", "y", "p", "grp", "CDAI0", "Code"))
+        return assign_split(rows, "y", "row_id", SPLIT_SEED, HOLD_OUT).select(
             "row_id", "y", "p", "grp", "CDAI0", "split"
         )
 
     def training(self) -> DataFrame:
         """Rows with a label that the features explain, some of them missing."""
-        rows = assign_split(self.orders_with_site(), "y2", "row_id", SPLIT_SEED, HOLD_OUT)
+        rows = assign_split(cut_lineage(self.orders_with_site()), "y2", "row_id", SPLIT_SEED, HOLD_OUT)
         group = F.col("grp")
         levels = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
         dummies = [
