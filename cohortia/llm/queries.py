@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .automata import remove_known_words
 from .common import table
+from .packing import pack
+from .suffixes import remove_repeats
 from .tokencount import token_counts
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +24,26 @@ def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSess
     return make
 
 
+@query
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 50-byte strings that earlier ones have."""
+    found = remove_repeats(table(spark, folder, "documents"), width=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without the 13-word windows that earlier ones have."""
+    found = remove_known_words(table(spark, folder, "documents"), width=13)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document by the byte-level tokenizer."""
