@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from .automata import remove_known_words
 from .common import table
+from .decontaminate import contamination
+from .maintext import main_texts
 from .packing import pack
+from .sharding import shard
 from .suffixes import remove_repeats
 from .tokencount import token_counts
+from .topk import search
+from .toxicity import fit_toxicity, held_out, score_toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TOKEN_LIMIT = 1024
+SHARD_BYTES = 1_000_000
 
 
 def query(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -30,6 +36,46 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The shard of every document, at most 1 MB of text each."""
+    return shard(table(spark, folder, "documents"), SHARD_BYTES)
+
+
+# Every prefix of the hash bits with its size; a row's shard is the shortest that fits, below none that does.
+SQL["op2_sharding"] = f"""
+WITH hashed AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
+         lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT)), 60, '0') AS bits,
+         row_number() OVER () AS row_id
+  FROM documents
+), paths AS (
+  SELECT row_id, doc_id, n_bytes, CAST(d.depth AS INTEGER) AS depth, substr(bits, 1, CAST(d.depth AS INTEGER)) AS shard
+  FROM hashed, generate_series(0, 60) AS d(depth)
+), sizes AS (
+  SELECT depth, shard, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM paths GROUP BY depth, shard
+), fitting AS (
+  SELECT p.row_id, p.doc_id, p.n_bytes, p.shard, p.depth, s.shard_bytes,
+         row_number() OVER (PARTITION BY p.row_id ORDER BY p.depth) AS nth
+  FROM paths p JOIN sizes s ON p.depth = s.depth AND p.shard = s.shard
+  WHERE s.shard_bytes <= {SHARD_BYTES} OR p.depth = 60
+)
+SELECT doc_id, n_bytes, shard, depth, shard_bytes FROM fitting WHERE nth = 1
+"""
+
+
+@query
+def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return main_texts(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents hold passages of which benchmark items."""
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents without the 50-byte strings that earlier ones have."""
@@ -44,8 +90,41 @@ def op7_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    model = fit_toxicity(docs, table(spark, folder, "labels"))
+    scored = score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document by the byte-level tokenizer."""
     counts = token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The five best other vectors of every 50th one."""
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+SQL["op10_top_k"] = """
+WITH parts AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""

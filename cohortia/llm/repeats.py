@@ -191,13 +191,13 @@ def covered_starts(docs: DataFrame, width: int, kind, match: Callable, finish: C
         first = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
         return np.unique(key[first], return_counts=True)
 
-    def tell(key, rows: pa.Table) -> pa.Table:
+    def tell(key, rows):
         anchors, counts = anchors_of(Block(rows, kind).runs(width))
         counts = np.minimum(counts, 255).astype(np.uint8)
         made = [(s, key[0].as_py(), False, anchors[p].tobytes() + counts[p].tobytes()) for s, p in by_shard(shard_of(anchors, shards))]
         return table_of(made, route_names, route_kinds)
 
-    def judge(key, rows: pa.Table) -> pa.Table:
+    def judge(key, rows):
         """Two bits per anchor of each block: two documents have it; it is hot."""
         blocks_here, payloads = rows.column("block").to_pylist(), rows.column("payload").to_pylist()
         sizes = [len(p) // 9 for p in payloads]
@@ -216,7 +216,7 @@ def covered_starts(docs: DataFrame, width: int, kind, match: Callable, finish: C
             at += n
         return table_of(out_rows, answer_names, answer_kinds)
 
-    def send(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def send(key, rows, answers):
         block_rows = Block(rows, kind)
         number = key[0].as_py()
         runs = block_rows.runs(width)
@@ -278,7 +278,7 @@ def covered_starts(docs: DataFrame, width: int, kind, match: Callable, finish: C
             made.append((s, number, False, pack_arrays(*arrays, np.frombuffer(b"".join(texts), np.uint8))))
         return table_of(made, route_names, route_kinds)
 
-    def compare(key, rows: pa.Table) -> pa.Table:
+    def compare(key, rows):
         out_rows, parts_here = [], []
         for b, local, payload in zip(*(rows.column(n).to_pylist() for n in ("block", "local", "payload"))):
             if local:
@@ -303,7 +303,7 @@ def covered_starts(docs: DataFrame, width: int, kind, match: Callable, finish: C
                 out_rows.append((b, key[0].as_py(), pack_arrays(doc_of[these].astype(np.int32), window[these].astype(np.int64))))
         return table_of(out_rows, answer_names, answer_kinds)
 
-    def close(key, rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def close(key, rows, answers):
         block_rows = Block(rows, kind)
         doc_of, starts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for payload in answers.column("payload").to_pylist():
