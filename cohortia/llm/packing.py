@@ -42,6 +42,10 @@ class WordEncoder:
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.specials = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+        vocabulary = self.tokenizer.get_vocab()
+        # Every word ends in a token of its own kind, by which the ids of many words come apart again.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
@@ -58,6 +62,14 @@ class WordEncoder:
             out += [part] if part in self.specials else self.words(part)
         return out
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stop) != len(words) or stop[-1] != 4 * len(ids):
+            return [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+        data, stop = ids.tobytes(), stop.tolist()
+        return [data[a:b] for a, b in zip([0, *stop], stop)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self.split(t) for t in texts]
         if len(self.known) > MOST_WORDS:
@@ -67,8 +79,7 @@ class WordEncoder:
         new = list(set().union(*words).difference(self.known))
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+            self.known.update(zip(part, self.word_ids(part)))
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
