@@ -56,3 +56,10 @@ def batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 def buckets_for(n: int, per_bucket: int) -> int:
     """How many hash buckets hold ``n`` units at about ``per_bucket`` each; at least one."""
     return max(1, -(-n // per_bucket))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name

@@ -186,6 +186,8 @@ def find_regions(
     )
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     shares = buckets_for(size, SHARD_CHARS)
+    if column in docs.columns:
+        raise ValueError(f"the table has a column {column} already")
     out = docs.withColumn(column, F.array().cast(REGION))
     text_at, region_at = docs.columns.index(text_col), len(docs.columns)
     schema = out.schema

@@ -12,6 +12,7 @@ from .automata import remove_known_words
 from .common import table
 from .decontaminate import contamination
 from .maintext import main_texts
+from .neardup import near_duplicates
 from .packing import pack
 from .sharding import shard
 from .suffixes import remove_repeats
@@ -70,6 +71,12 @@ def op3_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_texts(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-duplicate group of every document: four-word shingles, similarity of 0.8 or more."""
+    return near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
+
+
 @query
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Which documents hold passages of which benchmark items."""
@@ -116,12 +123,12 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL["op10_top_k"] = """
 WITH parts AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM parts q JOIN parts c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score

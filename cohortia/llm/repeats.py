@@ -113,6 +113,7 @@ class Block:
         ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
         texts = [t.encode("utf-8", "surrogatepass") for t in texts]
         order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i]))
+        self.carried = rows.column("carried").take(pa.array(order, pa.int64())).combine_chunks()
         self.ids = [ids[i] for i in order]
         self.texts = [texts[i] for i in order]
         self.kind = kind
@@ -151,7 +152,9 @@ def unpacked(payload: bytes) -> memoryview:
     return memoryview(zstandard.ZstdDecompressor().decompress(payload))
 
 
-def covered_starts(docs: DataFrame, width: int, kind, match: Callable, finish: Callable, out: T.StructType, id_col: str, text_col: str) -> DataFrame:
+def covered_starts(
+    docs: DataFrame, width: int, kind, match: Callable, finish: Callable, out: T.StructType, id_col: str, text_col: str, carry: list[str] = []
+) -> DataFrame:
     """Run the three steps; ``finish(block, covered)`` makes the rows of a block.
 
     ``match(anchors, ranks, counts, contents)`` gets the passages of a shard and gives, for each of
@@ -159,7 +162,9 @@ def covered_starts(docs: DataFrame, width: int, kind, match: Callable, finish: C
     number of a document in the block to the sorted starts of its covered windows.
     """
     spark = docs.sparkSession
-    given = docs.select(col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
+    # Carried columns stand in one struct, so their names cannot clash with others.
+    carried = F.struct(*[col(c).alias(c) for c in carry]) if carry else F.lit(None).cast("boolean")
+    given = docs.select(col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"), carried.alias("carried"))
     size = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = buckets_for(size, BLOCK_BYTES)
     shards = min(blocks, MOST_SHARDS)

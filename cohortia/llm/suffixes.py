@@ -102,28 +102,38 @@ def previous_factors(width: int):
     return match
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+) -> DataFrame:
     """Every document without the bytes covered by a ``width``-byte string that an earlier one has too.
 
-    Returns the id, ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``.  A text is its UTF-8
-    bytes, a missing one none.  Earlier means a smaller id; matches never cross documents and are
-    judged on the input.  Rows that share an id do not count as earlier for each other; a row without
-    an id comes after all others.  An empty table gives no rows; other columns are ignored.
+    Returns the id, ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``; with ``carry``, also a
+    struct ``carried`` of these columns of ``docs`` and ``kept_text``, the kept bytes as text without
+    the parts of characters that were cut.  A text is its UTF-8 bytes, a missing one none.  Earlier means
+    a smaller id; matches never cross documents and are judged on the input.  Rows that share an id do
+    not count as earlier for each other; a row without an id comes after all others.  An empty table
+    gives no rows; other columns are ignored.
     """
-    out = T.StructType(
-        [T.StructField(id_col, T.LongType()), T.StructField("kept", T.BinaryType())]
-        + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-    )
+    carry = carry or []
+    fields = [T.StructField("id", T.LongType()), T.StructField("kept", T.BinaryType())]
+    fields += [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
+    if carry:
+        fields.append(T.StructField("kept_text", T.StringType()))
+        fields.append(T.StructField("carried", T.StructType([docs.schema[c] for c in carry])))
     none = np.zeros(0, np.int64)
 
     def finish(block, covered):
         rows = []
         for n, text in enumerate(block.texts):
             kept, removed, runs = kept_spans(covered.get(n, none), width, len(text))
-            rows.append((block.ids[n], b"".join(text[a:b] for a, b in kept), len(text), removed, runs))
-        columns = list(zip(*rows))
-        types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        names = [id_col, "kept", "n_bytes", "n_removed", "n_spans"]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types)})
-
-    return covered_starts(docs, width, Bytes, previous_factors(width), finish, out, id_col, text_col)
+            rows.append((b"".join(text[a:b] for a, b in kept), len(text), removed, runs))
+        kept, sizes, removed, runs = zip(*rows)
+        columns = {"id": pa.array(block.ids, pa.int64()), "kept": pa.array(kept, pa.binary())}
+        columns |= {n: pa.array(v, pa.int64()) for n, v in (("n_bytes", sizes), ("n_removed", removed), ("n_spans", runs))}
+        if carry:
+            columns["kept_text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            columns["carried"] = block.carried
+        return pa.table(columns)
+
+    found = covered_starts(docs, width, Bytes, previous_factors(width), finish, T.StructType(fields), id_col, text_col, carry)
+    return found.withColumnRenamed("id", id_col)
