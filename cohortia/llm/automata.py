@@ -1,8 +1,8 @@
 """Removal of repeated word sequences by suffix automata of reference shards.
 
 The reference of a document is every earlier one, so its shards are dealt out by the anchor of their
-windows and not broadcast whole: a shard's automaton stands in the task to which the documents'
-passages with the same anchors stream.  Passages come in the order of their documents.  Each streams
+windows and not broadcast whole: a shard is the passages under one anchor, and its automaton stands in
+the task to which the documents' passages with that anchor stream.  Passages come in the order of their documents.  Each streams
 through the automaton of all earlier documents for its matching statistics (the longest match that
 ends at each word), then joins the automaton itself.
 """
@@ -78,36 +78,46 @@ def matching_statistics(width: int):
     """The matcher of word passages: for each window, whether an earlier document has its words."""
 
     def match(anchors, ranks, counts, data: bytes, ends):
-        texts = np.split(np.frombuffer(data, np.uint8), ends[:-1])
+        view = memoryview(data)
+        texts = [bytes(view[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
         first_window = (np.cumsum(counts) - counts).tolist()
         flags = np.zeros(int(counts.sum()), bool)
+        order = np.lexsort((ranks, anchors)).tolist()
         ranks, anchors, counts = ranks.tolist(), anchors.tolist(), counts.tolist()
-        order = sorted(range(len(ranks)), key=ranks.__getitem__)
-        owner: dict[tuple, int] = {}
-        contents: dict[int, int] = {}
-        keys = {}
-        for i in order:
-            key = keys[i] = (anchors[i], texts[i].tobytes())
-            if key not in owner:
-                owner[key] = ranks[i]
-                contents[anchors[i]] = contents.get(anchors[i], 0) + 1
-        numbers: dict[bytes, int] = {}
-        automaton, waiting, now = SuffixAutomaton(), [], None
-        for i in order:
+        at = 0
+        while at < len(order):
+            # The passages of one anchor, in the order of their documents.
+            end = at + 1
+            while end < len(order) and anchors[order[end]] == anchors[order[at]]:
+                end += 1
+            first: dict[bytes, int] = {}
+            open_: list[int] = []
+            for i in order[at:end]:
+                if first.setdefault(texts[i], ranks[i]) < ranks[i]:
+                    # A later copy of a whole passage.
+                    flags[first_window[i] : first_window[i] + counts[i]] = True
+                else:
+                    open_.append(i)
+            at = end
+            if len(first) > 1:
+                stream(open_, texts, ranks, counts, first_window, flags)
+        return flags
+
+    def stream(passages, texts, ranks, counts, first_window, flags) -> None:
+        automaton, waiting, now = SuffixAutomaton(), [], ranks[passages[0]]
+        last = ranks[passages[-1]]
+        for i in passages:
             if ranks[i] != now:
-                for sequence in waiting:
-                    automaton.add(sequence)
+                for words in waiting:
+                    automaton.add(words)
                 waiting, now = [], ranks[i]
-            start, n = first_window[i], counts[i]
-            if owner[keys[i]] < ranks[i]:
-                # A later copy of a whole passage.
-                flags[start : start + n] = True
-            elif contents[anchors[i]] > 1:
-                sequence = [numbers.setdefault(w, len(numbers)) for w in keys[i][1].split()]
-                found = automaton.statistics(sequence)
-                flags[start : start + n] = np.array(found[width - 1 :]) >= width
-                waiting.append(sequence)
-        return flags
+            words = texts[i].split()
+            if len(automaton.link) > 1:
+                found = automaton.statistics(words)
+                start = first_window[i]
+                flags[start : start + counts[i]] = np.array(found[width - 1 :]) >= width
+            if now != last:
+                waiting.append(words)
 
     return match
 
@@ -125,13 +135,11 @@ def remove_known_words(docs: DataFrame, width: int = 13, id_col: str = "doc_id",
         [T.StructField(id_col, T.LongType()), T.StructField("kept", T.BinaryType())]
         + [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed", "n_spans")]
     )
-    none = np.zeros(0, np.int64)
 
     def finish(block, covered):
         rows = []
-        for n, text in enumerate(block.texts):
-            words = text.split()
-            kept, removed, runs = kept_spans(covered.get(n, none), width, len(words))
+        for n, words in enumerate(block.parts):
+            kept, removed, runs = kept_spans(covered(n), width, len(words))
             left = b" ".join([w for a, b in kept for w in words[a:b]])
             rows.append((block.ids[n], left, len(words), removed, runs))
         columns = list(zip(*rows))

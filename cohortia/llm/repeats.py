@@ -30,14 +30,16 @@ from pyspark.sql import types as T
 
 from .common import buckets_for, col, process_cache, whole_text
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 # A shard gets one row per block, so rows stay worth sending only up to so many shards.
-MOST_SHARDS = 8192
+MOST_SHARDS = 4096
 # Anchors with more occurrences than this send single windows.
 HOT = 512
 SLICE = 32_768
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = 0x9E3779B97F4A7C15
+# Two hashes together stand for the content of a window inside a block.
+MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,16 +49,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def window_hashes(units: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(units: np.ndarray, width: int, multiplier: int = MULTIPLIER) -> np.ndarray:
     """A 64-bit hash of every run of ``width`` units, by doubling."""
-    x, factor, n = units.astype(np.uint64), MULTIPLIER, 1
+    x, factor, n = units.astype(np.uint64), multiplier, 1
     while 2 * n <= width:
         x = x[:-n] * np.uint64(factor) + x[n:]
         factor = factor * factor % 2**64
         n *= 2
     if n < width:
         rest = width - n
-        x = x[:-rest] * np.uint64(pow(MULTIPLIER, 5, 2**64)) + x[rest:]
+        x = x[:-rest] * np.uint64(pow(multiplier, 5, 2**64)) + x[rest:]
     return mix(x)
 
 
@@ -74,8 +76,14 @@ class Bytes:
     gram = 16
 
     @staticmethod
-    def read(text: bytes) -> tuple[np.ndarray, bytes]:
-        return np.frombuffer(text, np.uint8), text
+    def read(texts: list[bytes]):
+        """All units of the texts, how many each has, and what ``slice`` cuts."""
+        joined = b"".join(texts)
+        return np.frombuffer(joined, np.uint8), list(map(len, texts)), joined
+
+    @staticmethod
+    def parts(text: bytes) -> bytes:
+        return text
 
     @staticmethod
     def slice(source: bytes, start: int, end: int) -> bytes:
@@ -85,7 +93,7 @@ class Bytes:
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 250_000:
             self[word] = h
         return h
 
@@ -96,10 +104,15 @@ class Words:
     gram = 4
 
     @staticmethod
-    def read(text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        words = text.split()
+    def read(texts: list[bytes]):
+        lists = [t.split() for t in texts]
+        words = [w for words in lists for w in words]
         known = process_cache("word hashes", WordHashes)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), words
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), list(map(len, lists)), words
+
+    @staticmethod
+    def parts(text: bytes) -> list[bytes]:
+        return text.split()
 
     @staticmethod
     def slice(source: list[bytes], start: int, end: int) -> bytes:
@@ -107,37 +120,49 @@ class Words:
 
 
 class Block:
-    """The documents of a block in a fixed order."""
+    """The documents of a block in a fixed order, and their units in one row."""
 
-    def __init__(self, rows: pa.Table, kind):
+    def __init__(self, rows: pa.Table):
         ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
         texts = [t.encode("utf-8", "surrogatepass") for t in texts]
         order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i]))
         self.carried = rows.column("carried").take(pa.array(order, pa.int64())).combine_chunks()
         self.ids = [ids[i] for i in order]
         self.texts = [texts[i] for i in order]
-        self.kind = kind
         # A row without an id comes after all others.
         self.rank = np.array([NO_ID if i is None else i for i in self.ids], np.int64)
 
-    def runs(self, width: int):
+    def load(self, kind) -> None:
+        self.units, counts, self.source = kind.read(self.texts)
+        self.bounds = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
+
+    def runs(self, width: int, gram: int):
         """(document, start, windows, anchor) of every run of windows under one anchor."""
-        docs, starts, counts, anchors = [], [], [], []
-        gram = self.kind.gram
-        for n, text in enumerate(self.texts):
-            units, _ = self.kind.read(text)
-            for at in range(0, len(units) - width + 1, SLICE):
-                part = units[at : at + SLICE + width - 1]
-                key = sliding_min(window_hashes(part, gram), width - gram + 1)
-                cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                docs.append(np.full(len(cut), n, np.int32))
-                starts.append(cut + at)
-                counts.append(np.diff(np.append(cut, len(key))))
-                anchors.append(key[cut])
-        if not docs:
-            empty = np.zeros(0, np.int64)
-            return empty.astype(np.int32), empty, empty, empty.astype(np.uint64)
-        return tuple(map(np.concatenate, (docs, starts, counts, anchors)))
+        n = len(self.units) - width + 1
+        if n <= 0:
+            none = np.zeros(0, np.int64)
+            return none, none, none, none.astype(np.uint64)
+        key = sliced(self.units, width, lambda part: sliding_min(window_hashes(part, gram), width - gram + 1))
+        doc = np.repeat(np.arange(len(self.texts), dtype=np.int32), np.diff(self.bounds))[:n]
+        whole = np.arange(n) + width <= self.bounds[1:][doc]
+        changes = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (whole[1:] != whole[:-1])
+        start = np.flatnonzero(np.concatenate(([True], changes)))
+        count = np.diff(np.append(start, n))
+        use = whole[start]
+        start, count = start[use], count[use]
+        return doc[start].astype(np.int64), start, count, key[start]
+
+
+def sliced(units: np.ndarray, width: int, of) -> np.ndarray:
+    """``of`` over all windows, in parts that fit the processor's cache."""
+    n = len(units) - width + 1
+    return np.concatenate([of(units[at : min(n, at + SLICE) + width - 1]) for at in range(0, n, SLICE)])
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    total = int(counts.sum())
+    return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(starts, counts)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -157,9 +182,9 @@ def covered_starts(
 ) -> DataFrame:
     """Run the three steps; ``finish(block, covered)`` makes the rows of a block.
 
-    ``match(anchors, ranks, counts, contents)`` gets the passages of a shard and gives, for each of
-    their windows in order, whether it also starts in a document of lower rank.  ``covered`` maps the
-    number of a document in the block to the sorted starts of its covered windows.
+    ``match(anchors, ranks, counts, data, ends)`` gets the passages of a shard, one after the other in
+    ``data``, and gives, for each of their windows in order, whether it also starts in a document of
+    lower rank.  ``covered(n)`` gives the sorted starts of the covered windows of the block's n-th row.
     """
     spark = docs.sparkSession
     # Carried columns stand in one struct, so their names cannot clash with others.
@@ -189,15 +214,21 @@ def covered_starts(
     answer_names, answer_kinds = ["block", "shard", "payload"], [pa.int32(), pa.int32(), pa.binary()]
 
     def anchors_of(runs) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors of a block, ascending, and in how many runs; 1 only if a single document has it."""
+        """Distinct anchors of a block, ascending, and how many of its documents have them."""
         docs_at, _, _, anchors = runs
         order = np.lexsort((docs_at, anchors))
         key, doc = anchors[order], docs_at[order]
-        first = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
+        first = np.ones(len(key), bool)
+        first[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
         return np.unique(key[first], return_counts=True)
 
+    def loaded(rows) -> Block:
+        block_rows = Block(rows)
+        block_rows.load(kind)
+        return block_rows
+
     def tell(key, rows):
-        anchors, counts = anchors_of(Block(rows, kind).runs(width))
+        anchors, counts = anchors_of(loaded(rows).runs(width, kind.gram))
         counts = np.minimum(counts, 255).astype(np.uint8)
         made = [(s, key[0].as_py(), False, anchors[p].tobytes() + counts[p].tobytes()) for s, p in by_shard(shard_of(anchors, shards))]
         return table_of(made, route_names, route_kinds)
@@ -222,9 +253,8 @@ def covered_starts(
         return table_of(out_rows, answer_names, answer_kinds)
 
     def send(key, rows, answers):
-        block_rows = Block(rows, kind)
-        number = key[0].as_py()
-        runs = block_rows.runs(width)
+        here, number = loaded(rows), key[0].as_py()
+        runs = here.runs(width, kind.gram)
         anchors, _ = anchors_of(runs)
         shared, hot = np.zeros(len(anchors), bool), np.zeros(len(anchors), bool)
         where = dict(by_shard(shard_of(anchors, shards)))
@@ -234,52 +264,37 @@ def covered_starts(
             half = len(bits) // 2
             shared[where[s]] = np.unpackbits(bits[:half])[:n]
             hot[where[s]] = np.unpackbits(bits[half:])[:n]
+        made = []
         doc, start, count, anchor = runs
         at = np.searchsorted(anchors, anchor)
-        keep = shared[at] & ~hot[at] if len(anchors) else np.zeros(0, bool)
-        single = hot[at] if len(anchors) else np.zeros(0, bool)
-        # Windows under hot anchors, one by one: (document, start), by content.
-        wdoc = np.repeat(doc[single], count[single])
-        wstart = np.concatenate([np.arange(s, s + c) for s, c in zip(start[single], count[single])]) if single.any() else np.zeros(0, np.int64)
-        first: dict[bytes, int] = {}
-        local_doc, local_start, send_doc, send_start = [], [], [], []
-        sources: dict[int, object] = {}
-
-        def source(n: int):
-            if n not in sources:
-                if len(sources) > 8:
-                    sources.clear()
-                sources[n] = kind.read(block_rows.texts[n])[1]
-            return sources[n]
-
-        for d, s in zip(wdoc.tolist(), wstart.tolist()):
-            # Documents come in the order of their ids: the first here asks, later ones know the answer.
-            content = xxhash.xxh3_128_digest(kind.slice(source(d), s, s + width))
-            rank = block_rows.rank[d]
-            if first.setdefault(content, rank) < rank:
-                local_doc.append(d)
-                local_start.append(s)
-            else:
-                send_doc.append(d)
-                send_start.append(s)
-        made = []
-        if local_doc:
-            payload = pack_arrays(np.array(local_doc, np.int32), np.array(local_start, np.int64))
-            made.append((number % shards, number, True, payload))
-        p_doc = np.concatenate((doc[keep], np.array(send_doc, np.int32)))
-        p_start = np.concatenate((start[keep], np.array(send_start, np.int64)))
-        p_count = np.concatenate((count[keep], np.ones(len(send_doc), np.int64)))
-        contents = [kind.slice(source(d), s, s + c + width - 1) for d, s, c in zip(p_doc.tolist(), p_start.tolist(), p_count.tolist())]
-        window_keys = [xxhash.xxh3_64_intdigest(c) for c in contents[int(keep.sum()) :]]
-        p_anchor = np.concatenate((anchor[keep], np.array(window_keys, np.uint64)))
+        keep = shared[at] & ~hot[at]
+        p_rank, p_start, p_count, p_anchor = here.rank[doc[keep]], start[keep], count[keep], anchor[keep]
+        if hot.any():
+            # Windows under hot anchors go one by one: the block's first document asks, later ones know.
+            single = hot[at]
+            window = ranges(start[single], count[single])
+            rank = here.rank[np.repeat(doc[single], count[single])]
+            one, two = (sliced(here.units, width, lambda part, m=m: window_hashes(part, width, m))[window] for m in MULTIPLIERS)
+            order = np.lexsort((rank, two, one))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+            least = rank[order][fresh][np.cumsum(fresh) - 1]
+            later = np.empty(len(order), bool)
+            later[order] = rank[order] > least
+            if later.any():
+                made.append((number % shards, number, True, pack_arrays(window[later])))
+            asks = ~later
+            p_rank, p_start = np.concatenate((p_rank, rank[asks])), np.concatenate((p_start, window[asks]))
+            p_count = np.concatenate((p_count, np.ones(int(asks.sum()), np.int64)))
+            p_anchor = np.concatenate((p_anchor, one[asks]))
         target = shard_of(p_anchor, shards)
         order = np.argsort(target, kind="stable")
         for s, part in by_shard(target[order]):
             these = order[part]
-            texts = [contents[i] for i in these.tolist()]
+            ends = p_start[these] + p_count[these] + (width - 1)
+            texts = [kind.slice(here.source, a, b) for a, b in zip(p_start[these].tolist(), ends.tolist())]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            head = np.array([len(these)], np.int64)
-            arrays = (head, p_anchor[these], block_rows.rank[p_doc[these]], p_start[these], p_count[these].astype(np.int64), lengths, p_doc[these].astype(np.int32))
+            arrays = (np.array([len(these)], np.int64), p_anchor[these], p_rank[these], p_start[these], p_count[these], lengths)
             made.append((s, number, False, pack_arrays(*arrays, np.frombuffer(b"".join(texts), np.uint8))))
         return table_of(made, route_names, route_kinds)
 
@@ -291,35 +306,37 @@ def covered_starts(
                 continue
             data = unpacked(payload)
             n = int(np.frombuffer(data, np.int64, 1)[0])
-            fields = [np.frombuffer(data, t, n, 8 + 8 * n * i) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64, np.int32))]
-            parts_here.append((b, fields, bytes(data[8 + 44 * n :])))
+            fields = [np.frombuffer(data, t, n, 8 + 8 * n * i) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64))]
+            parts_here.append((b, fields, bytes(data[8 + 40 * n :])))
         if parts_here:
-            anchors, ranks, starts, counts, lengths, docs_at = (np.concatenate([p[1][i] for p in parts_here]) for i in range(6))
-            ends = np.cumsum(lengths)
-            flags = match(anchors, ranks, counts, b"".join(p[2] for p in parts_here), ends)
-            owner = np.repeat(np.concatenate([np.full(len(p[1][0]), p[0], np.int32) for p in parts_here]), counts)
-            first = np.cumsum(counts) - counts
-            window = np.arange(int(counts.sum())) - np.repeat(first, counts) + np.repeat(starts, counts)
-            doc_of = np.repeat(docs_at, counts)
-            owner, window, doc_of = owner[flags], window[flags], doc_of[flags]
+            anchors, ranks, starts, counts, lengths = (np.concatenate([p[1][i] for p in parts_here]) for i in range(5))
+            flags = match(anchors, ranks, counts, b"".join(p[2] for p in parts_here), np.cumsum(lengths))
+            owner = np.repeat(np.concatenate([np.full(len(p[1][0]), p[0], np.int32) for p in parts_here]), counts)[flags]
+            window = ranges(starts, counts)[flags]
             order = np.argsort(owner, kind="stable")
             for b, part in by_shard(owner[order]):
-                these = order[part]
-                out_rows.append((b, key[0].as_py(), pack_arrays(doc_of[these].astype(np.int32), window[these].astype(np.int64))))
+                out_rows.append((b, key[0].as_py(), pack_arrays(window[order[part]])))
         return table_of(out_rows, answer_names, answer_kinds)
 
     def close(key, rows, answers):
-        block_rows = Block(rows, kind)
-        doc_of, starts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        here = loaded_bounds(rows)
+        found = [np.zeros(0, np.int64)]
         for payload in answers.column("payload").to_pylist():
-            data = unpacked(payload)
-            n = len(data) // 12
-            doc_of.append(np.frombuffer(data, np.int32, n))
-            starts.append(np.frombuffer(data, np.int64, n, 4 * n))
-        doc_of, starts = np.concatenate(doc_of), np.concatenate(starts)
-        order = np.lexsort((starts, doc_of))
-        covered = {d: starts[order][p] for d, p in by_shard(doc_of[order])}
-        return finish(block_rows, covered)
+            found.append(np.frombuffer(unpacked(payload), np.int64))
+        found = np.sort(np.concatenate(found))
+        cut = np.searchsorted(found, here.bounds)
+
+        def covered(n: int) -> np.ndarray:
+            return found[cut[n] : cut[n + 1]] - here.bounds[n]
+
+        return finish(here, covered)
+
+    def loaded_bounds(rows) -> Block:
+        """A block without unit hashes, only with the number of units of each row."""
+        here = Block(rows)
+        here.parts = [kind.parts(t) for t in here.texts]
+        here.bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, here.parts), np.int64, len(here.parts)))))
+        return here
 
     told = dealt.groupBy("block").applyInArrow(tell, route_type)
     judged = told.groupBy("shard").applyInArrow(judge, answer_type)

@@ -16,7 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .repeats import Bytes, covered_starts, kept_spans
+from .repeats import Bytes, covered_starts, kept_spans, ranges
+
+CHUNK_BYTES = 500_000
 
 
 def dense(keys: np.ndarray) -> np.ndarray:
@@ -59,6 +61,18 @@ def earlier_in_runs(runs: np.ndarray, owners: np.ndarray) -> np.ndarray:
 def previous_factors(width: int):
     """The matcher of byte passages: for each window, whether an earlier document has its bytes."""
 
+    def windows_found(texts, starts, ends, n, ranks) -> np.ndarray:
+        """For the windows of some passages, whether another one has them and a smaller owner."""
+        text = np.frombuffer(b"".join(bytes(texts[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint8)
+        size = ends - starts
+        window = ranges(np.cumsum(size) - size, n)
+        classes = suffix_classes(text, width)[window].astype(np.int64)
+        by = np.argsort(classes, kind="stable")
+        runs = np.cumsum(np.concatenate(([0], np.diff(classes[by]) > 0)))
+        found = np.zeros(len(window), bool)
+        found[by] = earlier_in_runs(runs, np.repeat(ranks, n)[by])
+        return found
+
     def match(anchors, ranks, counts, data: bytes, ends):
         lengths = counts + (width - 1)
         texts = memoryview(data)
@@ -76,21 +90,20 @@ def previous_factors(width: int):
         # Later copies of a whole passage are covered; anchors with one content have nothing else to meet.
         contents = np.unique(a[fresh], return_inverse=True, return_counts=True)
         several = contents[2][contents[1]] > 1
+        open_groups = group[fresh & several[group]]
         open_passages = order[fresh & several[group]]
         firsts = {}
-        if len(open_passages):
-            n = counts[open_passages]
-            text = np.frombuffer(b"".join(bytes(texts[starts[i] : ends[i]]) for i in open_passages.tolist()), np.uint8)
-            at = np.cumsum(lengths[open_passages]) - lengths[open_passages]
-            window = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
-            classes = suffix_classes(text, width)[window].astype(np.int64)
-            owner = np.repeat(ranks[open_passages], n)
-            by = np.argsort(classes, kind="stable")
-            runs = np.cumsum(np.concatenate(([0], np.diff(classes[by]) > 0)))
-            found = np.zeros(len(window), bool)
-            found[by] = earlier_in_runs(runs, owner[by])
+        # Equal windows have equal anchors: whole anchors at a time bound the arrays of the suffix order.
+        size = lengths[open_passages]
+        heads = np.unique(anchors[open_passages], return_index=True)[1]
+        chunk = (np.cumsum(size) - size)[heads] // CHUNK_BYTES
+        cuts = heads[np.diff(chunk, prepend=-1) > 0].tolist()
+        for begin, end in zip(cuts, [*cuts[1:], len(open_passages)]):
+            these = open_passages[begin:end]
+            n = counts[these]
+            found = windows_found(texts, starts[these], ends[these], n, ranks[these])
             bounds = np.cumsum(n) - n
-            for g, s, c in zip(group[fresh & several[group]].tolist(), bounds.tolist(), n.tolist()):
+            for g, s, c in zip(open_groups[begin:end].tolist(), bounds.tolist(), n.tolist()):
                 firsts[g] = found[s : s + c]
         for i, g, is_later in zip(order.tolist(), group.tolist(), later.tolist()):
             if is_later:
@@ -120,12 +133,11 @@ def remove_repeats(
     if carry:
         fields.append(T.StructField("kept_text", T.StringType()))
         fields.append(T.StructField("carried", T.StructType([docs.schema[c] for c in carry])))
-    none = np.zeros(0, np.int64)
 
     def finish(block, covered):
         rows = []
         for n, text in enumerate(block.texts):
-            kept, removed, runs = kept_spans(covered.get(n, none), width, len(text))
+            kept, removed, runs = kept_spans(covered(n), width, len(text))
             rows.append((b"".join(text[a:b] for a, b in kept), len(text), removed, runs))
         kept, sizes, removed, runs = zip(*rows)
         columns = {"id": pa.array(block.ids, pa.int64()), "kept": pa.array(kept, pa.binary())}
