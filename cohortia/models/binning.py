@@ -6,48 +6,45 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import col
+from ..operators.rank import running_counts, with_buckets
 
 MAX_BINS = 64
-EDGE_ROWS = 262_144
 
 
-def bin_edges(df: DataFrame, features: Sequence[str], row_id: str, max_bins: int = MAX_BINS) -> dict[str, list[float]]:
+def bin_edges(df: DataFrame, features: Sequence[str], label: str | None = None, max_bins: int = MAX_BINS) -> dict[str, list[float]]:
     """Up to ``max_bins - 1`` edges per feature, halfway between neighbouring values.
 
-    Few-valued features get an edge between all values, others at quantiles.  On large data the
-    quantiles come from about 262,144 rows chosen by the hash of their id, so the edges do not
-    depend on partitioning; all rows are then binned and trained on.  The driver receives the
-    edges only.
+    Few-valued features get an edge between all values, others at quantiles of all rows that have a
+    ``label``: the same rule at every size.  Values are counted with partial sums; running counts go
+    through buckets of bounded size, so no window holds all values of a feature.  The driver receives
+    the edges only.
     """
-    rows = df.count()
-    if rows > 2 * EDGE_ROWS:
-        df = df.where(F.pmod(F.xxhash64(row_id), F.lit(1 << 30)) < int((1 << 30) * EDGE_ROWS / rows))
-    values = df.select(*[col(name).cast("double").alias(name) for name in features]).unpivot(
-        [], [col(name) for name in features], "variable", "value"
+    rows = df if label is None else df.where(col(label).isNotNull())
+    values = rows.select(*[col(name).cast("double").alias(name) for name in features]).unpivot(
+        [], [col(name) for name in features], "variable", "score"
     )
-    counted = values.where("value IS NOT NULL AND NOT isnan(value)").groupBy("variable", "value").count()
-    # Groups are bounded by the number of rows the edges are taken from.
-    group = Window.partitionBy("variable")
-    ordered = group.orderBy("value")
-    placed = counted.select(
-        "variable",
-        ((F.col("value") + F.lead("value").over(ordered)) / 2).alias("edge"),
-        F.count(F.lit(1)).over(group).alias("distinct"),
-        F.sum("count").over(group).alias("total"),
-        F.sum("count").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-        "count",
+    counted = values.where("score IS NOT NULL AND NOT isnan(score)").groupBy("variable", "score").agg(
+        F.count(F.lit(1)).alias("pos"), F.lit(0).cast("bigint").alias("neg")
     )
-    share_after = F.expr(f"upto * {max_bins} div total")
-    share_before = F.expr(f"(upto - count) * {max_bins} div total")
-    wanted = placed.where((F.col("distinct") <= max_bins) | (share_after > share_before)).where("edge IS NOT NULL")
+    bucketed = with_buckets(counted)
+    # One row per feature.
+    sizes = F.broadcast(bucketed.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct")))
+    placed = running_counts(bucketed, ["variable"]).where("prev_score IS NOT NULL").join(sizes, "variable")
+    # The edge below a value stands where the values up to the one before it complete a share of the rows.
+    upto = "(cum_pos - pos)"
+    share_after = F.expr(f"{upto} * {max_bins} div n_pos")
+    share_before = F.expr(f"({upto} - prev_pos) * {max_bins} div n_pos")
+    wanted = placed.where((F.col("distinct") <= max_bins) | (share_after > share_before))
     edges: dict[str, list[float]] = {name: [] for name in features}
-    for row in wanted.select("variable", "edge").collect():
+    for row in wanted.select("variable", ((F.col("prev_score") + F.col("score")) / 2).alias("edge")).collect():
         edges[row["variable"]].append(row["edge"])
-    return {name: sorted(set(found))[: max_bins - 1] for name, found in edges.items()}
+    found = {name: sorted(set(e)) for name, e in edges.items()}
+    assert all(len(e) < max_bins for e in found.values())
+    return found
 
 
 def matrix(batch: pa.RecordBatch, names: Sequence[str]) -> np.ndarray:

@@ -118,7 +118,7 @@ class Boosting:
         self.spark = df.sparkSession
         self.features, self.fits, self.seed = list(features), list(fits), seed
         self.max_bins, self.refresh = max_bins, refresh
-        self.edges = edges or bin_edges(df, self.features, row_id, max_bins)
+        self.edges = edges or bin_edges(df, self.features, label, max_bins)
         rows = binned(df, self.features, self.edges, row_id, label, fold, len(self.fits), max_bins)
         rows = cut_lineage(rows)
         tasks = self.spark.sparkContext.defaultParallelism

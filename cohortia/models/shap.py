@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import col
+from ..session import cut_lineage
 from .binning import matrix
 from .predict import RawTree, collect_trees, plain_fields, plain_names, plain_source
 from .ship import received, shipped
@@ -139,13 +140,17 @@ def shap_long(
     return long_form(shap_wide(df, trees, features, keep, model_id), features)
 
 
-def shap_scaled(long: DataFrame) -> DataFrame:
-    """Add the feature value scaled to 0..1 within its variable, and the variable's mean |attribution|."""
-    spread = long.groupBy("variable").agg(
+def shap_scaled(wide: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Long form with the feature value scaled to 0..1 within its variable, and the variable's mean |attribution|.
+
+    The arrays are written once; ranges and means come from them, and so do the long rows.
+    """
+    held = cut_lineage(wide)
+    spread = long_form(held.select("phi", "x"), features).groupBy("variable").agg(
         F.min("rfvalue").alias("__low"), F.max("rfvalue").alias("__high"), F.avg(F.abs("value")).alias("mean_value")
     )
     # One row per feature.
-    joined = long.join(F.broadcast(spread), "variable")
+    joined = long_form(held, features).join(F.broadcast(spread), "variable")
     scaled = F.try_divide(F.col("rfvalue") - F.col("__low"), F.col("__high") - F.col("__low"))
     return joined.withColumn("stdfvalue", scaled).drop("__low", "__high")
 

@@ -17,7 +17,7 @@ from ..operators.rank import running_counts, with_buckets
 from ..operators.split import stratified_folds
 from ..session import cut_lineage
 from .binning import MAX_BINS, bin_edges
-from .boost import Boosting, Fit
+from .boost import REFRESH_ROUNDS, Boosting, Fit
 from .params import CV_FOLDS, EARLY_STOPPING, BoostParams
 
 HISTOGRAM_BYTES = 256 << 20
@@ -44,12 +44,13 @@ class Candidate:
         top = max(seen)
         return seen.index(top) + 1, top
 
-    def extend(self, values: Sequence[float], patience: int) -> None:
+    def extend(self, values: Sequence[float], patience: int | None) -> None:
+        """Add the next rounds; without ``patience`` a fit never stops early."""
         for value in values:
             if self.stopped or len(self.history) >= self.rounds:
                 return
             self.history.append(value)
-            self.stopped = len(self.history) - self.best(len(self.history))[0] >= patience
+            self.stopped = bool(patience) and len(self.history) - self.best(len(self.history))[0] >= patience
 
 
 def _settings(point: dict) -> BoostParams:
@@ -70,15 +71,20 @@ def tune(
     row_id: str,
     grid: Sequence[dict],
     folds: int = CV_FOLDS,
-    early_stop: int = EARLY_STOPPING,
+    early_stop: int | None = EARLY_STOPPING,
     seed: int = 7204,
     max_bins: int = MAX_BINS,
 ) -> DataFrame:
-    """Held-out AUC of every grid point: its best round and the rounds it ran."""
+    """Held-out AUC of every grid point: its best round and the rounds it ran.
+
+    A fit stops once ``early_stop`` rounds brought nothing better; ``None`` runs all rounds.
+    """
+    if early_stop is not None and early_stop < 1:
+        raise ValueError("early_stop must be at least 1, or None for all rounds")
     features = list(features)
     rows = df.where(F.col(label).isNotNull()).select(row_id, label, *[F.col(f"`{name}`") for name in features])
     folded = cut_lineage(stratified_folds(rows, label, row_id, str(seed), folds, "__fold"))
-    edges = bin_edges(folded, features, row_id, max_bins)
+    edges = bin_edges(folded, features, label, max_bins)
 
     candidates: dict[BoostParams, Candidate] = {}
     for point in grid:
@@ -87,7 +93,10 @@ def tune(
         known.rounds = max(known.rounds, point["nrounds"])
     waiting = sorted(candidates.values(), key=lambda c: c.params.max_depth)
     while waiting:
-        size = _pack_size([c.params for c in waiting[:64]], len(features), folds, max_bins)
+        # Fits come in order of depth; a pack ends where the next one would make it too large.
+        size = 1
+        while size < len(waiting) and size < _pack_size([c.params for c in waiting[: size + 1]], len(features), folds, max_bins):
+            size += 1
         pack, waiting = waiting[:size], waiting[size:]
         _grow_pack(pack, folded, features, label, row_id, folds, early_stop, seed, max_bins, edges)
 
@@ -105,13 +114,14 @@ def tune(
 
 def _grow_pack(pack, folded, features, label, row_id, folds, early_stop, seed, max_bins, edges) -> None:
     fits = [Fit(i * folds + k, c.params, k) for i, c in enumerate(pack) for k in range(folds)]
+    step_rounds = early_stop or REFRESH_ROUNDS
     job = Boosting(
-        folded, features, label, row_id, fits, seed, "__fold", max_bins, refresh=max(early_stop, 1), edges=edges
+        folded, features, label, row_id, fits, seed, "__fold", max_bins, refresh=step_rounds, edges=edges
     )
     try:
         while any(job.active):
             left = max(c.rounds - len(c.history) for c in pack if not c.stopped)
-            step = min(early_stop, left)
+            step = min(step_rounds, left)
             job.run(step)
             means = _round_means(job, folds)
             for i, candidate in enumerate(pack):

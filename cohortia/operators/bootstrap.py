@@ -1,9 +1,10 @@
 """Stratified bootstrap interval of the AUC, exact for any number of distinct scores.
 
 Resampling n cases of a class is a multinomial draw over its distinct scores.  That draw
-splits in two: how many fall in each score bucket, then which scores within a bucket.  Every
-task draws the first part again from the same seed and the small bucket table, and the second
-part for its own bucket.  So each bucket is a task of bounded size, and their sums are the AUC.
+splits in two: how many fall in each score bucket, then which scores within a bucket.  The first
+part is drawn once per group and replicate and leaves one row per bucket and block of replicates; it
+meets the bucket's own scores by a join, where the second part is drawn.  So rows grow with
+buckets times replicates, each bucket is a task of bounded size, and their sums are the AUC.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from .rank import score_counts, with_buckets
 REPLICATES = 1000
 REPLICATE_BLOCK = 100
 BUCKET_SCORES = 20_000
-MOST_BUCKETS = 65_536
 
 
 def _draw(rng: np.random.Generator, n: int, weights: np.ndarray) -> np.ndarray:
@@ -28,19 +28,29 @@ def _draw(rng: np.random.Generator, n: int, weights: np.ndarray) -> np.ndarray:
     return rng.multinomial(n, weights / total) if n and total else np.zeros(len(weights), dtype=np.int64)
 
 
+def _bucket_draws(row, seed: int) -> Iterator[tuple]:
+    """For each bucket of a group: cases drawn into it, and into it and all above, per replicate of the block."""
+    all_pos, all_neg = np.asarray(row.all_pos, np.int64), np.asarray(row.all_neg, np.int64)
+    pos, neg = [], []
+    for rep in range(row.first_rep, row.first_rep + row.reps):
+        shared = np.random.default_rng([seed, row.group_key % (1 << 63), rep])
+        pos.append(_draw(shared, int(all_pos.sum()), all_pos))
+        neg.append(_draw(shared, int(all_neg.sum()), all_neg))
+    pos, neg = np.array(pos), np.array(neg)
+    upward = pos[:, ::-1].cumsum(axis=1)[:, ::-1]
+    for slot, bucket in enumerate(row.bucket):
+        yield row.group_key, int(bucket), slot, row.first_rep, pos[:, slot], neg[:, slot], upward[:, slot]
+
+
 def _concordance(row, seed: int) -> Iterator[tuple[int, int, float]]:
     """Pairs each replicate wins in one bucket: within it, and against the buckets above."""
-    all_pos, all_neg = np.asarray(row.all_pos, np.int64), np.asarray(row.all_neg, np.int64)
     pos, neg = np.asarray(row.pos, np.int64), np.asarray(row.neg, np.int64)
-    group = row.group_key % (1 << 63)
-    for rep in range(row.first_rep, row.first_rep + row.reps):
-        shared = np.random.default_rng([seed, group, rep])
-        drawn_pos = _draw(shared, int(all_pos.sum()), all_pos)
-        drawn_neg = _draw(shared, int(all_neg.sum()), all_neg)
-        own = np.random.default_rng([seed, group, rep, row.slot + 1])
-        got_pos = _draw(own, int(drawn_pos[row.slot]), pos)
-        got_neg = _draw(own, int(drawn_neg[row.slot]), neg)
-        pos_above = drawn_pos[row.slot :].sum() - np.cumsum(got_pos)
+    for i in range(len(row.n_pos)):
+        rep = row.first_rep + i
+        own = np.random.default_rng([seed, row.group_key % (1 << 63), rep, row.slot + 1])
+        got_pos = _draw(own, int(row.n_pos[i]), pos)
+        got_neg = _draw(own, int(row.n_neg[i]), neg)
+        pos_above = int(row.upward[i]) - np.cumsum(got_pos)
         yield row.group_key, rep, float(np.dot(got_neg, pos_above + got_pos / 2.0))
 
 
@@ -55,7 +65,7 @@ def auc_replicates(
 ) -> DataFrame:
     """AUC (direction '<') of every replicate and group; a group with one class has none."""
     spark, by = df.sparkSession, list(by)
-    counts = with_buckets(score_counts(df, label, score, by), bucket_scores, MOST_BUCKETS)
+    counts = with_buckets(score_counts(df, label, score, by), bucket_scores)
     counts = counts.withColumn("group_key", F.xxhash64(F.lit(0), *by))
     # One row per bucket, holding its distinct scores in order.
     cells = F.sort_array(F.collect_list(F.struct("score", "pos", "neg")))
@@ -73,17 +83,27 @@ def auc_replicates(
     blocks = F.transform(
         starts, lambda s: F.struct(s.alias("first_rep"), F.least(F.lit(REPLICATE_BLOCK), F.lit(reps) - s).alias("reps"))
     )
-    work = buckets.join(shape, "group_key").select(
+    blocks_of = shape.select(
         "group_key",
-        (F.array_position(F.col("b.bucket"), F.col("bucket")) - 1).alias("slot"),
-        F.col("cells.pos").alias("pos"),
-        F.col("cells.neg").alias("neg"),
+        F.col("b.bucket").alias("bucket"),
         F.col("b.b_pos").alias("all_pos"),
         F.col("b.b_neg").alias("all_neg"),
         F.inline(blocks),
     )
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    work = work.repartition(tasks, "group_key", "slot", "first_rep")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["group_key", "bucket", "slot", "first_rep", "n_pos", "n_neg", "upward"]
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                yield pd.DataFrame(list(_bucket_draws(row, seed)), columns=names)
+
+    drawn = blocks_of.repartition(tasks, "group_key", "first_rep").mapInPandas(
+        draw,
+        "group_key bigint, bucket int, slot int, first_rep int, n_pos array<bigint>, n_neg array<bigint>, upward array<bigint>",
+    )
+    scores = buckets.select("group_key", "bucket", F.col("cells.pos").alias("pos"), F.col("cells.neg").alias("neg"))
+    work = drawn.join(scores, ["group_key", "bucket"]).repartition(tasks, "group_key", "bucket", "first_rep")
 
     def replicate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:

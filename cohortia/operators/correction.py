@@ -66,8 +66,9 @@ def ids_to_drop(correction: DataFrame) -> DataFrame:
 
 
 def drop_ids(baseline: DataFrame, ids: DataFrame) -> DataFrame:
-    """Baseline without the listed patients; rows without an id stay."""
-    return baseline.join(ids, "ID_original", "left_anti")
+    """Baseline without the listed patients; rows without an id stay, and stay out of the join."""
+    known = F.col("ID_original").isNotNull()
+    return baseline.where(known).join(ids, "ID_original", "left_anti").unionByName(baseline.where(~known))
 
 
 def dedup_baseline(baseline: DataFrame, correction: DataFrame | None) -> DataFrame:

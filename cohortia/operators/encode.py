@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +16,14 @@ MISSING_LEVEL = "missing"
 MAX_LEVELS = 2000
 
 # Columns encoded one column per level.
-ENCODED_COLUMNS = """
-treatment_group AntiCCPevernever Comorb_diabetes Comorb_hiv Comorb_hyperlipidemia
-Comorb_hypertension Comorb_inf Comorb_lung Comorb_malignancy Comorb_myocardial Comorb_neuropsy
-Comorb_other_cv Comorb_stroke Comorb_tobacco_ever_never GC GC_route HCQ LEF MTX MTX_delivery
-Other_DMARD PASI RFevernever SSZ Sex antiaggregant anticoagulant currentNSAIDS currentNSAIDScox
-delivery educational_status family_history pastNSAIDS pastNSAIDScox tsDMARD_schedule
-""".split()
+ENCODED_COLUMNS = [
+    "treatment_group", "AntiCCPevernever", "Comorb_diabetes", "Comorb_hiv", "Comorb_hyperlipidemia",
+    "Comorb_hypertension", "Comorb_inf", "Comorb_lung", "Comorb_malignancy", "Comorb_myocardial",
+    "Comorb_neuropsy", "Comorb_other_cv", "Comorb_stroke", "Comorb_tobacco_ever_never", "GC", "GC_route", "HCQ",
+    "LEF", "MTX", "MTX_delivery", "Other_DMARD", "PASI", "RFevernever", "SSZ", "Sex", "antiaggregant",
+    "anticoagulant", "currentNSAIDS", "currentNSAIDScox", "delivery", "educational_status", "family_history",
+    "pastNSAIDS", "pastNSAIDScox", "tsDMARD_schedule",
+]
 
 # Base variables of the reduced model.
 REDUCED_MODEL = ["PGA", "TJC28", "Prev_btsDMARD", "HAQ0", "PhGA", "Age", "CDAI0", "CRP", "Pain", "AntiCCPevernever"]
@@ -77,13 +78,19 @@ def collect_levels(df: DataFrame, columns: Sequence[str], limit: int = MAX_LEVEL
     return levels
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence] | None = None) -> DataFrame:
+def one_hot(
+    df: DataFrame,
+    columns: Sequence[str],
+    levels: Mapping[str, Sequence] | None = None,
+    limit: int = MAX_LEVELS,
+) -> DataFrame:
     """Replace each column by one 1.0 / 0.0 column per level, named ``column.level``.
 
     Levels are those of the whole frame unless given.  Columns with a single level carry no
-    information and stay as they are.
+    information and stay as they are.  Each level becomes a column of the plan, so a column with more
+    than ``limit`` of them is an error; raise the limit to encode it all the same.
     """
-    levels = collect_levels(df, columns) if levels is None else levels
+    levels = collect_levels(df, columns, limit) if levels is None else levels
     encoded = [name for name in columns if len(levels[name]) > 1]
     kept = [col(name) for name in df.columns if name not in encoded]
     dummies = [
@@ -97,8 +104,13 @@ def one_hot(df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence
 def ordinal_encode(
     df: DataFrame, columns: Sequence[str], levels: Mapping[str, Sequence] | None = None, base: int = 1
 ) -> DataFrame:
-    """Codes in level order, starting at ``base``; missing stays missing."""
-    levels = collect_levels(df, columns) if levels is None else levels
+    """Codes in level order, starting at ``base``; missing stays missing.
+
+    Without ``levels``, the distinct values of each column are numbered in a table of their own,
+    numbers by size and text by alphabet, and joined: any number of levels will do.
+    """
+    if levels is None:
+        return _encode_by_join(df, columns, base)
     codes = {name: {str(level): base + i for i, level in enumerate(levels[name])} for name in columns}
     if not columns:
         return df
@@ -110,6 +122,22 @@ def ordinal_encode(
     )
 
 
+def _encode_by_join(df: DataFrame, columns: Sequence[str], base: int) -> DataFrame:
+    """Codes from a level table that is distributed like any other."""
+    known = level_table(df, columns).where("level IS NOT NULL").select("variable", F.col("level").cast("string").alias("level"))
+    numeric = [name for name in columns if isinstance(df.schema[name].dataType, T.NumericType)]
+    size = F.when(F.col("variable").isin(numeric), F.col("level").cast("double")) if numeric else F.lit(None).cast("double")
+    order = Window.partitionBy("variable").orderBy(size, "level")
+    # One row per level of a column: never rows of the data.
+    coded = known.distinct().withColumn("code", (F.row_number().over(order) + F.lit(base - 1)).cast("double"))
+    out = df
+    for i, name in enumerate(columns):
+        level, code = f"__level{i}", f"__code{i}"
+        one = coded.where(F.col("variable") == name).select(F.col("level").alias(level), F.col("code").alias(code))
+        out = out.join(one, col(name).cast("string") == F.col(level), "left").withColumn(name, F.col(code)).drop(level, code)
+    return out.select(*[col(c) for c in df.columns])
+
+
 def binary_target(df: DataFrame, column: str) -> DataFrame:
     """The target as 0 / 1; any other known value stops the job."""
     value = col(column).cast("double")

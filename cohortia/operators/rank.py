@@ -20,7 +20,6 @@ HOT_ROWS = 1_000_000
 HOT_SHARE = 100_000
 BLOCK_IDS = 1 << 20
 WINDOW_ROWS = 500_000
-MAX_BUCKETS = 8192
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
@@ -34,22 +33,6 @@ def hot_groups(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> DataFr
     return sizes.where((F.col("__n") > rows) & (F.col("__n") * HOT_SHARE > total)).select(*by)
 
 
-def join_sized(
-    rows: DataFrame, per_key: DataFrame, keys: Sequence[str], size: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Inner join with a table of one row per key that also counts the key's ``rows`` in ``size``.
-
-    A key that holds more than 1/100,000 of all rows gets its row by broadcast (fewer than
-    100,000 such keys exist), where the rows lie; all others meet in a shuffle whose
-    partitions no single key can fill.
-    """
-    keys = list(keys)
-    total = per_key.agg(F.sum(size).alias("__total")).scalar()
-    hot = per_key.where((F.col(size) > hot_rows) & (F.col(size) * HOT_SHARE > total))
-    ordinary = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key, keys)
-    return ordinary.unionByName(rows.join(F.broadcast(hot), keys)).drop(size)
-
-
 def numbered(
     df: DataFrame, by: Sequence[str], order: str, tie: str, name: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -103,7 +86,7 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
     )
 
 
-def with_buckets(counts: DataFrame, window_rows: int = WINDOW_ROWS, most: int = MAX_BUCKETS) -> DataFrame:
+def with_buckets(counts: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Add a ``bucket`` that rises with the score and holds a bounded number of distinct scores.
 
     The table is cut off its lineage first, since it is read several times: once to size the
@@ -113,7 +96,7 @@ def with_buckets(counts: DataFrame, window_rows: int = WINDOW_ROWS, most: int =
     rows = counts.count()
     if rows <= window_rows:
         return counts.withColumn("bucket", F.lit(0))
-    parts = min(most, 2 * (rows // window_rows) + 2)
+    parts = 2 * (rows // window_rows) + 2
     cuts = counts.approxQuantile("score", [i / parts for i in range(1, parts)], 0.25 / parts)
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(counts)
@@ -123,13 +106,13 @@ def with_buckets(counts: DataFrame, window_rows: int = WINDOW_ROWS, most: int =
 def running_counts(bucketed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct score: counts up to and including it, group totals, previous score.
 
-    Bucket totals (a few thousand rows per group at most) carry the running count across
+    Bucket totals (one row per some 250,000 distinct scores) carry the running count across
     buckets; inside a bucket a window over its distinct scores finishes the job.
     """
     by = list(by)
     keys = [*by, "bucket"]
     totals = bucketed.groupBy(*keys).agg(
-        F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"), F.max("score").alias("b_last")
+        F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"), F.max(F.struct("score", "pos")).alias("b_last")
     )
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     ordered = group.orderBy("bucket")
@@ -151,6 +134,7 @@ def running_counts(bucketed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.sum("pos").over(upto).alias("cum_pos"),
         F.sum("neg").over(upto).alias("cum_neg"),
         F.lag("score").over(inside).alias("prev_score"),
+        F.lag("pos").over(inside).alias("prev_pos"),
     )
     return join_null_safe(local, totals, keys).select(
         *by,
@@ -159,7 +143,8 @@ def running_counts(bucketed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "neg",
         (F.col("cum_pos") + F.col("pos_before")).alias("cum_pos"),
         (F.col("cum_neg") + F.col("neg_before")).alias("cum_neg"),
-        F.coalesce("prev_score", "last_before").alias("prev_score"),
+        F.coalesce("prev_score", "last_before.score").alias("prev_score"),
+        F.coalesce("prev_pos", "last_before.pos").alias("prev_pos"),
         "n_pos",
         "n_neg",
     )

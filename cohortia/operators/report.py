@@ -73,13 +73,19 @@ def table_one_continuous(df: DataFrame, columns: Sequence[str], strata: str = "s
 
 
 def table_one_categorical(
-    df: DataFrame, columns: Sequence[str], strata: str = "split", values: Sequence[str] = ("train", "test", "external")
+    df: DataFrame, columns: Sequence[str], strata: str = "split", values: Sequence[str] | None = None
 ) -> DataFrame:
     """Count and percent of each level per stratum with the chi-square test across strata.
 
-    Missing values take no part.  Two levels in two strata get the continuity correction.
+    The strata are those of the data unless given.  Missing values and rows without a stratum take
+    no part.  Two levels in two strata get the continuity correction.
     """
+    if values is None:
+        found = df.where(col(strata).isNotNull()).select(col(strata).cast("string").alias("value")).distinct()
+        values = sorted(row["value"] for row in found.collect())
     values = list(values)
+    if not values:
+        raise ValueError(f"no row has a {strata}")
     counts = value_counts(df, columns, by=[strata]).where(F.col("value").isNotNull())
     table = counts.groupBy("variable", F.col("value").alias("level")).pivot(strata, values).agg(F.sum("n"))
     table = table.na.fill(0, values)

@@ -28,8 +28,8 @@ def hash_key(row_id: str, seed: str) -> Column:
 def hash_cuts(df: DataFrame, label: str, row_id: str, seed: str, shares: Sequence[tuple[int, int]]) -> DataFrame:
     """Per class, the hash positions below which exactly ceil(share * n) of its rows lie.
 
-    Rows are counted per class and leading four hex digits.  Only the 1/65,536 of the rows in
-    a slot that holds a cut are sorted.  The result is one row per class.
+    Rows are counted per class and leading four hex digits, then inside the slot that holds a cut by
+    the next four: only one in 2^32 of the rows is ranked.  The result is one row per class.
     """
     keyed = df.where(F.col(label).isNotNull()).select(
         F.col(label).alias("__class"), F.col(row_id).alias("__id"), hash_key(row_id, seed).alias("__hash")
@@ -53,8 +53,18 @@ def hash_cuts(df: DataFrame, label: str, row_id: str, seed: str, shares: Sequenc
         .select("__class", "__slot", "cut", (F.col("target") - before).alias("__need"))
     )
     # At most one row per class and share.
-    ranked = keyed.join(F.broadcast(hit), ["__class", "__slot"]).withColumn(
-        "__rank", F.row_number().over(Window.partitionBy("__class", "__slot", "cut").orderBy("__hash", "__id"))
+    near = keyed.join(F.broadcast(hit), ["__class", "__slot"]).withColumn(
+        "__part", F.conv(F.substring("__hash", 5, 4), 16, 10).cast("int")
+    )
+    parts = near.groupBy("__class", "cut", "__need", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    of_cut = Window.partitionBy("__class", "cut").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumn("__upto", F.sum("__n").over(of_cut))
+    inside = parts.where((F.col("__upto") - F.col("__n") < F.col("__need")) & (F.col("__need") <= F.col("__upto")))
+    # Again one row per class and share.
+    inside = inside.select("__class", "cut", "__part", (F.col("__upto") - F.col("__n")).alias("__before"))
+    ranked = near.join(F.broadcast(inside), ["__class", "cut", "__part"]).withColumn(
+        "__rank",
+        F.row_number().over(Window.partitionBy("__class", "cut").orderBy("__hash", "__id")) + F.col("__before"),
     )
     at_cut = ranked.where("__rank = __need")
     return at_cut.groupBy("__class").agg(

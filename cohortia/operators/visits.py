@@ -32,14 +32,29 @@ def first_visits(visits: DataFrame) -> DataFrame:
     return visits.withColumn("__rank", F.row_number().over(window)).where("__rank = 1").drop("__rank")
 
 
-def followups(visits: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+def with_first(visits: DataFrame, start: str | None = None) -> DataFrame:
+    """Add ``first_visit_id``, the id of the course's first visit, and its date as ``start`` if named.
+
+    One aggregation with partial sums and one join on the course: a course of any size is one row
+    per task in the first, and adaptive execution may split it in the second.
+    """
+    first = F.min(F.struct(F.col("Visit_date").isNull().alias("late"), "Visit_date", "visit_id")).alias("__first")
+    facts = {"first_visit_id": F.col("__first.visit_id")} | ({start: F.col("__first.Visit_date")} if start else {})
+    firsts = visits.groupBy(*COURSE).agg(first).select(*COURSE, *[value.alias(name) for name, value in facts.items()])
+    return join_null_safe(visits, firsts, COURSE)
+
+
+def followups(visits: DataFrame, where: Column | None = None) -> DataFrame:
     """Visits other than the first of their course.
 
-    ``candidates`` restricts the visits returned (a calendar window, say) while first visits
-    are still found among all ``visits``.
+    ``where`` restricts the visits returned (a calendar window, say) while first visits are found
+    among all ``visits``; a ``first_visit_id`` that is there already is used.
     """
-    first = first_visits(visits.select(*COURSE, "Visit_date", "visit_id")).select("visit_id")
-    return (visits if candidates is None else candidates).join(first, "visit_id", "left_anti")
+    known = "first_visit_id" in visits.columns
+    rows = visits if known else with_first(visits)
+    later = rows.where(F.col("visit_id") != F.col("first_visit_id"))
+    later = later if where is None else later.where(where)
+    return later if known else later.drop("first_visit_id")
 
 
 def in_window(lo: int = EARLIEST_MONTHS, hi: int = LATEST_MONTHS, clamp: bool = False) -> Column:
@@ -60,12 +75,12 @@ def window_visits(
     visits: DataFrame, lo: int = EARLIEST_MONTHS, hi: int = LATEST_MONTHS, clamp: bool = False
 ) -> DataFrame:
     """Follow-up visits inside the outcome window."""
-    return followups(visits, visits.where(in_window(lo, hi, clamp)))
+    return followups(visits, in_window(lo, hi, clamp))
 
 
 def early_visits(visits: DataFrame, hi: int = EARLIEST_MONTHS, clamp: bool = False) -> DataFrame:
     """Follow-up visits with a score after the start and before the outcome window."""
-    return followups(visits, visits.where(before_window(hi, clamp) & ~is_missing(visits, "CDAI")))
+    return followups(visits, before_window(hi, clamp) & ~is_missing(visits, "CDAI"))
 
 
 def course_outcomes(

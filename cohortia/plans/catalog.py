@@ -17,7 +17,7 @@ from ..models.tune import best_params, tune
 from ..operators import correction as corr
 from ..operators import eligibility as elig
 from ..operators import encode, explain, metrics, profile, report, split, visits
-from ..operators.bootstrap import auc_ci
+from ..operators.bootstrap import REPLICATES, auc_ci
 from ..operators.evaluate import evaluate, summary_rows
 from ..session import cut_lineage
 from ..sources.fixtures import (
@@ -389,16 +389,35 @@ def binarised_roc(v: Views) -> DataFrame:
     return metrics.roc_points(labelled, score="pred", by=["split"])
 
 
+@query
+def binarised_operating_point(v: Views) -> DataFrame:
+    """The point of the binarised curve whose FPR is nearest to the one at the training threshold."""
+    scored = v.scored()
+    roc = metrics.roc_points(scored, by=["split"])
+    threshold = _train_threshold(roc)
+    points = metrics.operating_points(roc, threshold).select("split", F.col("fpr").alias("wanted"))
+    labelled = metrics.roc_points(metrics.classify(scored, threshold), score="pred", by=["split"])
+    # One row per split.
+    near = metrics.nearest_point(labelled.join(F.broadcast(points), "split"), "fpr", F.col("wanted"), ["split"])
+    return near.select("split", "threshold", "tpr", "fpr")
+
+
 @query
 def subgroup_metrics(v: Views) -> DataFrame:
-    rows = v.scored().where("NOT (grp <=> '5-LOW' AND y = 1) AND split <> 'train'")
-    return metrics.subgroup_metrics(rows, GIVEN_THRESHOLD, "grp", by=["split"])
+    """Per group at the training threshold; in one group the label has a single class."""
+    scored = v.scored()
+    threshold = _train_threshold(metrics.roc_points(scored, by=["split"]))
+    one_class = F.when(F.col("grp") == "5-LOW", F.lit(0)).otherwise(F.col("y")).cast("bigint")
+    rows = scored.where("split <> 'train'").withColumn("y", one_class)
+    return metrics.subgroup_metrics(rows, threshold, "grp", by=["split"])
 
 
 @query
 def sensitivity_subset_metrics(v: Views) -> DataFrame:
-    rows = metrics.sensitivity_subset(v.scored()).where("split <> 'train'")
-    cells = metrics.class_metrics(metrics.confusion(metrics.classify(rows, GIVEN_THRESHOLD), by=["split"]))
+    scored = v.scored()
+    threshold = _train_threshold(metrics.roc_points(scored, by=["split"]))
+    rows = metrics.sensitivity_subset(scored).where("split <> 'train'")
+    cells = metrics.class_metrics(metrics.confusion(metrics.classify(rows, threshold), by=["split"]))
     areas = metrics.auc(rows, by=["split"]).select("split", "auc")
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
     return cells.join(areas, "split").select("split", n.alias("n"), "auc", "tp", "fp", "fn", "tn", "f1", "f1_neg")
@@ -406,7 +425,7 @@ def sensitivity_subset_metrics(v: Views) -> DataFrame:
 
 @query
 def auc_bootstrap_ci(v: Views) -> DataFrame:
-    return auc_ci(v.scored(), reps=200)
+    return auc_ci(v.scored())
 
 
 # --- attributions given in long form
@@ -437,7 +456,7 @@ def shap_top10_by_group(v: Views) -> DataFrame:
 
 @query
 def evaluation_bundle(v: Views) -> DataFrame:
-    return evaluate(v.scored()).drop("kappa")
+    return evaluate(v.scored())
 
 
 @query
@@ -447,7 +466,7 @@ def evaluation_summary(v: Views) -> DataFrame:
 
 @query
 def evaluation_with_interval(v: Views) -> DataFrame:
-    return summary_rows(evaluate(v.scored(), reps=200))
+    return summary_rows(evaluate(v.scored(), reps=REPLICATES))
 
 
 # --- trained models
@@ -492,7 +511,7 @@ def stump_attributions(v: Views) -> DataFrame:
     trees = cut_lineage(fit_boost(rows.where("split = 'train'"), MODEL_FEATURES, "y", "row_id", stump, 1))
     scored = predict(rows, trees, MODEL_FEATURES)
     long = shap_long(scored, trees, MODEL_FEATURES, keep=["row_id", "p"])
-    return long.where("value <> 0").drop("rfvalue")
+    return long.drop("rfvalue")
 
 
 @query
@@ -530,7 +549,7 @@ def tune_best(v: Views) -> DataFrame:
 @query
 def shap_long_model(v: Views) -> DataFrame:
     rows = _training(v)
-    return shap_scaled(shap_long(rows, _small_trees(rows), MODEL_FEATURES, keep=["row_id"]))
+    return shap_scaled(shap_wide(rows, _small_trees(rows), MODEL_FEATURES, keep=["row_id"]), MODEL_FEATURES)
 
 
 @query
@@ -539,7 +558,8 @@ def shap_adds_up(v: Views) -> DataFrame:
     trees = _small_trees(rows)
     expected = expected_margin(collect_trees(trees, MODEL_FEATURES), SMALL_MODEL.base_score)
     scored = predict(rows, trees, MODEL_FEATURES)
-    return margin_gap(shap_wide(scored, trees, MODEL_FEATURES, keep=["row_id", "p"]), expected)
+    gap = margin_gap(shap_wide(scored, trees, MODEL_FEATURES, keep=["row_id", "p"]), expected)
+    return gap.select("n_rows", (F.col("max_gap") < 1e-6).cast("bigint").alias("adds_up"))
 
 
 @query
@@ -554,4 +574,4 @@ def shap_model_top_by_group(v: Views) -> DataFrame:
     rows = _training(v)
     kept = ["row_id", "treatment_group"]
     shap = shap_long(rows.where("split = 'train'"), _small_trees(rows), MODEL_FEATURES, keep=kept)
-    return explain.rank_by_group(shap, n=3)
+    return explain.rank_by_group(shap)

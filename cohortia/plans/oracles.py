@@ -475,21 +475,32 @@ SELECT split, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr,
 SQL["binarised_roc"] = f"""WITH {CHOSEN.replace('counts', 'counts1').replace('cuts', 'cuts1').replace('sizes', 'sizes1').replace('roc', 'roc1')},
 labelled AS (SELECT split, y, CAST(p > t AS DOUBLE) AS pred FROM scored, chosen), {roc_sql('labelled', 'pred')}
 SELECT {ROC_COLUMNS} FROM roc"""
-SQL["subgroup_metrics"] = f"""WITH {SCORED}, kept AS (
-  SELECT * FROM scored WHERE grp IS NOT NULL AND NOT (grp = '5-LOW' AND y = 1) AND split <> 'train'),
+SQL["binarised_operating_point"] = f"""WITH {CHOSEN.replace('counts', 'counts1').replace('cuts', 'cuts1').replace('sizes', 'sizes1').replace('roc', 'roc1')},
+wanted AS (
+  SELECT split, fpr AS f FROM (
+    SELECT roc1.*, ROW_NUMBER() OVER (PARTITION BY split ORDER BY abs(threshold - t), threshold) AS k FROM roc1, chosen)
+  WHERE k = 1),
+labelled AS (SELECT split, y, CAST(p > t AS DOUBLE) AS pred FROM scored, chosen), {roc_sql('labelled', 'pred')},
+near AS (
+  SELECT roc.*, ROW_NUMBER() OVER (PARTITION BY split ORDER BY abs(fpr - f), threshold) AS k FROM roc JOIN wanted USING (split))
+SELECT split, round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM near WHERE k = 1"""
+SQL["subgroup_metrics"] = f"""WITH {CHOSEN}, kept AS (
+  SELECT * REPLACE (CASE WHEN grp = '5-LOW' THEN 0 ELSE y END AS y)
+  FROM scored WHERE grp IS NOT NULL AND split <> 'train'),
 {auc_sql('kept', 'split, grp')},
 cells AS (
-  SELECT split, grp, COUNT(*) AS n, CAST(COUNT(*) FILTER (WHERE y = 1 AND p > 0.5) AS DOUBLE) AS tp,
-         CAST(COUNT(*) FILTER (WHERE y = 0 AND p > 0.5) AS DOUBLE) AS fp,
-         CAST(COUNT(*) FILTER (WHERE y = 1 AND p <= 0.5) AS DOUBLE) AS fn,
-         CAST(COUNT(*) FILTER (WHERE y = 0 AND p <= 0.5) AS DOUBLE) AS tn FROM kept GROUP BY 1, 2),
+  SELECT split, grp, COUNT(*) AS n, CAST(COUNT(*) FILTER (WHERE y = 1 AND p > t) AS DOUBLE) AS tp,
+         CAST(COUNT(*) FILTER (WHERE y = 0 AND p > t) AS DOUBLE) AS fp,
+         CAST(COUNT(*) FILTER (WHERE y = 1 AND p <= t) AS DOUBLE) AS fn,
+         CAST(COUNT(*) FILTER (WHERE y = 0 AND p <= t) AS DOUBLE) AS tn FROM kept, chosen GROUP BY 1, 2),
 rates AS (SELECT *, tp / NULLIF(tp + fn, 0) AS sens, tn / NULLIF(tn + fp, 0) AS spec FROM cells)
 SELECT r.split, r.grp, n, round(CASE WHEN n_pos > 0 AND n_neg > 0 THEN auc END, 6) AS auc,
        round(sens, 6) AS sensitivity, round(spec, 6) AS specificity, round(tp / NULLIF(tp + fp, 0), 6) AS ppv,
        round(tn / NULLIF(tn + fn, 0), 6) AS npv, round((sens + spec) / 2, 6) AS balanced_accuracy
 FROM rates r JOIN aucs a ON r.split = a.split AND r.grp = a.grp"""
-SQL["sensitivity_subset_metrics"] = f"""WITH {SCORED}, kept AS (
-  SELECT * FROM scored WHERE CDAI0 > 10 AND split <> 'train'), {auc_sql('kept', 'split')}, {CELLS.format(source='kept')}
+SQL["sensitivity_subset_metrics"] = f"""WITH {CHOSEN}, kept AS (
+  SELECT * FROM scored WHERE CDAI0 > 10 AND split <> 'train'), {auc_sql('kept', 'split')},
+{CELLS.format(source='kept, chosen').replace('0.5', 't')}
 SELECT split, tp + fp + fn + tn AS n, round(auc, 6) AS auc, tp, fp, fn, tn,
        round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1, round(2.0 * tn / (2 * tn + fp + fn), 6) AS f1_neg
 FROM cells JOIN aucs USING (split)"""
@@ -526,7 +537,9 @@ cells AS (
   FROM scored, thresholds GROUP BY 1, 2, 3),
 bundle AS (
   SELECT c.*, auc, CAST(tp + fp + fn + tn AS DOUBLE) AS n, CAST(tp AS DOUBLE) / NULLIF(tp + fn, 0) AS sens,
-         CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0) AS spec
+         CAST(tn AS DOUBLE) / NULLIF(tn + fp, 0) AS spec,
+         (CAST(tp + fp AS DOUBLE) * (tp + fn) + CAST(tn + fn AS DOUBLE) * (tn + fp))
+           / ((CAST(tp + fp AS DOUBLE) + fn + tn) * (tp + fp + fn + tn)) AS pe
   FROM cells c JOIN aucs a ON c.split = a.split)"""
 SQL["evaluation_bundle"] = f"""WITH {BUNDLE}
 SELECT split, "at", round(threshold, 6) AS threshold, tp, fp, fn, tn, round(sens, 6) AS sensitivity,
@@ -534,6 +547,7 @@ SELECT split, "at", round(threshold, 6) AS threshold, tp, fp, fn, tn, round(sens
        round(CAST(tn AS DOUBLE) / NULLIF(tn + fn, 0), 6) AS npv,
        round(2.0 * tp / NULLIF(2 * tp + fp + fn, 0), 6) AS f1, round(2.0 * tn / NULLIF(2 * tn + fp + fn, 0), 6) AS f1_neg,
        round((sens + spec) / 2, 6) AS balanced_accuracy, round((tp + tn) / n, 6) AS accuracy,
+       round(((tp + tn) / n - pe) / NULLIF(1 - pe, 0), 6) AS kappa,
        round((tp + fn) / n, 6) AS prevalence, round(tp / n, 6) AS detection_rate,
        round((tp + fp) / n, 6) AS detection_prevalence, round(auc, 6) AS auc
 FROM bundle"""
@@ -606,7 +620,11 @@ every AS ({" UNION ALL ".join(
 leaves AS (
   SELECT *, -0.3 * g1 / (n1 / 4 + 1) AS left_value, -0.3 * (g - g1) / ((n - n1) / 4 + 1) AS right_value FROM best),
 scored AS (
-  SELECT row_id, variable, CASE WHEN (x IS NULL AND d = 1) OR x < edge THEN left_value ELSE right_value END AS leaf,
-         (n1 * left_value + (n - n1) * right_value) / n AS expected
+  SELECT row_id, CASE WHEN (x IS NULL AND d = 1) OR x < edge THEN left_value ELSE right_value END AS leaf,
+         (n1 * left_value + (n - n1) * right_value) / n AS expected, feature
   FROM every JOIN leaves ON variable = feature)
-SELECT row_id, variable, round(leaf - expected, 6) AS value, round(1 / (1 + exp(-leaf)), 6) AS p FROM scored"""
+SELECT e.row_id, e.variable, round(CASE WHEN e.variable = s.feature THEN leaf - expected ELSE 0 END, 6) AS value,
+       round(1 / (1 + exp(-leaf)), 6) AS p
+FROM every e JOIN scored s ON e.row_id = s.row_id"""
+# Attributions and the expected margin add up to the margin on every row that has a split.
+SQL["shap_adds_up"] = f"""WITH {MODEL_ROWS} SELECT COUNT(*) AS n_rows, CAST(1 AS BIGINT) AS adds_up FROM splits"""

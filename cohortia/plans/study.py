@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,7 @@ from ..operators import eligibility as elig
 from ..operators import encode, explain, metrics, profile, report, split, visits
 from ..operators.evaluate import evaluate, summary_rows, train_threshold
 from ..session import cut_lineage
+from ..sources.tables import ExportConfig, append_metrics, export, save_model
 
 # Sites, dates, years and drugs of the registry study.
 EXTERNAL_SITES = ["CH"]
@@ -48,6 +49,13 @@ DRUG_GROUPS = {
     "RITX": ["rituximab"],
 }
 
+CORRECTED_SITE = "CH"
+VISIT_COLUMNS = ["ID", "ttt_course", "visit_id", "Visit_date", "ttt_startDate", "CDAI"]
+BASELINE_COLUMNS = [
+    "ID", "ttt_course", "ID_original", "Visit_date", "Code", "disease", "year", "generic_name", "ttt_startDate",
+    "ttt_stopDate", "lostFUDate", "extraction_date", "Weight", "Height", "HAQ0", "CDAI0",
+]
+
 TARGET = "CDAI_response"
 GROUP = "treatment_group"
 SCORE = "CDAI0"
@@ -74,6 +82,8 @@ class StudySettings:
     default: tuple[BoostParams, int] = (DEFAULT_PARAMS, DEFAULT_ROUNDS)
     replicates: int = 1000
     seed: int = 7202
+    corrected_site: str = CORRECTED_SITE
+    output: ExportConfig = field(default_factory=ExportConfig)
 
 
 def build_cohort(
@@ -127,22 +137,73 @@ def prepare(cohort: DataFrame, settings: StudySettings) -> tuple[DataFrame, Data
     return readable, encode.nan_to_null(encoded)
 
 
-def feature_names(encoded: DataFrame, settings: StudySettings) -> list[str]:
-    """Model features: all or the reduced set, near-constant ones on the training rows left out."""
+def candidates(encoded: DataFrame, settings: StudySettings) -> list[str]:
+    """Columns that may be features: all, or those of the reduced set."""
     keys = {settings.row_id, "Code", TARGET, "split"}
     names = [name for name in encoded.columns if name not in keys]
-    if settings.base_variables is not None:
-        names = encode.expand_features(names, settings.base_variables)
+    return names if settings.base_variables is None else encode.expand_features(names, settings.base_variables)
+
+
+def feature_names(encoded: DataFrame, settings: StudySettings) -> list[str]:
+    """Model features, near-constant ones on the training rows left out."""
+    names = candidates(encoded, settings)
     dropped = set(profile.near_zero_names(encoded.where("split = 'train'"), names))
     return [name for name in names if name not in dropped]
 
 
+def check_rows(left: DataFrame, right: DataFrame, row_id: str) -> None:
+    """Both tables must be about the same rows."""
+    found = encode.unmatched_rows(left, right, row_id).first()
+    if len(set(found)) != 1:
+        raise ValueError(f"rows do not match: {found.asDict()}")
+
+
+def audit(
+    visit_table: DataFrame, baseline: DataFrame, correction: DataFrame | None, cohort: DataFrame, settings: StudySettings
+) -> dict[str, DataFrame]:
+    """What the steps before the model changed or left out."""
+    labels = visits.remission_groups(visit_table)
+    tables = {
+        "remission_groups": labels,
+        "remission_group_counts": labels.groupBy("remission_group").agg(F.count(F.lit(1)).alias("n")),
+        "rows_without_site": split.unassigned_rows(cohort, "Code"),
+    }
+    if correction is not None:
+        corrected = corr.apply_correction(corr.dedup_baseline(baseline, correction), correction, keep_original=True)
+        tables["correction_count"] = corr.correction_count(corrected, settings.corrected_site)
+        tables["correction_pairs"] = corr.pair_audit(correction)
+    return tables
+
+
+def curves(scored: DataFrame, threshold) -> dict[str, DataFrame]:
+    """ROC curves per split, of the scores and of the labels at the training threshold, with their points."""
+    roc = metrics.roc_points(scored, TARGET, by=["split"])
+    points = metrics.operating_points(roc, threshold)
+    binarised = metrics.roc_points(metrics.classify(scored, threshold), TARGET, score="pred", by=["split"])
+    # One row per split.
+    wanted = F.broadcast(points.select("split", F.col("fpr").alias("wanted")))
+    nearest = metrics.nearest_point(binarised.join(wanted, "split"), "fpr", F.col("wanted"), ["split"])
+    return {"roc": roc, "operating_points": points, "binarised_roc": binarised, "binarised_point": nearest}
+
+
+def write_results(results: Mapping[str, DataFrame], params: BoostParams, rounds: int, settings: StudySettings) -> None:
+    """Everything the output settings allow: tables, metrics of the run, the model."""
+    for name, found in results.items():
+        export(found, name, settings.output)
+    for stage in ("initial_evaluation", "evaluation", "sensitivity", "subgroups"):
+        append_metrics(stage, results[stage], settings.output)
+    save_model(results["trees"], {**asdict(params), "nrounds": rounds}, f"{settings.output.folder}/model", settings.output)
+
+
 def run_study(
     visit_table: DataFrame, baseline: DataFrame, correction: DataFrame | None, settings: StudySettings
 ) -> dict[str, DataFrame]:
-    """All result tables of the study."""
+    """All result tables of the study; written too as far as ``settings.output`` allows."""
+    encode.require_columns(visit_table, VISIT_COLUMNS)
+    encode.require_columns(baseline, [settings.row_id, *BASELINE_COLUMNS])
     cohort, flow = build_cohort(visit_table, baseline, correction, settings)
     readable, encoded = prepare(cohort, settings)
+    check_rows(readable, encoded, settings.row_id)
     if settings.include_baseline_flag:
         encoded = report.flag_at_most(encoded, SCORE, visits.REMISSION, "baseline_remission")
     row_id = settings.row_id
@@ -152,6 +213,10 @@ def run_study(
     kinds = profile.classify_columns(readable.select(*[col(c) for c in described]))
     results = {
         "cohort_flow": flow,
+        **audit(visit_table, baseline, correction, cohort, settings),
+        "cardinality": profile.profile_cardinality(readable),
+        "levels": profile.level_table(readable, [c for c in described if kinds[c] == "categorical"]),
+        "near_zero_variance": profile.near_zero_var(encoded.where("split = 'train'"), candidates(encoded, settings)),
         "outcome": report.freq_table(readable, TARGET, ["split"]),
         "baseline_remission": report.freq_table(flagged, "baseline_remission", ["split"]),
         "missingness": report.missingness(readable, described),
@@ -181,6 +246,7 @@ def run_study(
     facts = readable.select(row_id, GROUP, SCORE)
     scored = cut_lineage(encode.align(scored, facts, row_id))
     threshold = train_threshold(metrics.ranked_scores(scored, TARGET, by=["split"]))
+    results |= curves(scored, threshold)
     results["trees"] = trees
     results["scored"] = scored
     results["evaluation"] = evaluate(scored, TARGET, reps=settings.replicates)
@@ -197,6 +263,8 @@ def run_study(
     wide = cut_lineage(shap_wide(labelled, trees, features, keep=[row_id, GROUP, "baseline_score"]))
     shap = long_form(wide, features)
     results["shap_top"] = explain.top_variables(shap)
+    results["shap_subset"] = metrics.sensitivity_subset(shap, "baseline_score")
     results["shap_high_score"] = explain.mean_abs_shap(metrics.sensitivity_subset(shap, "baseline_score"))
     results["shap_top_by_group"] = explain.rank_by_group(shap, GROUP)
+    write_results(results, params, rounds, settings)
     return results

@@ -7,12 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..operators.eligibility import map_groups
-from ..operators.rank import join_sized
 from ..operators.split import HoldOut, assign_split
-from ..operators.visits import COURSE, attach_outcome, first_visits, outcome_in_window
+from ..operators.visits import attach_outcome, first_visits, outcome_in_window, with_first
 from ..session import cut_lineage, tune
 
 # Study parameters that the queries and their SQL share.
@@ -37,8 +35,6 @@ NUMERIC = ["HAQ0", "CDAI0", "Weight", "Height", "price", "four", "ten", "eleven"
 class Views:
     """The views over one folder of parquet tables."""
 
-    schemas: dict[str, StructType] = {}
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder
@@ -47,10 +43,7 @@ class Views:
     def table(self, name: str) -> DataFrame:
         """A given table; its footer is read once."""
         if name not in self.read:
-            path = f"{self.folder}/{name}.parquet"
-            if path not in Views.schemas:
-                Views.schemas[path] = self.spark.read.parquet(path).schema
-            self.read[name] = self.spark.read.schema(Views.schemas[path]).parquet(path)
+            self.read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         return self.read[name]
 
     def raw_visits(self) -> DataFrame:
@@ -65,14 +58,8 @@ class Views:
         )
 
     def visits(self) -> DataFrame:
-        """Visits with their course start.
-
-        The start is grouped with partial results and joined back rather than taken by a window,
-        and a very large course gets its start by broadcast, so no task holds a whole course.
-        """
-        visits = self.raw_visits()
-        starts = visits.groupBy(*COURSE).agg(F.min("Visit_date").alias("ttt_startDate"), F.count("*").alias("n"))
-        return join_sized(visits, starts, COURSE, "n")
+        """Visits with their course start and first visit, from one aggregate per course."""
+        return with_first(self.raw_visits(), "ttt_startDate")
 
     def sites(self) -> DataFrame:
         """One row per patient: site and registry facts."""
@@ -189,7 +176,7 @@ class Views:
         return assign_split(cut_lineage(self.features()), "CDAI_response", "row_id", SPLIT_SEED, HOLD_OUT)
 
     def orders_with_site(self) -> DataFrame:
-        """Orders with patient facts; a patient with very many orders does not fill one task."""
+        """Orders with patient facts; adaptive execution may split a patient with very many orders."""
         row, price = F.col("o_orderkey"), F.col("o_totalprice")
         orders = self.table("orders").select(
             row.alias("row_id"),
@@ -203,9 +190,7 @@ class Views:
             F.month("o_orderdate").cast("double").alias("month"),
             F.when(row % 23 == 0, F.lit(float("nan"))).otherwise(price).alias("price"),
         )
-        sizes = orders.groupBy("ID").agg(F.count("*").alias("n"))
-        patients = self.sites().select("ID", "Code", "Weight", "segment").join(sizes, "ID")
-        return join_sized(orders, patients, ["ID"], "n")
+        return orders.join(self.sites().select("ID", "Code", "Weight", "segment"), "ID")
 
     def scored(self) -> DataFrame:
         """Rows with a label, a given score, a group, a baseline score and their split.

@@ -8,13 +8,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortia.models import binning
 from cohortia.models import tune as tuning
 from cohortia.models.binning import bin_edges
 from cohortia.models.boost import GRID_UNIT, Boosting, Fit, fit_boost
 from cohortia.models.params import GRID, BoostParams, param_grid
 from cohortia.models.predict import collect_trees, predict
 from cohortia.models.shap import attributions, expected_margin, margin_gap, shap_long, shap_scaled, shap_wide
-from cohortia.operators import metrics
+from cohortia.operators import metrics, rank
 
 FEATURES = ["a", "b.x", "c"]
 
@@ -86,7 +87,7 @@ def brute_trees(rows, edges, params, rounds):
 )
 def test_trees_equal_brute_force(spark, params):
     df, rows = table(spark)
-    edges = bin_edges(df, FEATURES, "row_id", 64)
+    edges = bin_edges(df, FEATURES, "y", 64)
     assert edges["c"] == [0.5, 1.5] and len(edges["b.x"]) <= 63
     found = {}
     for row in fit_boost(df, FEATURES, "y", "row_id", params, 3).collect():
@@ -180,7 +181,7 @@ def test_attributions(spark):
     assert wide.columns == ["row_id", "b.x", "p", "phi", "x"]
     gap = margin_gap(wide, expected_margin(forest, 0.5)).first()
     assert gap["n_rows"] == len(rows) and gap["max_gap"] < 1e-9
-    scaled = shap_scaled(long)
+    scaled = shap_scaled(wide, FEATURES)
     assert scaled.agg(F.min("stdfvalue"), F.max("stdfvalue")).first()[:] == (0.0, 1.0)
     missing = long.where("variable = 'a' AND rfvalue IS NULL").count()
     assert missing == sum(r[2] is None for r in rows)
@@ -197,11 +198,34 @@ def test_early_stopping_rule():
     one = tuning.Candidate(BoostParams(), 10)
     one.extend([0.5, 0.7, 0.7, 0.6, 0.9], patience=2)
     assert one.stopped and one.history == [0.5, 0.7, 0.7, 0.6] and one.best(50) == (2, 0.7) and one.best(1) == (1, 0.5)
+    endless = tuning.Candidate(BoostParams(), 6)
+    endless.extend([0.9, 0.5, 0.5, 0.5, 0.5, 0.6], patience=None)
+    assert len(endless.history) == 6 and not endless.stopped and endless.best(6) == (1, 0.9)
     short = tuning.Candidate(BoostParams(), 3)
     short.extend([0.5, 0.6, 0.7, 0.8], patience=5)
     assert short.history == [0.5, 0.6, 0.7] and not short.stopped
 
 
+@pytest.mark.parametrize("window_rows", [3, 40])
+def test_edges_do_not_depend_on_the_bucket_size(spark, monkeypatch, window_rows):
+    df, _ = table(spark)
+    whole = bin_edges(df, FEATURES, "y", 16)
+    monkeypatch.setattr(binning, "with_buckets", lambda counts: rank.with_buckets(counts, window_rows))
+    assert bin_edges(df, FEATURES, "y", 16) == whole
+    unlabelled = df.withColumn("y", F.when(F.col("row_id") % 2 == 0, F.col("y")))
+    assert bin_edges(unlabelled, FEATURES, "y", 16) == bin_edges(df.where("row_id % 2 = 0"), FEATURES, "y", 16)
+
+
+def test_early_stopping_must_be_positive_or_off(spark):
+    df, _ = table(spark)
+    grid = param_grid(
+        eta=[0.3], max_depth=[1], gamma=[0.0], colsample_bytree=[1.0], min_child_weight=[1.0], subsample=[1.0], nrounds=[2]
+    )
+    with pytest.raises(ValueError, match="early_stop"):
+        tuning.tune(df, FEATURES, "y", "row_id", grid, folds=2, early_stop=0)
+    assert tuning.tune(df, FEATURES, "y", "row_id", grid, folds=2, early_stop=None).first()["rounds_run"] == 2
+
+
 def test_tuning_equals_separate_fits(spark):
     df, _ = table(spark)
     grid = param_grid(
@@ -215,7 +239,7 @@ def test_tuning_equals_separate_fits(spark):
     from cohortia.operators.split import stratified_folds
 
     folded = stratified_folds(df, "y", "row_id", "7", 2, "k").cache()
-    edges = bin_edges(folded, FEATURES, "row_id")
+    edges = bin_edges(folded, FEATURES, "y")
     params = BoostParams(eta=0.3, max_depth=2, colsample_bytree=0.7, subsample=0.8)
     best = []
     for rounds in (1, 2):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cohortia.operators import metrics, split
 from cohortia.operators.bootstrap import auc_ci, auc_replicates
 from cohortia.operators.evaluate import evaluate, summary_rows
-from cohortia.operators.rank import hot_groups, join_sized, numbered, running_counts, score_counts, with_buckets
+from cohortia.operators.rank import hot_groups, numbered, running_counts, score_counts, with_buckets
 
 
 def visits(spark):
@@ -39,16 +39,6 @@ def test_hot_groups_are_the_large_ones(spark):
     assert [r["k"] for r in hot_groups(df, ["k"], 300).collect()] == ["hot"]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 300, 10**9])
-def test_join_of_hot_and_ordinary_keys(spark, hot_rows):
-    df, rows = visits(spark)
-    sizes = df.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    found = join_sized(df, sizes, ["k"], "n", hot_rows)
-    assert found.columns == ["k", "id", "day", "first"]
-    first = {k: min(i for i, other, _ in rows if other == k) for _, k, _ in rows}
-    assert sorted((r["id"], r["first"]) for r in found.collect()) == sorted((i, first[k]) for i, k, _ in rows)
-
-
 def scored(spark, n=400, seed=2, levels=25):
     rng = random.Random(seed)
     rows = []
@@ -190,12 +180,13 @@ def test_bootstrap_bucket_draw_matches_a_whole_draw():
     """Two scores in two buckets: the draw in parts gives exactly the AUC of its own counts."""
     from types import SimpleNamespace
 
-    from cohortia.operators.bootstrap import _concordance
+    from cohortia.operators.bootstrap import _bucket_draws, _concordance
 
+    group = SimpleNamespace(all_pos=[3, 7], all_neg=[5, 2], bucket=[0, 1], group_key=1, first_rep=0, reps=5)
     total = [0.0] * 5
-    for slot, (pos, neg) in enumerate([([3], [5]), ([7], [2])]):
+    for (_, _, slot, first, n_pos, n_neg, upward), pos, neg in zip(_bucket_draws(group, 9), ([3], [7]), ([5], [2])):
         row = SimpleNamespace(
-            all_pos=[3, 7], all_neg=[5, 2], pos=pos, neg=neg, group_key=1, first_rep=0, reps=5, slot=slot
+            n_pos=n_pos, n_neg=n_neg, upward=upward, pos=pos, neg=neg, group_key=1, first_rep=first, slot=slot
         )
         for _, rep, wins in _concordance(row, 9):
             total[rep] += wins

@@ -60,7 +60,7 @@ def test_cut_lineage_uses_the_checkpoint_folder(spark):
 
 
 @pytest.mark.parametrize("reduced", [False, True])
-def test_study(spark, reduced):
+def test_study(spark, reduced, tmp_path):
     views = fixtures.Views(spark, "/root/testdata/sf0.01")
     baseline = views.baseline(drugs=True).withColumns(
         {"row_id": F.col("visit_id"), "BMI": F.lit(1.0), "smoker": F.col("visit_id") % 2 == 0}
@@ -84,6 +84,7 @@ def test_study(spark, reduced):
         initial=small,
         default=small,
         replicates=20,
+        output=tables.ExportConfig(str(tmp_path), derived_outputs=reduced, model_artifacts=reduced),
     )
     tables_found = run_study(views.visits(), baseline, views.correction(), settings)
     flow = tables_found["cohort_flow"].orderBy("step_no").collect()
@@ -100,6 +101,16 @@ def test_study(spark, reduced):
     assert not names & {"CDAI_response", "split", "row_id", "Code", "baseline_remission"}
     assert tables_found["shap_top_by_group"].where("variable LIKE 'treatment_group.%'").count() == 0
     for name in ("outcome", "baseline_remission", "missingness", "table_one_continuous", "table_one_categorical",
-                 "sensitivity", "subgroups", "initial_evaluation", "initial_shap_top"):
+                 "sensitivity", "subgroups", "initial_evaluation", "initial_shap_top", "remission_group_counts",
+                 "rows_without_site", "correction_count", "cardinality", "levels", "near_zero_variance", "roc",
+                 "operating_points", "binarised_roc", "binarised_point", "shap_subset"):
         assert tables_found[name].count() > 0, name
+    written = {p.name for p in tmp_path.iterdir()}
+    assert ("summary.parquet" in written) == ("model" in written) == reduced
+    assert spark.read.parquet(f"{tmp_path}/metrics.parquet").select("stage").distinct().count() == 4
+    if reduced:
+        trees, saved = tables.load_model(spark, f"{tmp_path}/model")
+        assert trees.count() == tables_found["trees"].count() and saved["nrounds"] == 2
+    with pytest.raises(ValueError, match="missing columns"):
+        run_study(views.visits().drop("CDAI"), baseline, None, settings)
     assert explain.top_variables(tables_found["shap_high_score"].withColumnRenamed("mean_abs_shap", "value")).count() > 0
