@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
                 sets.append(shingles.tobytes())
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=set_type.names)
 
-    texts = members.join(given, "id").select("component", "id", "size", "text").mapInArrow(read_sets, set_type)
+    # Members grow with the corpus, so they are never broadcast, however few they are.
+    texts = members.hint("merge").join(given, "id").select("component", "id", "size", "text").mapInArrow(read_sets, set_type)
     texts = stored(texts.where(F.length("shingles") > 0), "sets")
     exact = set_links(percent)
     small = texts.where(F.col("size") <= STRETCH).repartition(parts, "component").sortWithinPartitions("component", "id")
