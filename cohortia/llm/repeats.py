@@ -34,7 +34,7 @@ BLOCK_BYTES = 1_000_000
 # A shard gets one row per block, so rows stay worth sending only up to so many shards.
 MOST_SHARDS = 4096
 # Anchors with more occurrences than this send single windows.
-HOT = 512
+HOT = 8192
 SLICE = 32_768
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -123,8 +123,8 @@ class Block:
     """The documents of a block in a fixed order, and their units in one row."""
 
     def __init__(self, rows: pa.Table):
-        ids, texts = rows.column("id").to_pylist(), rows.column("text").to_pylist()
-        texts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        unpack = zstandard.ZstdDecompressor().decompress
+        ids, texts = rows.column("id").to_pylist(), [unpack(t) for t in rows.column("packed").to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i]))
         self.carried = rows.column("carried").take(pa.array(order, pa.int64())).combine_chunks()
         self.ids = [ids[i] for i in order]
@@ -150,7 +150,8 @@ class Block:
         count = np.diff(np.append(start, n))
         use = whole[start]
         start, count = start[use], count[use]
-        return doc[start].astype(np.int64), start, count, key[start]
+        # 48 bits tell anchors apart well enough: a rare collision only makes some passages travel in vain.
+        return doc[start].astype(np.int64), start, count, key[start] >> np.uint64(16) << np.uint64(16)
 
 
 def sliced(units: np.ndarray, width: int, of) -> np.ndarray:
@@ -169,8 +170,28 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of 64-bit values, first bytes first: the planes of small values are all zero and shrink away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data, at: int, n: int, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n, at).reshape(8, n).T).view(kind).reshape(n)
+
+
+def packed(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+
+
+def pack_anchors(anchors: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending anchors as differences, and their counts."""
+    return packed(planes(np.diff(anchors >> np.uint64(16), prepend=np.uint64(0))), counts.tobytes())
+
+
+def unpack_anchors(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    data = unpacked(payload)
+    n = len(data) // 9
+    return np.cumsum(from_planes(data, 0, n, np.uint64)) << np.uint64(16), np.frombuffer(data, np.uint8, n, 8 * n)
 
 
 def unpacked(payload: bytes) -> memoryview:
@@ -192,11 +213,22 @@ def covered_starts(
     given = docs.select(col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"), carried.alias("carried"))
     size = given.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = buckets_for(size, BLOCK_BYTES)
-    shards = min(blocks, MOST_SHARDS)
+    shards = min(buckets_for(blocks, 2), MOST_SHARDS)
     # Text is part of the hash, so rows that share an id, or have none, spread too.
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = given.withColumn("block", block).repartition(parts, "block")
+
+    def press(batches):
+        level = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            texts = [level.compress(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), b.column(2), b.column(3)], names=names)
+
+    # The texts move once, compressed by themselves, and all three steps read that exchange.
+    rows = given.withColumn("block", block)
+    names = ["id", "packed", "carried", "block"]
+    types = [rows.schema["id"], T.StructField("packed", T.BinaryType()), rows.schema["carried"], rows.schema["block"]]
+    dealt = rows.mapInArrow(press, T.StructType(types)).repartition(parts, "block")
     route_type = "shard int, block int, local boolean, payload binary"
     answer_type = "block int, shard int, payload binary"
 
@@ -230,15 +262,15 @@ def covered_starts(
     def tell(key, rows):
         anchors, counts = anchors_of(loaded(rows).runs(width, kind.gram))
         counts = np.minimum(counts, 255).astype(np.uint8)
-        made = [(s, key[0].as_py(), False, anchors[p].tobytes() + counts[p].tobytes()) for s, p in by_shard(shard_of(anchors, shards))]
+        made = [(s, key[0].as_py(), False, pack_anchors(anchors[p], counts[p])) for s, p in by_shard(shard_of(anchors, shards))]
         return table_of(made, route_names, route_kinds)
 
     def judge(key, rows):
         """Two bits per anchor of each block: two documents have it; it is hot."""
         blocks_here, payloads = rows.column("block").to_pylist(), rows.column("payload").to_pylist()
-        sizes = [len(p) // 9 for p in payloads]
-        anchors = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, sizes)])
-        counts = np.concatenate([np.frombuffer(p, np.uint8, n, 8 * n) for p, n in zip(payloads, sizes)])
+        parts_here = [unpack_anchors(p) for p in payloads]
+        sizes = [len(a) for a, _ in parts_here]
+        anchors, counts = (np.concatenate([p[i] for p in parts_here]) for i in (0, 1))
         order = np.argsort(anchors, kind="stable")
         starts = np.flatnonzero(np.concatenate(([True], anchors[order][1:] != anchors[order][:-1])))
         total = np.add.reduceat(counts[order].astype(np.int64), starts)
@@ -282,7 +314,7 @@ def covered_starts(
             later = np.empty(len(order), bool)
             later[order] = rank[order] > least
             if later.any():
-                made.append((number % shards, number, True, pack_arrays(window[later])))
+                made.append((number % shards, number, True, packed(planes(np.sort(window[later])))))
             asks = ~later
             p_rank, p_start = np.concatenate((p_rank, rank[asks])), np.concatenate((p_start, window[asks]))
             p_count = np.concatenate((p_count, np.ones(int(asks.sum()), np.int64)))
@@ -294,8 +326,9 @@ def covered_starts(
             ends = p_start[these] + p_count[these] + (width - 1)
             texts = [kind.slice(here.source, a, b) for a, b in zip(p_start[these].tolist(), ends.tolist())]
             lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            arrays = (np.array([len(these)], np.int64), p_anchor[these], p_rank[these], p_start[these], p_count[these], lengths)
-            made.append((s, number, False, pack_arrays(*arrays, np.frombuffer(b"".join(texts), np.uint8))))
+            numbers = (p_anchor[these], p_rank[these], p_start[these], p_count[these], lengths)
+            head = np.array([len(these)], np.int64).tobytes()
+            made.append((s, number, False, packed(head, *map(planes, numbers), *texts)))
         return table_of(made, route_names, route_kinds)
 
     def compare(key, rows):
@@ -306,7 +339,8 @@ def covered_starts(
                 continue
             data = unpacked(payload)
             n = int(np.frombuffer(data, np.int64, 1)[0])
-            fields = [np.frombuffer(data, t, n, 8 + 8 * n * i) for i, t in enumerate((np.uint64, np.int64, np.int64, np.int64, np.int64))]
+            kinds = (np.uint64, np.int64, np.int64, np.int64, np.int64)
+            fields = [from_planes(data, 8 + 8 * n * i, n, t) for i, t in enumerate(kinds)]
             parts_here.append((b, fields, bytes(data[8 + 40 * n :])))
         if parts_here:
             anchors, ranks, starts, counts, lengths = (np.concatenate([p[1][i] for p in parts_here]) for i in range(5))
@@ -315,14 +349,15 @@ def covered_starts(
             window = ranges(starts, counts)[flags]
             order = np.argsort(owner, kind="stable")
             for b, part in by_shard(owner[order]):
-                out_rows.append((b, key[0].as_py(), pack_arrays(window[order[part]])))
+                out_rows.append((b, key[0].as_py(), packed(planes(np.sort(window[order[part]])))))
         return table_of(out_rows, answer_names, answer_kinds)
 
     def close(key, rows, answers):
         here = loaded_bounds(rows)
         found = [np.zeros(0, np.int64)]
         for payload in answers.column("payload").to_pylist():
-            found.append(np.frombuffer(unpacked(payload), np.int64))
+            data = unpacked(payload)
+            found.append(from_planes(data, 0, len(data) // 8, np.int64))
         found = np.sort(np.concatenate(found))
         cut = np.searchsorted(found, here.bounds)
 

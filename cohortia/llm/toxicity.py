@@ -26,6 +26,8 @@ START_LENGTHS = range(4, 9)
 # A lexicon voter speaks once its words are this share of the text.
 VOTER_RATE = 1 / 1000
 MOST_KNOWN = 300_000
+# A lexicon voter stays if it speaks on so many of the toxic rows and is right so often.
+LEAST_SHARE, LEAST_ACCURACY = 0.02, 0.9
 
 
 def held_out(id_col: Column) -> Column:
@@ -89,11 +91,13 @@ def votes(counts: np.ndarray, words: np.ndarray, shouts: np.ndarray) -> np.ndarr
 def label_model(given: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
     """Posterior of the hidden label for each row of votes, and what was estimated.
 
-    ``anchor`` starts the estimation.  For each class a voter has a probability of each vote; the
-    posterior weighs a voter's log odds by 1 / (1 + its positive correlations with others within the
-    classes), so that copies of one signal count about once.
+    ``anchor``, the label a row was given, starts the estimation and is one more voter, whose errors are
+    estimated like the others'.  For each class a voter has a probability of each vote; the posterior
+    weighs a voter's log odds by 1 / (1 + its positive correlations with others within the classes), so
+    that copies of one signal count about once.
     """
     kinds = (-1, 0, 1)
+    given = np.column_stack((given, np.where(anchor, 1, -1))).astype(np.int8)
     seen = np.stack([given == v for v in kinds])
     posterior = np.clip(anchor.astype(float), 0.02, 0.98)
     weight = np.ones(given.shape[1])
@@ -121,7 +125,7 @@ def label_model(given: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> tupl
     right = (chance[1][2] * balance + chance[0][0] * (1 - balance)) / np.maximum(
         (chance[1][2] + chance[1][0]) * balance + (chance[0][2] + chance[0][0]) * (1 - balance), 1e-9
     )
-    return posterior, {"balance": balance, "accuracy": right, "correlation": correlation, "weight": weight}
+    return posterior, {"balance": balance, "accuracy": right, "correlation": correlation, "weight": weight, "chance": np.array(chance)}
 
 
 def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -248,7 +252,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
     rows = rows.sort_values(["words", "shouts", "toxic", "key"], kind="stable")
     counts = np.array(rows["counts"].tolist(), np.int64).reshape(len(rows), size)
     words = rows["words"].to_numpy(np.int64)
-    posterior, estimates = label_model(votes(counts, words, rows["shouts"].to_numpy()), rows["toxic"].to_numpy() != 0)
+    shouts, given = rows["shouts"].to_numpy(), rows["toxic"].to_numpy() != 0
+    # Voters that the label model finds rare among toxic rows, or often wrong, leave; the rest are estimated anew.
+    _, estimates = label_model(votes(counts, words, shouts), given)
+    often = estimates["chance"][1][2][:size] >= LEAST_SHARE
+    good = np.flatnonzero(often & (estimates["accuracy"][:size] >= LEAST_ACCURACY))
+    lexicon, counts = [lexicon[i] for i in good], counts[:, good]
+    posterior, estimates = label_model(votes(counts, words, shouts), given)
     return ToxicModel(lexicon, fit_linear(features(counts, words), posterior), estimates)
 
 
