@@ -108,10 +108,13 @@ def label_model(given: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> tupl
             n = np.einsum("vrj,r->vj", seen, p)
             chance.append((n + 0.5) / (p.sum() + 1.5))
         odds = np.log(chance[1] / chance[0])
-        # Correlation of the votes around their class means.
-        mean = [np.einsum("vj,v->j", c, np.array(kinds, float)) for c in chance]
-        rest = given - ((1 - posterior)[:, None] * mean[0] + posterior[:, None] * mean[1])
-        spread = np.maximum(np.sqrt((rest**2).mean(axis=0)), 1e-6)
+        # Correlation of the votes around the means of the likelier class: what the label leaves unexplained.
+        likely = posterior >= 0.5
+        rest = given.astype(float)
+        for side in (likely, ~likely):
+            if side.any():
+                rest[side] -= rest[side].mean(axis=0)
+        spread = np.maximum(np.sqrt((rest**2).mean(axis=0)), 0.02)
         correlation = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
         np.fill_diagonal(correlation, 0)
         weight = 1 / (1 + np.clip(correlation, 0, 1).sum(axis=1))
