@@ -151,7 +151,8 @@ class Block:
         use = whole[start]
         start, count = start[use], count[use]
         # 48 bits tell anchors apart well enough: a rare collision only makes some passages travel in vain.
-        return doc[start].astype(np.int64), start, count, key[start] >> np.uint64(16) << np.uint64(16)
+        # Mixed once more, since minima lie close to zero and shards are ranges of anchors.
+        return doc[start].astype(np.int64), start, count, mix(key[start]) >> np.uint64(16) << np.uint64(16)
 
 
 def sliced(units: np.ndarray, width: int, of) -> np.ndarray:
