@@ -200,7 +200,7 @@ def unpacked(payload: bytes) -> memoryview:
 
 
 def covered_starts(
-    docs: DataFrame, width: int, kind, match: Callable, finish: Callable, out: T.StructType, id_col: str, text_col: str, carry: list[str] = []
+    docs: DataFrame, width: int, kind, match: Callable, finish: Callable, out: T.StructType, id_col: str, text_col: str, carry: list[str] | None = None
 ) -> DataFrame:
     """Run the three steps; ``finish(block, covered)`` makes the rows of a block.
 
