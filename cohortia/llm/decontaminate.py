@@ -93,39 +93,47 @@ def make_probes(items: list[tuple[int, str]], width: int, rate: float, q: int) -
     )
 
 
-def aligned(probe: np.ndarray, points: np.ndarray, low: int, high: int):
+def aligned(probe: np.ndarray, points: np.ndarray, low: int, high: int, budget: int | None = None):
     """(edits, start, end) of the best alignment of the probe to a stretch on diagonals ``low`` to ``high``.
 
-    Cell d of row j is the cost of j probe characters ending at document position low + d + j.
+    Cell d of row j is the cost of j probe characters ending at document position low + d + j.  Beyond
+    the text stands a character that nothing equals: there a probe character costs one either way.
+    Above ``budget`` edits the place is not looked for, and start and end are -1.
     """
     size = high - low + 1
-    diagonal = np.arange(size)
-    cost = np.zeros(size, np.int64)
-    origin = low + diagonal
-    at = origin.copy()
-    outside = (at < 0) | (at > len(points))
-    far = np.int64(len(probe) + size + 1)
-    cost[outside] = far
-    for char in probe:
-        inside = (at >= 0) & (at < len(points))
-        differs = np.ones(size, np.int64)
-        differs[inside] = points[at[inside]] != char
-        best = np.where(inside, cost + differs, far)
-        start = origin
+    diagonal = np.arange(size, dtype=np.int32)
+    first, last = max(low, 0), min(high + len(probe), len(points))
+    window = np.full(size + len(probe), 2**32 - 1, np.uint32)
+    if first < last:
+        window[first - low : last - low] = points[first:last]
+    differs = [window[j : j + size] != char for j, char in enumerate(probe)]
+    cost = np.zeros(size, np.int32)
+    rows = [cost]
+    for differ in differs:
+        best = cost + differ
         # A probe character left out: one diagonal further, at the same document position.
-        skip = np.append(cost[1:] + 1, far)
-        better = skip < best
-        best = np.where(better, skip, best)
-        start = np.where(better, np.append(origin[1:], 0), start)
-        at = at + 1
+        np.minimum(best[:-1], cost[1:] + 1, out=best[:-1])
         # Document characters put in: along the row, by a running minimum.
-        level = best - diagonal
-        least = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == least, diagonal, 0))
-        cost = np.where(at <= len(points), least + diagonal, far)
-        origin = start[source]
-    end = int(np.argmin(cost))
-    return int(cost[end]), int(origin[end]), int(at[end])
+        best -= diagonal
+        np.minimum.accumulate(best, out=best)
+        best += diagonal
+        cost = best
+        rows.append(cost)
+    d = int(np.argmin(cost))
+    edits, end = int(cost[d]), low + d + len(probe)
+    if budget is not None and edits > budget:
+        return edits, -1, -1
+    # Back through the rows to where the stretch began.
+    j = len(probe)
+    while j:
+        if d and rows[j][d] == rows[j][d - 1] + 1 and rows[j][d] != rows[j - 1][d] + differs[j - 1][d]:
+            d -= 1
+        elif rows[j][d] == rows[j - 1][d] + differs[j - 1][d]:
+            j -= 1
+        else:
+            j, d = j - 1, d + 1
+    start = low + d
+    return edits, min(max(start, 0), len(points)), min(max(end, 0), len(points))
 
 
 def regions(text: str, probes: Probes) -> list[tuple[int, int, int, int]]:
@@ -150,13 +158,27 @@ def regions(text: str, probes: Probes) -> list[tuple[int, int, int, int]]:
     step = probes.band
     bands = (len(points) + 2 * 4096) // step + 4
     band = (diagonal + 4096) // step + 1
-    key, n = np.unique(np.concatenate((which * bands + band, which * bands + band - 1)), return_counts=True)
+    both = np.concatenate((which * bands + band, which * bands + band - 1))
+    key, n = np.unique(both, return_counts=True)
     key = key[n >= probes.bounds[key // bands]]
-    found = {}
+    if not len(key):
+        return []
+    # In what is left each probe position counts once, however often its q-gram stands in the band.
+    use = np.isin(both, key)
+    offset = np.tile(probes.offset[entry], 2)[use].astype(np.int64)
+    key, n = np.unique(np.unique(both[use] * 4096 + offset) // 4096, return_counts=True)
+    key = key[n >= probes.bounds[key // bands]]
+    found, before = {}, {}
     for p, b in zip((key // bands).tolist(), (key % bands).tolist()):
-        low = (b - 1) * step - 4096
-        edits, start, end = aligned(probes.texts[p], points, low - int(probes.budgets[p]), low + 2 * step + int(probes.budgets[p]))
-        if edits <= probes.budgets[p]:
+        budget, probe = int(probes.budgets[p]), probes.texts[p]
+        low = (b - 1) * step - 4096 - budget
+        high = low + 2 * step + 2 * budget
+        if low <= before.get(p, low - 1) <= high:
+            # The band before this one has the same stretch.
+            continue
+        edits, start, end = aligned(probe, points, low, high, budget)
+        if edits <= budget:
+            before[p] = start
             spot = (int(probes.items[p]), start, end)
             found[spot] = min(edits, found.get(spot, edits))
     return sorted((*spot, edits) for spot, edits in found.items())
