@@ -4,14 +4,16 @@ Each tree of the forest is one sorted order of the documents: its label is a seq
 hashes, one byte a level.  Documents whose labels share a prefix stand together in that order; a
 region is what shares the least depth.  Small regions are compared whole.  In a crowded one a document
 meets its nearest neighbours in the order, those with the longest common prefix: the depth adapts to
-the crowd.
+the crowd.  What is crowded has an exact rest: a prefix-filtered join of the shingle sets.
 
 1. Texts with the same shingle set are one vertex, the smallest id.
 2. In each tree, neighbours whose whole signatures agree enough are joined; per stretch of the order
    only a spanning forest leaves the task.  Their components are the clusters in which links can lie.
 3. The shingle sets of a cluster's documents meet: a small cluster whole, a large one again stretch by
    stretch in every tree.  Links are decided on the sets, and again a spanning forest leaves the task.
-4. Components of the confirmed links give each document its smallest reachable id.
+4. Documents of crowded regions and large clusters meet once more, by the rarest shingles of their sets:
+   links that no stretch compared and no chain joins.
+5. Components of the confirmed links give each document its smallest reachable id.
 """
 
 from __future__ import annotations
@@ -36,6 +38,13 @@ STRETCH = 256
 LIKELY = 0.68
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 EDGE = "a long, b long"
+# Shingles are counted in 2^RARE_BITS cells, which order them from rare to frequent.
+RARE_BITS = 18
+# Parity bits of a shingle set.
+SKETCH = 512
+# Documents of one shingle compared by one task; more are cut into blocks that meet in pairs.
+BLOCK = 1024
+PREFIX = "token long, id long, n int, place int, home long, bits binary"
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -176,6 +185,137 @@ def edges_of(rows: DataFrame, keys: list[str], payload: str, whole: Callable) ->
     return rows.select(*columns).mapInArrow(run, EDGE)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles per hash cell: two sketches differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((shingles & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def least_common(n, m, percent: int):
+    """The smallest intersection with which sets of ``n`` and ``m`` shingles are linked."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def candidates(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of documents that can be linked, out of rows sorted by (token, p, q) as ``crossing`` gives them.
+
+    The first common shingle of a linked pair, in the order from rare to frequent, leaves enough behind it
+    in both sets, and the sketches differ in no more bits than the sets may.  Pairs of one home are joined
+    already.
+    """
+
+    def pairs(t: pa.Table):
+        token, p, q, ids, n, place, home, own = (t.column(c).to_numpy() for c in ("token", "p", "q", "id", "n", "place", "home", "own"))
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+        n, left = n.astype(np.int64), (n - place).astype(np.int64)
+        border = np.flatnonzero((np.diff(token) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+        size = np.diff(np.concatenate(([0], border, [len(ids)])))
+        after = np.repeat(np.cumsum(size), size) - np.arange(len(ids)) - 1
+        found = []
+        at = np.flatnonzero(after > 0)
+        step = 1
+        while len(at):
+            to = at + step
+            need = least_common(n[at], n[to], percent)
+            use = (home[at] != home[to]) & (np.minimum(left[at], left[to]) >= need) & ((p[at] == q[at]) | (own[at] != own[to]))
+            a, b, need = at[use], to[use], need[use]
+            near = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b] - 2 * need
+            a, b = ids[a[near]], ids[b[near]]
+            if len(a):
+                found.append(np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0))
+            step += 1
+            at = at[after[at] >= step]
+        if found:
+            both = np.unique(np.concatenate(found), axis=0)
+            yield both[:, 0], both[:, 1]
+
+    held: list[pa.RecordBatch] = []
+    for b in rows:
+        held.append(b)
+        if sum(h.num_rows for h in held) < 30_000:
+            continue
+        t = pa.Table.from_batches(held)
+        keys = [t.column(c).to_numpy() for c in ("token", "p", "q")]
+        same = np.logical_and.reduce([k == k[-1] for k in keys])
+        # The last group may go on in the next batch.
+        cut = int(np.argmax(same))
+        if cut:
+            yield from pairs(t.slice(0, cut))
+        held = t.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
+
+
+def exact_rest(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """All linked pairs of ``sets`` (``id``, ``home``, ``shingles``) whose homes differ: prefix filtering, then whole sets."""
+    spark = sets.sparkSession
+
+    def tally(batches):
+        cells = np.zeros(1 << RARE_BITS, np.int64)
+        for b in batches:
+            for s in b.column(0).to_pylist():
+                cells += np.bincount((np.frombuffer(s, np.uint64) >> np.uint64(64 - RARE_BITS)).astype(np.int64), minlength=len(cells))
+        cell = np.flatnonzero(cells)
+        for at in range(0, len(cell), 50_000):
+            part = cell[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], names=["cell", "n"])
+
+    counts = sets.select("shingles").mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    frequency = np.zeros(1 << RARE_BITS, np.int64)
+    frequency[counts["cell"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(frequency)
+
+    def prefixes(batches):
+        frequency = sent.value
+        for b in batches:
+            out = []
+            for vertex, home, s in zip(*(c.to_pylist() for c in b.columns)):
+                shingles = np.frombuffer(s, np.uint64)
+                n = len(shingles)
+                order = np.lexsort((shingles, frequency[(shingles >> np.uint64(64 - RARE_BITS)).astype(np.int64)]))
+                first = shingles[order[: n - -(-percent * n // 100) + 1]].view(np.int64)
+                bits = sketch(shingles)
+                out += [(int(token), vertex, n, place, home, bits) for place, token in enumerate(first)]
+                if len(out) > 20_000:
+                    yield rows_of(out)
+                    out = []
+            if out:
+                yield rows_of(out)
+
+    def rows_of(out):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["token", "id", "n", "place", "home", "bits"])
+
+    first = stored(sets.select("id", "home", "shingles").mapInArrow(prefixes, PREFIX), "prefixes")
+    # A shingle on which one home alone stands joins nothing; a frequent one is cut into blocks.
+    shared = first.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("home").alias("low"), F.max("home").alias("high"))
+    shared = shared.where("low < high").select("token", F.ceil(F.col("times") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    crossing = first.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    crossing = crossing.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crossing = crossing.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
+    crossing = crossing.select("token", "p", "q", "id", "n", "place", "home", "own", "bits")
+    crossing = crossing.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
+
+    def compare(batches):
+        for a, b in candidates(batches, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    pairs = stored(crossing.mapInArrow(compare, EDGE).distinct(), "pairs")
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("one"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("two"))
+    both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "one", "two")
+
+    def confirm(batches):
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(confirm, EDGE)
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id, ``n_shingles``, ``component_id`` and ``kept`` of every row.
 
@@ -208,33 +348,41 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
 
     tree = F.posexplode(F.array(*[F.substring("sign", LEVELS * t + 1, LEVELS) for t in range(TREES)])).alias("tree", "label")
     labels = vertices.select("id", tree).withColumn("region", F.conv(F.hex(F.substring("label", 1, DEPTH)), 16, 10).cast("long"))
-    crowds = labels.groupBy("tree", "region").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    together = labels.join(crowds.select("tree", "region"), ["tree", "region"])
-    placed = together.join(vertices, "id").select("tree", "region", "label", "id", "sign")
+    crowds = labels.groupBy("tree", "region").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
+    together = labels.join(crowds, ["tree", "region"])
+    placed = together.join(vertices, "id").select("tree", "region", "label", "crowd", "id", "sign")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # One order over all trees, cut anywhere: no region is bound to one task.
+    # Crowded regions stand in one order over all trees, cut anywhere; others are each in one task.
     order = ["tree", "region", "label", "id"]
-    ordered = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    clusters = stored(components(edges_of(ordered, ["tree", "region"], "sign", likely_links)), "clusters")
+    whole = placed.where(F.col("crowd") <= STRETCH).repartition(parts, "tree", "region").sortWithinPartitions(*order)
+    ordered = placed.where(F.col("crowd") > STRETCH).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    likely = [edges_of(rows, ["tree", "region"], "sign", likely_links) for rows in (whole, ordered)]
+    clusters = stored(components(likely[0].unionByName(likely[1])), "clusters")
 
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = clusters.join(sizes, "component")
+    crowded = together.where(F.col("crowd") > STRETCH).select("id").distinct().withColumn("crowded", F.lit(True))
+    members = clusters.join(sizes, "component").join(crowded, "id", "full").select(
+        F.coalesce("component", "id").alias("component"), "id", F.coalesce("size", F.lit(1)).alias("size"),
+        (F.coalesce("crowded", F.lit(False)) | (F.coalesce("size", F.lit(1)) > STRETCH)).alias("rest"),
+    )
     set_type = T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("component", "id", "size")] + [T.StructField(n, T.BinaryType()) for n in ("sign", "shingles")]
+        [T.StructField(n, T.LongType()) for n in ("component", "id", "size")]
+        + [T.StructField("rest", T.BooleanType())]
+        + [T.StructField(n, T.BinaryType()) for n in ("sign", "shingles")]
     )
 
     def read_sets(batches):
         factors, shifts = hash_functions(TREES * LEVELS)
         for b in batches:
             signs, sets = [], []
-            for text, size in zip(b.column(3).to_pylist(), b.column(2).to_pylist()):
+            for text, size in zip(b.column(4).to_pylist(), b.column(2).to_pylist()):
                 shingles = shingle_set(text.encode("utf-8", "surrogatepass"), width)
                 signs.append(signature(shingles, factors, shifts).tobytes() if size > STRETCH and len(shingles) else None)
                 sets.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=set_type.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(signs, pa.binary()), pa.array(sets, pa.binary())], names=set_type.names)
 
     # Members grow with the corpus, so they are never broadcast, however few they are.
-    texts = members.hint("merge").join(given, "id").select("component", "id", "size", "text").mapInArrow(read_sets, set_type)
+    texts = members.hint("merge").join(given, "id").select("component", "id", "size", "rest", "text").mapInArrow(read_sets, set_type)
     texts = stored(texts.where(F.length("shingles") > 0), "sets")
     exact = set_links(percent)
     small = texts.where(F.col("size") <= STRETCH).repartition(parts, "component").sortWithinPartitions("component", "id")
@@ -242,7 +390,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80, id_col:
     order = ["component", "tree", "label", "id"]
     large = large.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     links = edges_of(small, ["component"], "shingles", exact).unionByName(edges_of(large, ["component", "tree"], "shingles", exact))
-    groups = components(links).withColumnRenamed("id", "vertex")
+    groups = components(links)
+    rest = texts.where("rest").select("id", "shingles")
+    if not rest.isEmpty():
+        homes = stored(groups, "homes")
+        rest = rest.dropDuplicates(["id"]).join(homes, "id", "left").select("id", F.coalesce("component", "id").alias("home"), "shingles")
+        more = exact_rest(stored(rest, "rest"), percent, parts)
+        groups = components(homes.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    groups = groups.withColumnRenamed("id", "vertex")
 
     # A copy reaches its vertex by the set, the vertex its component.
     owners = vertices.select("key", F.col("id").alias("vertex")).join(groups, "vertex", "left")

@@ -7,7 +7,7 @@ import pytest
 
 from cohortia.llm import neardup
 from cohortia.llm.components import components
-from cohortia.llm.neardup import near_duplicates, set_links, spanning
+from cohortia.llm.neardup import near_duplicates, set_links, shingle_set, spanning
 
 from llm_helpers import corpus
 
@@ -101,3 +101,47 @@ def test_components(spark, shape):
             label[a] = label[b] = min(label[a], label[b])
     linked = {v for a, b in edges if a != b for v in (a, b)}
     assert got == {v: label[v] for v in linked}
+
+
+def template_group(n=260, words=120, planted=12):
+    """Texts of one template at about 0.72 to each other, with pairs at about 0.85 among them."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(words)]
+
+    def changed(text, places):
+        out = list(text)
+        for at in places:
+            out[at] = f"own{rng.randrange(10**9)}"
+        return out
+
+    # Five lone words change twenty of 117 shingles; one more in a copy changes four.
+    texts = [changed(base, rng.sample(range(4, words - 4, 5), 5)) for _ in range(n)]
+    texts += [changed(t, [next(k for k in range(4, words - 4, 5) if t[k] == base[k])]) for t in rng.sample(texts, planted)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_a_large_template_group_is_confirmed_whole(docs_of, monkeypatch):
+    # Few short labels leave the group in crowds that stretches of four do not cover.
+    for name, value in {"STRETCH": 4, "TREES": 4, "LEVELS": 1, "DEPTH": 1, "BLOCK": 32}.items():
+        monkeypatch.setattr(neardup, name, value)
+    rows = template_group()
+    want = brute(rows, 4)
+    assert sum(not r[3] for r in want) == 12
+    assert sorted((tuple(r) for r in near_duplicates(docs_of(rows)).collect()), key=str) == want
+
+
+def test_the_rest_alone_finds_every_pair(spark):
+    """No home is shared, so every link comes from the prefix join."""
+    rows = corpus(seed=12, n=40, words=60)
+    sets = {i: shingle_set((t or "").encode(), 4) for i, t in rows if i is not None}
+    sets = {i: s for i, s in sets.items() if len(s)}
+    given = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in sets.items()], "id long, home long, shingles binary")
+    got = {(r["a"], r["b"]) for r in neardup.exact_rest(given, 80, 4).collect()}
+    want = set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = len(np.intersect1d(x, y))
+            if a < b and both and 100 * both >= 80 * (len(x) + len(y) - both):
+                want.add((a, b))
+    assert got == want and len(want) > 10
