@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from .common import buckets_for, col, whole_text
 
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 3_000_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 TABLE_BITS = 20
 REGION = "array<struct<item_id:long,start:long,end:long,edits:int>>"
@@ -65,7 +65,9 @@ def make_probes(items: list[tuple[int, str]], width: int, rate: float, q: int) -
     for item, text in items:
         points = normal(text)
         last = max(0, len(points) - width)
-        for at in sorted({*range(0, last, width // 2), last}):
+        # Each probe's budget reaches half a step to both sides, so every passage as long as a probe is near one.
+        step = 2 * min(int(rate * width), max(0, (width - q) // q)) + 1
+        for at in sorted({*range(0, last, step), last}):
             part = points[at : at + width]
             # The budget leaves at least one shared q-gram to count.
             budget = min(int(rate * len(part)), (len(part) - q) // q)
@@ -198,8 +200,9 @@ def find_regions(
     """``docs`` with ``column``: the regions that a benchmark probe matches, as (item, start, end, edits).
 
     Texts are compared in lower case with white space runs as one blank; positions are in that form.  A
-    probe is ``width`` characters of an item, each half a width on, or the whole of a shorter item; it
-    matches within ``rate`` times its length in edits.  Items under ``q`` characters and items without
+    probe is ``width`` characters of an item, or the whole of a shorter item; it matches within ``rate``
+    times its length in edits.  Probes start so close that every verbatim passage of ``width`` characters
+    is found, and every one a step longer within the edits of a probe.  Items under ``q`` characters and items without
     an id or text are left out; missing and empty texts have no regions; repeated rows are judged each.
     The benchmark is sent in shares of at most ``SHARD_CHARS`` characters, one map over the rows each.
     """

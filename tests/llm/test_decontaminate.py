@@ -105,3 +105,17 @@ def test_positions(items):
         if edits == 0:
             assert whole[start:end] in benchmark[0][1]
     assert np.array_equal(normal(" A\n b "), normal("a b"))
+
+
+@pytest.mark.parametrize("length", [64, 70, 75, 82])
+def test_every_verbatim_passage_of_a_probe_is_found(items, length):
+    """At every offset of every long item, as plain search finds it."""
+    benchmark, _ = items
+    probes = make_probes(benchmark, 64, 0.1, 8)
+    for number, text in benchmark:
+        text = " ".join(text.split())
+        for at in range(len(text) - length + 1):
+            passage = text[at : at + length].strip()
+            if len(passage) >= 64:
+                found = regions(f"ZQX9 {passage} 7WVU", probes)
+                assert number in {r[0] for r in found}, (number, at)
