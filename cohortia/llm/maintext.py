@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element.  Lines inside menus, adverts, forms and the like
-weigh nothing, and neither does link text; where a page marks an article, only its lines weigh.  The
-weights are summed over sliding windows of lines.  The text surges where a window rises above the
-threshold and dives where the windows fall below it; what stands between is the main text.
+weigh nothing, and neither does link text.  The weights are summed over sliding windows of lines.  The
+text surges where a window rises above the threshold and dives where the windows fall below it; what
+stands between is the main text, with the lines of its container and the adjoining lines up to the
+next menu, advert or link.  Where a page marks an article, only its lines weigh.
 """
 
 from __future__ import annotations
@@ -71,7 +72,11 @@ class Lines:
         self.links = 0
         self.noise: list[tuple[str, int]] = []
         self.articles = 0
-        self.stack: list[tuple[str, bool, bool]] = []
+        self.stack: list[tuple[str, bool, int]] = []
+        # The container of each line (0 for the page), and how many noise blocks stand before it.
+        self.containers: list[int] = []
+        self.parts: list[int] = []
+        self.seen = self.breaks = 0
 
     def text(self, piece: str) -> None:
         if not self.noise:
@@ -89,6 +94,8 @@ class Lines:
                 self.texts.append(line)
                 self.marked.append(self.articles > 0)
                 self.weights.append(max(0, len(line) - 2 * inside))
+                self.containers.append(self.stack[-1][2] if self.stack else 0)
+                self.parts.append(self.breaks)
             self.open = []
         self.linked = []
 
@@ -118,15 +125,19 @@ class Lines:
         if noisy or (attributes and HIDDEN.search(attributes) and name != "body"):
             if name not in BLOCKS:
                 self.text(" ")
+            else:
+                self.breaks += 1
             self.noise.append((name, 1))
             return
         if name == "a":
             self.links = 1
         elif article:
             self.articles += 1
-            self.stack.append((name, True, False))
+            self.seen += 1
+            self.stack.append((name, True, self.seen))
         elif name in ("div", "section", "td"):
-            self.stack.append((name, False, False))
+            self.seen += 1
+            self.stack.append((name, False, self.seen))
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
@@ -186,23 +197,38 @@ def main_region(weights: np.ndarray, window: int = WINDOW, least: int = LEAST) -
     edge = np.diff(np.concatenate(([0], dense.astype(np.int8), [0])))
     for surge, dive in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
         # The surge window's last line brings the text, the first line of the last dense window ends it.
-        keep[max(0, first[surge] + window - 1) : min(n, first[dive - 1] + 1)] = True
+        low, high = max(0, first[surge] + window - 1), min(n, first[dive - 1] + 1)
+        if low >= high:
+            # A text of fewer lines than a window: its heaviest line stands for it.
+            at = max(0, first[surge])
+            low = at + int(np.argmax(weights[at : min(n, first[dive - 1] + window)]))
+            high = low + 1
+        keep[low:high] = True
     return keep
 
 
+def extended(keep: np.ndarray, weights: np.ndarray, containers: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """``keep`` with the text lines of its containers, and the adjoining ones up to the next noise or link line."""
+    text = weights > 0
+    inside = np.unique(containers[keep & (containers > 0)])
+    keep = keep | (text & np.isin(containers, inside))
+    run = np.cumsum(np.concatenate(([True], (np.diff(parts) != 0) | ~text[1:] | ~text[:-1])))
+    return keep | (text & np.isin(run, run[keep & text]))
+
+
 def extract(page: str) -> str:
     """The main text of one page; empty if there is none."""
     lines = page_lines(page)
     if not lines.texts:
         return ""
-    marked = np.array(lines.marked)
+    marked, weights = np.array(lines.marked), np.array(lines.weights)
     if marked.any():
         # The page says what its article is: every line of it counts as full.
         weights = np.where(marked, LEAST, 0)
         keep = main_region(weights) & marked
     else:
-        weights = np.array(lines.weights)
         keep = main_region(weights)
+        keep = extended(keep, weights, np.array(lines.containers), np.array(lines.parts))
         if not keep.any():
             keep = weights > 0
     return "\n".join(t for t, k in zip(lines.texts, keep.tolist()) if k)

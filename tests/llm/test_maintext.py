@@ -43,3 +43,18 @@ def test_table(spark):
     got = sorted((tuple(r) for r in main_texts(df).select("page_id", "url", "text", "n_chars").collect()), key=str)
     assert got == sorted([(1, "u", "é b", 3), (2, None, "", 0), (None, "v", "", 0), (1, "u", "é b", 3)], key=str)
     assert main_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<nav>Menu</nav><h1>Short headline</h1><p>{LONG}</p><p>Closing line.</p><footer>f</footer>", f"Short headline\n{LONG}\nClosing line."),
+        ("<p>Fifteen letters</p>" * 5, "\n".join(["Fifteen letters"] * 5)),
+        ("<p>Some twenty letters.</p><p>And as many of them.</p>", "Some twenty letters.\nAnd as many of them."),
+        (f"<div><p>{LONG}</p><ul><li>one<li>two<li>three<li>four<li>five</ul><p>{LONG}</p></div>", f"{LONG}\none\ntwo\nthree\nfour\nfive\n{LONG}"),
+        (f"<div><h2>Head</h2><div class=ad>buy this</div><p>{LONG}</p><div class=ad>buy</div><p>End.</p></div>", f"Head\n{LONG}\nEnd."),
+        (f"<p>Tagline</p><p><a href=x>A link of the site</a></p><p>Head</p><p>{LONG}</p>", f"Head\n{LONG}"),
+    ],
+)
+def test_unmarked_pages_keep_short_lines_of_the_text(page, text):
+    assert extract(page) == text
