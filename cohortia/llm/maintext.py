@@ -4,7 +4,7 @@ Markup is stripped into lines, one per block element.  Lines inside menus, adver
 weigh nothing, and neither does link text.  The weights are summed over sliding windows of lines.  The
 text surges where a window rises above the threshold and dives where the windows fall below it; what
 stands between is the main text, with the lines of its container and the adjoining lines up to the
-next menu, advert or link.  Where a page marks an article, only its lines weigh.
+next menu, advert or link.  Where the text found lies in a marked article, the mark is its boundary.
 """
 
 from __future__ import annotations
@@ -222,13 +222,12 @@ def extract(page: str) -> str:
     if not lines.texts:
         return ""
     marked, weights = np.array(lines.marked), np.array(lines.weights)
-    if marked.any():
-        # The page says what its article is: every line of it counts as full.
-        weights = np.where(marked, LEAST, 0)
-        keep = main_region(weights) & marked
+    keep = main_region(weights)
+    if (keep & marked).any() or (marked.any() and not keep.any()):
+        # The text lies in what the page says is its article: that is its boundary, and short articles stay.
+        keep = marked
     else:
-        keep = main_region(weights)
-        keep = extended(keep, weights, np.array(lines.containers), np.array(lines.parts))
+        keep = extended(keep, weights, np.array(lines.containers), np.array(lines.parts)) | marked
         if not keep.any():
             keep = weights > 0
     return "\n".join(t for t, k in zip(lines.texts, keep.tolist()) if k)

@@ -58,3 +58,9 @@ def test_table(spark):
 )
 def test_unmarked_pages_keep_short_lines_of_the_text(page, text):
     assert extract(page) == text
+
+
+def test_densities_locate_the_text_on_marked_pages():
+    # The mark bounds the text where the text lies in it; a teaser elsewhere does not hide the text.
+    assert extract(f"<p>{LONG}</p><article><h1>T</h1><p>{LONG}</p><p>End</p></article>") == f"T\n{LONG}\nEnd"
+    assert extract(f"<article><p>Teaser</p></article><p><a href=x>more of the site</a></p><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div>") == f"Teaser\nT\n{LONG}\n{LONG}"
