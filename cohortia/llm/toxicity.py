@@ -26,8 +26,8 @@ START_LENGTHS = range(4, 9)
 # A lexicon voter speaks once its words are this share of the text.
 VOTER_RATE = 1 / 1000
 MOST_KNOWN = 300_000
-# A lexicon voter stays if it speaks on so many of the toxic rows and is right so often.
-LEAST_SHARE, LEAST_ACCURACY = 0.02, 0.9
+# A lexicon entry stays if it speaks on so many toxic rows, however many there are, and is right so often.
+LEAST_COUNT, LEAST_ACCURACY = 3, 0.9
 
 
 def held_out(id_col: Column) -> Column:
@@ -41,11 +41,11 @@ def word_marks(word: str) -> list[str]:
 
 
 class Marker(dict):
-    """The lexicon entry of a word (-1 if none), kept for frequent words."""
+    """The voter of a word (-1 if none), kept for frequent words; entries from ``single`` on share the voter ``single``."""
 
-    def __init__(self, lexicon: list[str]):
+    def __init__(self, lexicon: list[str], single: int | None = None):
         super().__init__()
-        self.entries = {entry: n for n, entry in enumerate(lexicon)}
+        self.entries = {entry: n if single is None else min(n, single) for n, entry in enumerate(lexicon)}
 
     def __missing__(self, word: str) -> int:
         found = next((self.entries[m] for m in word_marks(word) if m in self.entries), -1)
@@ -163,9 +163,14 @@ class ToxicModel:
     lexicon: list[str]
     weights: np.ndarray
     estimates: dict
+    single: int = 0
+
+    @property
+    def voters(self) -> int:
+        return min(len(self.lexicon), self.single + 1)
 
     def scores(self, texts: list[str], marker: Marker) -> np.ndarray:
-        size = len(self.lexicon)
+        size = self.voters
         read = [hits(t, marker, size) for t in texts]
         counts = np.array([r[0] for r in read]).reshape(len(read), size)
         words = np.array([r[1] for r in read], np.int64)
@@ -189,7 +194,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
 
     The rows are those with a label whose id is not held out, the first by a hash of the id.  A repeated
     id counts as toxic if any of its labels says so.  A lexicon entry needs a log-likelihood ratio of
-    ``least`` and at most ``most_voters`` are taken.  Without labelled rows of both kinds the model
+    ``least``; all that pass are taken.  The ``most_voters`` strongest are voters of their own, the
+    others speak together as one more.  Without labelled rows of both kinds the model
     gives every text the share of toxic ones (0 without labels).
     """
     known = labels.where(col("toxic").isNotNull() & col("doc_id").isNotNull() & ~held_out(col("doc_id")))
@@ -226,17 +232,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
     lift = F.col("toxic") * F.lit(n_clean) > 3 * F.col("clean") * F.lit(n_toxic)
     strong = marks.where((F.col("toxic") >= 3) & lift).select("mark", "clean", "toxic")
     a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    rough = a * F.log(a * F.lit(float(n_toxic + n_clean)) / ((a + b) * F.lit(float(n_toxic))))
-    top = strong.orderBy(rough.desc(), "mark").limit(50 * most_voters).collect()
+    t, f = F.lit(float(n_toxic)), F.lit(float(n_clean))
+
+    def term(observed, row, column):
+        return F.when(observed > 0, observed * F.log(observed * (t + f) / (row * column))).otherwise(0.0)
+
+    ratio = 2 * (term(a, a + b, t) + term(b, a + b, f) + term(t - a, t + f - a - b, t) + term(f - b, t + f - a - b, f))
+    top = strong.where(ratio >= least - 1e-6).collect()
     value = surprise(np.array([r["toxic"] for r in top], float), np.array([r["clean"] for r in top], float), float(n_toxic), float(n_clean))
     lexicon: list[str] = []
+    taken, starts = set(), set()
     # Of marks that say the same the longest counts; one that starts another taken says nothing new.
     for i in sorted(range(len(top)), key=lambda i: (-round(value[i], 6), -len(top[i]["mark"]), top[i]["mark"])):
         mark_text = top[i]["mark"].rstrip("$")
-        if value[i] < least or len(lexicon) == most_voters:
+        if value[i] < least:
             break
-        if not any(mark_text.startswith(e.rstrip("$")) or e.rstrip("$").startswith(mark_text) for e in lexicon):
+        if mark_text not in starts and not any(mark_text[:n] in taken for n in range(1, len(mark_text) + 1)):
             lexicon.append(top[i]["mark"])
+            taken.add(mark_text)
+            starts.update(mark_text[:n] for n in range(1, len(mark_text) + 1))
     size = len(lexicon)
 
     def count(batches):
@@ -244,7 +258,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
         for batch_ in batches:
             read = [hits(t, marker, size) for t in batch_.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0].tolist() for r in read], pa.list_(pa.int64())), pa.array([r[1] for r in read], pa.int64())]
+                [pa.array([np.column_stack((np.flatnonzero(r[0]), r[0][r[0] > 0])).ravel().tolist() for r in read], pa.list_(pa.int64()))]
+                + [pa.array([r[1] for r in read], pa.int64())]
                 + [pa.array([r[2] for r in read], pa.float64()), batch_.column(1)],
                 names=["counts", "words", "shouts", "toxic"],
             )
@@ -253,16 +268,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
     # Sums of floating numbers depend on the order of rows: one order for every run.
     rows["key"] = rows["counts"].map(tuple)
     rows = rows.sort_values(["words", "shouts", "toxic", "key"], kind="stable")
-    counts = np.array(rows["counts"].tolist(), np.int64).reshape(len(rows), size)
     words = rows["words"].to_numpy(np.int64)
     shouts, given = rows["shouts"].to_numpy(), rows["toxic"].to_numpy() != 0
-    # Voters that the label model finds rare among toxic rows, or often wrong, leave; the rest are estimated anew.
-    _, estimates = label_model(votes(counts, words, shouts), given)
-    often = estimates["chance"][1][2][:size] >= LEAST_SHARE
-    good = np.flatnonzero(often & (estimates["accuracy"][:size] >= LEAST_ACCURACY))
-    lexicon, counts = [lexicon[i] for i in good], counts[:, good]
+    # What stands in each row: pairs of entry and hits.
+    pairs = np.array([x for k in rows["key"] for x in k], np.int64).reshape(-1, 2)
+    row = np.repeat(np.arange(len(rows)), [len(k) // 2 for k in rows["key"]])
+
+    def table_of(place):
+        """Hits of each voter; ``place`` gives every entry's rank among those that stay, or -1."""
+        out = np.zeros((len(rows), min(int(place.max(initial=-1)) + 1, most_voters + 1)), np.int64)
+        use = place[pairs[:, 0]] >= 0
+        np.add.at(out, (row[use], np.minimum(place[pairs[use, 0]], most_voters)), pairs[use, 1])
+        return out
+
+    # Entries that the label model finds on too few toxic rows, or often wrong, leave; the rest are estimated anew.
+    posterior, _ = label_model(votes(table_of(np.arange(size)), words, shouts), given)
+    speaks = pairs[:, 1] >= VOTER_RATE * np.maximum(words, 1)[row]
+    times = np.bincount(pairs[speaks, 0], minlength=size)
+    toxic = np.bincount(pairs[speaks, 0], posterior[row[speaks]], minlength=size)
+    good = np.flatnonzero((toxic >= LEAST_COUNT) & (toxic >= LEAST_ACCURACY * times))
+    place = np.full(size, -1)
+    place[good] = np.arange(len(good))
+    counts, lexicon = table_of(place), [lexicon[i] for i in good]
     posterior, estimates = label_model(votes(counts, words, shouts), given)
-    return ToxicModel(lexicon, fit_linear(features(counts, words), posterior), estimates)
+    return ToxicModel(lexicon, fit_linear(features(counts, words), posterior), estimates, most_voters)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", column: str = "score") -> DataFrame:
@@ -271,10 +300,10 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", c
     given = docs.select(*[col(c).alias(c) for c in kept])
     at = kept.index(text_col)
     schema = T.StructType([*given.schema.fields, T.StructField(column, T.DoubleType())])
-    lexicon, weights = model.lexicon, model.weights
+    lexicon, weights, single = model.lexicon, model.weights, model.single
 
     def score(batches):
-        marker, here = Marker(lexicon), ToxicModel(lexicon, weights, {})
+        marker, here = Marker(lexicon, single), ToxicModel(lexicon, weights, {}, single)
         for b in batches:
             found = here.scores([t or "" for t in b.column(at).to_pylist()], marker)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, column])

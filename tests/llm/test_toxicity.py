@@ -78,3 +78,24 @@ def test_linear_classifier_separates():
     target = (x[:, 0] - x[:, 1] > 0.3).astype(float)
     w = fit_linear(x, target, penalty=0.1)
     assert (((x @ w) > 0) == target).mean() > 0.97
+
+
+def test_a_rare_kind_of_abuse_is_learnt(spark, docs_of):
+    """Its markers stand in fewer than 2 % of the toxic rows each, and more entries pass than there are voters."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    common, rare = [f"{c}nasty" for c in "ijklmn"], [f"{c}scherzo" for c in "opqr"]
+    docs, labels = [], []
+    for i in range(3200):
+        kind = common if i < 900 else rare if i < 960 else None
+        text = [word() for _ in range(30)]
+        if kind:
+            text[3] = text[9] = kind[i % len(kind)]
+        docs.append((i, " ".join(text)))
+        labels.append((i, int(kind is not None)))
+    df = docs_of(docs)
+    model = fit_toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"), most_voters=4)
+    assert len(model.lexicon) >= 10
+    scored = {r["doc_id"]: r["score"] for r in score_toxicity(df, model).collect()}
+    held = [i for i in range(3200) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all((scored[i] >= 0.5) == (i < 960) for i in held) and any(900 <= i < 960 for i in held)
