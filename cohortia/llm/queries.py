@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import audit
 from .automata import remove_known_words
 from .common import table
 from .decontaminate import contamination
@@ -135,3 +136,57 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 5
 """
+
+
+@query
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What each of five filters removes at each place of all their orders, by language."""
+    return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL["op13_filter_audit"] = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first_id FROM texts GROUP BY text
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), masks AS (
+  SELECT t.doc_id, t.part,
+         CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t.text, '[^A-Z]+', '', 'g')) > 10 * length(t.text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t.text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN t.doc_id > f.first_id THEN 16 ELSE 0 END AS mask
+  FROM texts t JOIN firsts f ON t.text = f.text
+), cells AS (
+  SELECT m.part, m.mask, count(*) AS n, coalesce(sum(k.good), 0) AS good, coalesce(sum(k.toxic), 0) AS toxic
+  FROM masks m LEFT JOIN known k ON m.doc_id = k.doc_id GROUP BY m.part, m.mask
+), letters(letter, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders AS (
+  SELECT '' AS filter_order, 0 AS applied
+  UNION ALL
+  SELECT o.filter_order || l.letter, o.applied + l.bit FROM orders o JOIN letters l ON (o.applied & l.bit) = 0
+), steps AS (
+  SELECT o.filter_order, CAST(s.step AS INTEGER) AS step, l.letter, l.bit,
+         (SELECT coalesce(sum(b.bit), 0) FROM letters b WHERE strpos(substr(o.filter_order, 1, CAST(s.step AS INTEGER) - 1), b.letter) > 0) AS before
+  FROM orders o, generate_series(1, 5) AS s(step), letters l
+  WHERE length(o.filter_order) = 5 AND l.letter = substr(o.filter_order, CAST(s.step AS INTEGER), 1)
+), metrics AS (
+  SELECT c.part, s.filter_order, s.step, s.letter,
+         CAST(sum(CASE WHEN (c.mask & CAST(s.before + s.bit AS INTEGER)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN (c.mask & s.bit) <> 0 AND (c.mask & CAST(s.before AS INTEGER)) = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN (c.mask & s.bit) <> 0 AND (c.mask & CAST(s.before AS INTEGER)) <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN c.mask = s.bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN (c.mask & s.bit) <> 0 AND (c.mask & CAST(s.before AS INTEGER)) = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN (c.mask & s.bit) <> 0 AND (c.mask & CAST(s.before AS INTEGER)) = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM cells c, steps s GROUP BY c.part, s.filter_order, s.step, s.letter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM metrics
+"""
