@@ -15,6 +15,7 @@ from .decontaminate import contamination
 from .maintext import main_texts
 from .neardup import near_duplicates
 from .packing import pack
+from .periods import periodic_runs, planted_tail, run_digests
 from .sharding import shard
 from .suffixes import remove_repeats
 from .tokencount import token_counts
@@ -138,6 +139,12 @@ WHERE rank <= 5
 """
 
 
+@query
+def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document and what is left without their repeats."""
+    return run_digests(periodic_runs(table(spark, folder, "documents"), tail=planted_tail))
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What each of five filters removes at each place of all their orders, by language."""
