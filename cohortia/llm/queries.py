@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .audit import audit
 from .automata import remove_known_words
 from .common import table
+from .cosine import near_vectors
 from .decontaminate import contamination
 from .maintext import main_texts
 from .neardup import near_duplicates
@@ -145,12 +146,44 @@ def op11_period_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_digests(periodic_runs(table(spark, folder, "documents"), tail=planted_tail))
 
 
+@query
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The near duplicates of every vector within its label: cosine of 0.98 or more."""
+    return near_vectors(table(spark, folder, "embeddings"), threshold=0.98)
+
+
 @query
 def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What each of five filters removes at each place of all their orders, by language."""
     return audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+# Components by carrying the smallest id along the links, which are few.
+SQL["op12_near_vectors"] = """
+WITH RECURSIVE parts AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), normed AS (
+  SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM parts WHERE len(v) > 0 AND list_dot_product(v, v) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM normed a JOIN normed b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id AS id, vec_id AS reached FROM embeddings
+  UNION
+  SELECT r.id, l.b FROM reach r JOIN links l ON r.reached = l.a
+), smallest AS (
+  SELECT id, min(reached) AS component_id FROM reach GROUP BY id
+), degrees AS (
+  SELECT a AS id, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, s.component_id, e.vec_id = s.component_id AS kept
+FROM embeddings e JOIN smallest s ON e.vec_id = s.id LEFT JOIN degrees d ON e.vec_id = d.id
+"""
+
 SQL["op13_filter_audit"] = r"""
 WITH RECURSIVE texts AS (
   SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
