@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from math import factorial
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, stored, whole_text
@@ -34,40 +34,46 @@ def text_filters(text: Column) -> dict[str, Column]:
     }
 
 
-def failures(docs: DataFrame, part: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``part`` and ``mask`` of every row: the bit of its n-th filter is 2^n, E the fifth.
+def mask_cells(docs: DataFrame, labels: DataFrame, part: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``part`` and its cells: an array of (mask, rows, good, toxic).
 
-    A missing text is empty, a missing part the empty string.  E: an equal text stands under a smaller
-    id, anywhere in the table; a row without an id has no smaller one, nor is it anyone's.
+    The bit of the n-th filter in a mask is 2^n, E the fifth: an equal text stands under a smaller id,
+    anywhere in the table.  A missing text is empty, a missing part the empty string; a row without an
+    id has no smaller one, nor is it anyone's.  A repeated id in ``labels`` is good or toxic if any of
+    its rows says so; ids without labels are neither.
     """
     text = F.col("text")
     given = docs.select(col(id_col).cast("long").alias("id"), F.coalesce(col(part).cast("string"), F.lit("")).alias("part"), whole_text(text_col).alias("text"))
     bits = [F.when(fails, F.lit(1 << n)).otherwise(F.lit(0)) for n, fails in enumerate(text_filters(text).values())]
-    own = sum(bits[1:], bits[0])
-    # 256 bits stand for the text; equal texts collapse before the shuffle, however many there are.
-    rows = stored(given.select("id", "part", own.alias("own"), F.unhex(F.sha2(text, 256)).alias("print")), "masks")
-    first = rows.where(F.col("id").isNotNull()).groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    first = first.where(F.col("first") < F.col("last")).select("print", "first")
-    copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
-    # The hint keeps a side that grows with the corpus from being broadcast; a hot text is split by the engine.
-    return rows.hint("merge").join(first, "print", "left").select(
-        "id", "part", (F.col("own") + F.when(copy, F.lit(1 << len(bits))).otherwise(F.lit(0))).alias("mask")
-    )
-
-
-def mask_cells(masks: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``part`` and its cells: an array of (mask, rows, good, toxic).
-
-    A repeated id in ``labels`` is good or toxic if any of its rows says so; ids without labels are neither.
-    """
+    # 256 bits stand for the text.
+    rows = given.select("id", "part", sum(bits[1:], bits[0]).alias("own"), F.unhex(F.sha2(text, 256)).alias("print"))
     known = labels.where(col(id_col).isNotNull()).groupBy(col(id_col).cast("long").alias("id")).agg(
-        F.coalesce(F.max((col("quality") == 1).cast("int")), F.lit(0)).alias("good"),
-        F.coalesce(F.max((col("toxic") == 1).cast("int")), F.lit(0)).alias("toxic"),
+        F.max(F.coalesce(col("quality") == 1, F.lit(False)).cast("int")).alias("good"),
+        F.max(F.coalesce(col("toxic") == 1, F.lit(False)).cast("int")).alias("toxic"),
+    )
+    # The hint keeps a side that grows with the corpus from being broadcast.
+    marked = rows.hint("merge").join(known, "id", "left").fillna(0, ["good", "toxic"])
+    kind = ["print", "part", "own", "good", "toxic"]
+    # Rows are counted by id first, then the ids of a text collapse before the shuffle, however many there are.
+    each = marked.groupBy("id", *kind).agg(F.count(F.lit(1)).alias("n"))
+    texts = each.groupBy(*kind).agg(
+        F.sum("n").alias("n"),
+        F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("first"),
+        F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("nameless"),
     )
-    counted = masks.hint("merge").join(known, "id", "left").groupBy("part", "mask").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("good"),
-        F.coalesce(F.sum("toxic"), F.lit(0)).cast("long").alias("toxic"),
+    # One row per part and label of a text: its smallest id decides which of them are no copies.
+    least = F.min("first.id").over(Window.partitionBy("print"))
+    fresh = F.col("nameless") + F.when(F.col("first.id") == F.col("least"), F.col("first.n")).otherwise(F.lit(0))
+    split = F.explode(F.array(
+        F.struct(F.col("own").alias("mask"), F.col("fresh").alias("rows")),
+        F.struct((F.col("own") + F.lit(1 << len(bits))).alias("mask"), (F.col("n") - F.col("fresh")).alias("rows")),
+    ))
+    cells = texts.withColumn("least", least).withColumn("fresh", fresh).select("part", "good", "toxic", split.alias("cell"))
+    cells = cells.select("part", "good", "toxic", "cell.*").where(F.col("rows") > 0)
+    counted = cells.groupBy("part", "mask").agg(
+        F.sum("rows").alias("rows"),
+        F.sum(F.col("rows") * F.col("good")).alias("good"),
+        F.sum(F.col("rows") * F.col("toxic")).alias("toxic"),
     )
     return counted.groupBy("part").agg(F.collect_list(F.struct("mask", "rows", "good", "toxic")).alias("cells"))
 
@@ -133,4 +139,4 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "lang", id_col: str =
     E never and has no labels.  Ids only in ``labels`` and other columns are ignored.  Without rows there
     is no part and no result.
     """
-    return order_metrics(mask_cells(failures(docs, part, id_col, text_col), labels, id_col), "ABCDE")
+    return order_metrics(mask_cells(docs, labels, part, id_col, text_col), "ABCDE")

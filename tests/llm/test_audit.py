@@ -7,7 +7,7 @@ from itertools import permutations
 import duckdb
 from pyspark.sql import functions as F
 
-from cohortia.llm.audit import audit, failures
+from cohortia.llm.audit import audit, mask_cells
 from cohortia.llm.queries import REGISTRY, SQL
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -81,7 +81,7 @@ def test_zero_steps_are_there(spark):
 def test_nothing_from_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert audit(empty, spark.createDataFrame([], LABELS)).count() == 0
-    assert failures(empty).count() == 0
+    assert mask_cells(empty, spark.createDataFrame([], LABELS)).count() == 0
 
 
 def test_many_parts(spark):
