@@ -34,6 +34,7 @@ HEADLINE = [
     "evaluation_bundle",
     "auc_bootstrap_ci",
     "boost_predict",
+    "boost_full_trees",
     "tune_best",
     "shap_high_score_mean",
     "shap_top10_by_group",

@@ -1,9 +1,13 @@
-"""Histogram boosting as Spark jobs: one job per tree level, all models of a pack together.
+"""Histogram boosting as Spark jobs, all models of a pack together.
 
-Each task adds up gradients by (model, node, feature, bin) over its own rows, Spark sums these
-histograms and finds the best split of every node, and the driver receives one row per node.
-Gradients are whole numbers on a grid of 2^-20, so sums and trees do not depend on how the rows
-are partitioned.  Missing values are tried on both sides of every split.
+A node with many rows is split by all tasks: each adds up gradients by (model, node, feature, bin) over
+its own rows, Spark sums these histograms and finds the best split, and the driver receives one row
+per node.  A level's histograms stay distributed, so of two siblings only the one with fewer rows is
+added up; the other is its parent less that.  Nodes with few rows wait until the large ones are done; then one job
+sends the rows of each to one task, which grows the rest of the tree from there.
+
+Gradients are whole numbers on a grid of 2^-20, so sums and trees depend neither on how the rows are
+partitioned nor on where a node is grown.  Missing values are tried on both sides of every split.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from .ship import received, shipped
 
 GRID_UNIT = 1 << 20
 REFRESH_ROUNDS = 10
+# Nodes of at most so many rows are grown to their leaves by one task.
+GROW_ROWS = 1 << 17
 LEAST_GAIN = 1e-6
 TREE_SCHEMA = (
     "model_id int, tree int, node int, feature string, split_value double, default_left boolean, "
@@ -114,10 +120,11 @@ class Boosting:
         max_bins: int = MAX_BINS,
         refresh: int = REFRESH_ROUNDS,
         edges: dict[str, list[float]] | None = None,
+        grow_rows: int = GROW_ROWS,
     ):
         self.spark = df.sparkSession
         self.features, self.fits, self.seed = list(features), list(fits), seed
-        self.max_bins, self.refresh = max_bins, refresh
+        self.max_bins, self.refresh, self.grow_rows = max_bins, refresh, grow_rows
         self.edges = edges or bin_edges(df, self.features, label, max_bins)
         rows = binned(df, self.features, self.edges, row_id, label, fold, len(self.fits), max_bins)
         rows = cut_lineage(rows)
@@ -125,6 +132,7 @@ class Boosting:
         if rows.rdd.getNumPartitions() < tasks:
             rows = rows.repartition(tasks, "key")
         self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        self.n_rows = self.rows.count()
         self.active = [True] * len(self.fits)
         self.trees: list[list[Tree]] = [[] for _ in self.fits]
         # Trees already added to the stored margins.
@@ -155,13 +163,47 @@ class Boosting:
                 if self.active[m]:
                     turn = len(self.trees[m])
                     growing[m] = Tree.empty(fit.params.max_depth, self._columns(fit, turn))
-            open_nodes = {m: [1] for m in growing}
-            while open_nodes:
-                found = self._best_splits(growing, open_nodes)
-                open_nodes = self._grow(growing, open_nodes, found)
+            self._grow_large(growing)
             for m, tree in growing.items():
                 self.trees[m].append(tree)
 
+    def _grow_large(self, growing: dict[int, Tree]) -> None:
+        """Level by level while nodes have many rows, then the subtrees of the others in one job."""
+        small: dict[int, list[int]] = {}
+        nodes = {m: [1] for m in growing}
+        # Of the root only a bound is known.
+        counts = {(m, 1): self.n_rows for m in growing}
+        cells = None
+        while nodes:
+            large: dict[int, list[int]] = {}
+            for m, some in nodes.items():
+                for node in some:
+                    (large if counts[m, node] > self.grow_rows else small).setdefault(m, []).append(node)
+            if not large:
+                break
+            light = self._lighter(large, counts)
+            level = next(iter(large.values()))[0].bit_length()
+            deepest = level >= max(self.fits[m].params.max_depth for m in large)
+            found, cells = self._best_splits(growing, light, cells, keep=not deepest)
+            nodes = self._grow(growing, large, found)
+            for m, some in nodes.items():
+                for node in some:
+                    counts[m, node] = found[m, node // 2]["nr" if node % 2 else "nl"]
+        if cells is not None:
+            cells.unpersist()
+        if small:
+            found = self._finish(growing, small)
+            while small:
+                small = self._grow(growing, small, found)
+
+    @staticmethod
+    def _lighter(large: dict[int, list[int]], counts: dict) -> dict[int, list[int]]:
+        """The nodes to add up: the root, or of each pair of siblings the one with fewer rows."""
+        return {
+            m: sorted({n if n == 1 else min((2 * (n // 2), 2 * (n // 2) + 1), key=lambda c: counts[m, c]) for n in nodes})  # noqa: B023
+            for m, nodes in large.items()
+        }
+
     def _grow(self, growing, open_nodes, found) -> dict[int, list[int]]:
         """Apply the level's splits; the nodes to look at next."""
         following: dict[int, list[int]] = {}
@@ -190,26 +232,69 @@ class Boosting:
         tree.value[node] = -params.eta * (g / GRID_UNIT) / (h / GRID_UNIT + params.reg_lambda)
         tree.cover[node] = h / GRID_UNIT
 
-    def _best_splits(self, growing: dict[int, Tree], open_nodes: dict[int, list[int]]) -> dict:
-        """Best split of each open node: one Spark job, one result row per node."""
-        params = {m: self.fits[m].params for m in growing}
-        rows = _split_rows(self._histograms(growing, open_nodes), params, self.max_bins)
-        return {(row["model"], row["node"]): row for row in rows.collect()}
+    def _best_splits(self, growing: dict[int, Tree], light: dict[int, list[int]], parents: DataFrame | None, keep: bool) -> tuple[dict, DataFrame | None]:
+        """Best splits of the light nodes and their siblings, and with ``keep`` the histograms to subtract from next.
 
-    def _histograms(self, growing: dict[int, Tree], open_nodes: dict[int, list[int]]) -> DataFrame:
-        fits, seed, missing = self.fits, self.seed, self.max_bins
-        slots = missing + 1
+        One Spark job, one result row per node; ``parents``, the histograms of the level above, go.
+        """
+        params = {m: self.fits[m].params for m in growing}
+        cells = _summed_cells(self._histograms(growing, light), parents)
+        if keep:
+            cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+        found = {(row["model"], row["node"]): row for row in _split_rows(cells, params, self.max_bins).collect()}
+        if parents is not None:
+            parents.unpersist()
+        return found, cells if keep else None
+
+    def _finish(self, growing: dict[int, Tree], small: dict[int, list[int]]) -> dict:
+        """The splits of all nodes below ``small``, each grown by the task that gets its rows: one Spark job."""
+        fits, missing = self.fits, self.max_bins
         turns = {m: len(self.trees[m]) for m in growing}
+        columns = {m: tree.columns for m, tree in growing.items()}
+        reader = self._reader(growing, small, turns)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for m, at, bins, g, h in reader(batches):
+                own = bins[:, columns[m]]
+                for i in np.unique(at[at >= 0]).tolist():
+                    here = at == i
+                    parts = [pack(x[here]) for x in (own, g.astype(np.int64)[:, None], h.astype(np.int64)[:, None])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(parts[0]), m, np.int32)),
+                            pa.array(np.full(len(parts[0]), small[m][i], np.int32)),
+                            *parts,
+                        ],
+                        names=["model", "node", "bins", "g", "h"],
+                    )
+
+        def grow(rows: pa.Table) -> pa.Table:
+            rows = rows.combine_chunks()
+            m, node = rows.column("model")[0].as_py(), rows.column("node")[0].as_py()
+            bins, g, h = (
+                packed(rows.column(name).chunk(0), kind, rows.num_rows)
+                for name, kind in (("bins", np.uint8), ("g", np.int64), ("h", np.int64))
+            )
+            found = grow_subtree(bins, g[:, 0], h[:, 0], node, columns[m], fits[m].params, missing)
+            return pa.table(
+                {name: pa.array([m] * len(found) if name == "model" else [r[name] for r in found], kind) for name, kind in SPLIT_FIELDS}
+            )
+
+        sent = self.rows.mapInArrow(send, "model int, node int, bins binary, g binary, h binary")
+        grown = sent.groupBy("model", "node").applyInArrow(grow, SPLIT_SCHEMA)
+        return {(row["model"], row["node"]): row for row in grown.collect()}
+
+    def _reader(self, growing: dict[int, Tree], nodes: dict[int, list[int]], turns: dict[int, int]):
+        """A generator over batches: per model the place of each row's node in ``nodes`` (-1: none), bins and gradients."""
+        fits, seed, missing = self.fits, self.seed, self.max_bins
         shared = shipped(self.spark, (growing, self._recent()))
 
-        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batches: Iterator[pa.RecordBatch]):
             trees, recent = received(shared)
-            sums, where = {}, {}
-            for m, nodes in open_nodes.items():
+            where = {}
+            for m, some in nodes.items():
                 where[m] = np.full(len(trees[m].feature), -1, np.int64)
-                where[m][nodes] = np.arange(len(nodes))
-                cells = len(nodes) * len(trees[m].columns) * slots
-                sums[m] = (np.zeros(cells), np.zeros(cells))
+                where[m][some] = np.arange(len(some))
             for batch in batches:
                 n = batch.num_rows
                 if not n:
@@ -219,7 +304,7 @@ class Boosting:
                 keys = batch.column("key").to_numpy()
                 y = batch.column("y").to_numpy()
                 folds = batch.column("fold").to_numpy()
-                for m in open_nodes:
+                for m in nodes:
                     tree, params = trees[m], fits[m].params
                     use = sampled(keys, seed, turns[m], params.subsample)
                     if fits[m].held_out is not None:
@@ -230,30 +315,41 @@ class Boosting:
                         margin = margin + done.value[descend(own, done, missing)]
                     at = where[m][descend(own, tree, missing)]
                     g, h = gradients(margin, y[use])
-                    inside = at >= 0
-                    width = len(tree.columns)
-                    cell = (at[inside, None] * width + np.arange(width)) * slots + own[inside][:, tree.columns]
-                    size = len(sums[m][0])
-                    for total, part in zip(sums[m], (g, h), strict=True):
-                        total += np.bincount(cell.ravel(), np.repeat(part[inside], width), size)
-            for m, (g, h) in sums.items():
-                used = np.flatnonzero((g != 0) | (h != 0))
-                columns = np.asarray(trees[m].columns)
-                node, rest = np.divmod(used, len(columns) * slots)
+                    yield m, at, own, g, h
+
+        return read
+
+    def _histograms(self, growing: dict[int, Tree], open_nodes: dict[int, list[int]]) -> DataFrame:
+        slots = self.max_bins + 1
+        turns = {m: len(self.trees[m]) for m in growing}
+        columns = {m: np.asarray(tree.columns) for m, tree in growing.items()}
+        reader = self._reader(growing, open_nodes, turns)
+
+        def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = {m: np.zeros((3, len(nodes) * len(columns[m]) * slots)) for m, nodes in open_nodes.items()}
+            for m, at, own, g, h in reader(batches):
+                inside = at >= 0
+                width = len(columns[m])
+                cell = ((at[inside, None] * width + np.arange(width)) * slots + own[inside][:, columns[m]]).ravel()
+                for total, part in zip(sums[m], (g, h, None), strict=True):
+                    weights = None if part is None else np.repeat(part[inside], width)
+                    total += np.bincount(cell, weights, sums[m].shape[1])
+            for m, (g, h, n) in sums.items():
+                used = np.flatnonzero(n)
+                node, rest = np.divmod(used, len(columns[m]) * slots)
                 feature, code = np.divmod(rest, slots)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(used), m, np.int32)),
                         pa.array(np.asarray(open_nodes[m], np.int32)[node]),
-                        pa.array(columns[feature].astype(np.int32)),
+                        pa.array(columns[m][feature].astype(np.int32)),
                         pa.array(code.astype(np.int32)),
-                        pa.array(g[used].astype(np.int64)),
-                        pa.array(h[used].astype(np.int64)),
+                        *[pa.array(x[used].astype(np.int64)) for x in (g, h, n)],
                     ],
-                    names=["model", "node", "feature", "bin", "g", "h"],
+                    names=["model", "node", "feature", "bin", "g", "h", "n"],
                 )
 
-        return self.rows.mapInArrow(add_up, "model int, node int, feature int, bin int, g bigint, h bigint")
+        return self.rows.mapInArrow(add_up, "model int, node int, feature int, bin int, g bigint, h bigint, n bigint")
 
     def fold_in(self) -> None:
         """Add the recent trees to the stored margins, and cut the lineage there."""
@@ -351,45 +447,140 @@ def _node_rows(model_id: int, t: int, tree: Tree, features: Sequence[str], edges
     return rows
 
 
+# What is known of a split, one row per node; no feature where none is good enough.
+SPLIT_FIELDS = [
+    ("model", pa.int32()), ("node", pa.int32()), ("g", pa.int64()), ("h", pa.int64()), ("feature", pa.int32()),
+    ("bin", pa.int32()), ("default_left", pa.int32()), ("gain", pa.float64()),
+    *[(name, pa.int64()) for name in ("gl", "hl", "gr", "hr", "nl", "nr")],
+]
+SPLIT_SCHEMA = (
+    "model int, node int, g bigint, h bigint, feature int, bin int, default_left int, gain double, "
+    "gl bigint, hl bigint, gr bigint, hr bigint, nl bigint, nr bigint"
+)
+
+ROOT_CELLS = """
+SELECT model, 0 AS parent, feature, node, bin, sum(g) AS g, sum(h) AS h, sum(n) AS n
+FROM (SELECT /*+ REPARTITION(model, parent, feature) */ * FROM (SELECT *, 0 AS parent FROM {cells}))
+GROUP BY model, parent, feature, node, bin
+"""
+
+# The light child of each pair, and its sibling: what the parent has beyond it.
+CHILD_CELLS = """
+WITH every AS (
+  SELECT /*+ REPARTITION(model, parent, feature) */ * FROM (
+    SELECT model, shiftright(node, 1) AS parent, feature, bin, g, h, n, 0L AS pg, 0L AS ph, 0L AS pn, node AS light FROM {cells}
+    UNION ALL
+    SELECT model, node, feature, bin, 0L, 0L, 0L, g, h, n, CAST(NULL AS INT) FROM {parents})),
+summed AS (
+  SELECT model, parent, feature, bin, sum(g) AS g, sum(h) AS h, sum(n) AS n, sum(pg) AS pg, sum(ph) AS ph, sum(pn) AS pn, max(light) AS light
+  FROM every GROUP BY model, parent, feature, bin),
+known AS (SELECT *, max(light) OVER (PARTITION BY model, parent, feature) AS child FROM summed),
+both AS (
+  SELECT model, parent, feature, bin,
+         inline(array(named_struct('node', child, 'g', g, 'h', h, 'n', n),
+                      named_struct('node', child ^ 1, 'g', pg - g, 'h', ph - h, 'n', pn - n)))
+  FROM known WHERE child IS NOT NULL)
+SELECT model, parent, feature, node, bin, g, h, n FROM both WHERE n > 0
+"""
+
 # One statement per level: the plan is built in one step, which matters at a job per level.
 SPLIT_SQL = """
-WITH summed AS (
-  SELECT model, node, feature, bin, sum(g) AS g, sum(h) AS h
-  FROM (SELECT /*+ REPARTITION(model, node, feature) */ * FROM {cells})
-  GROUP BY model, node, feature, bin),
-placed AS (
-  SELECT model, node, feature, bin,
-         sum(g) OVER w AS g, sum(h) OVER w AS h,
+WITH placed AS (
+  SELECT model, parent, node, feature, bin,
+         sum(g) OVER w AS g, sum(h) OVER w AS h, sum(n) OVER w AS n,
          sum(if(bin = {missing}, g, 0L)) OVER w AS gm, sum(if(bin = {missing}, h, 0L)) OVER w AS hm,
-         sum(g) OVER upto AS gl,
-         sum(h) OVER upto AS hl
-  FROM summed
-  WINDOW w AS (PARTITION BY model, node, feature),
-         upto AS (PARTITION BY model, node, feature ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+         sum(if(bin = {missing}, n, 0L)) OVER w AS nm,
+         sum(g) OVER upto AS gl, sum(h) OVER upto AS hl, sum(n) OVER upto AS nl
+  FROM {cells}
+  WINDOW w AS (PARTITION BY model, parent, feature, node),
+         upto AS (PARTITION BY model, parent, feature, node ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 sided AS (
-  SELECT model, node, feature, bin, g, h,
-         inline(array(named_struct('default_left', 0, 'gl', gl, 'hl', hl),
-                      named_struct('default_left', 1, 'gl', gl + gm, 'hl', hl + hm)))
+  SELECT model, node, feature, bin, g, h, n,
+         inline(array(named_struct('default_left', 0, 'gl', gl, 'hl', hl, 'nl', nl),
+                      named_struct('default_left', 1, 'gl', gl + gm, 'hl', hl + hm, 'nl', nl + nm)))
   FROM placed),
 gained AS (
-  SELECT *, g - gl AS gr, h - hl AS hr,
+  SELECT *, g - gl AS gr, h - hl AS hr, n - nl AS nr,
          pow(gl / {unit}, 2) / (hl / {unit} + {shrink}) + pow((g - gl) / {unit}, 2) / ((h - hl) / {unit} + {shrink})
          - pow(g / {unit}, 2) / (h / {unit} + {shrink}) AS gain
   FROM sided WHERE h > 0),
 best AS (
   SELECT model, node, max(g) AS g, max(h) AS h,
-         max(struct(gain, -feature AS f, -bin AS b, -default_left AS d, gl, hl, gr, hr)) FILTER (
+         max(struct(gain, -feature AS f, -bin AS b, -default_left AS d, gl, hl, gr, hr, nl, nr)) FILTER (
            WHERE bin < {missing} AND hl > 0 AND hr > 0 AND least(hl, hr) >= {least} * {unit}
              AND gain > {least_gain} AND gain >= {gamma}) AS s
   FROM gained GROUP BY model, node)
-SELECT model, node, g, h, -s.f AS feature, -s.b AS bin, -s.d AS default_left, s.gain, s.gl, s.hl, s.gr, s.hr FROM best
+SELECT model, node, g, h, -s.f AS feature, -s.b AS bin, -s.d AS default_left, s.gain, s.gl, s.hl, s.gr, s.hr, s.nl, s.nr FROM best
 """
 
 
+def _summed_cells(cells: DataFrame, parents: DataFrame | None) -> DataFrame:
+    """Histograms of one level, by (model, parent, feature): sums and subtraction share one exchange."""
+    if parents is None:
+        return cells.sparkSession.sql(ROOT_CELLS, cells=cells)
+    return cells.sparkSession.sql(CHILD_CELLS, cells=cells, parents=parents)
+
+
+def grow_subtree(bins: np.ndarray, g: np.ndarray, h: np.ndarray, top: int, columns: Sequence[int], params: BoostParams, missing: int) -> list[dict]:
+    """The splits of ``top`` and all nodes below it, as the level jobs find them.
+
+    ``bins`` has the tree's ``columns`` only.  Sums are whole numbers below 2^53, and of two siblings only
+    the one with fewer rows is added up.
+    """
+    slots, width = missing + 1, len(columns)
+    start = np.arange(width) * slots
+
+    def histogram(rows: np.ndarray) -> np.ndarray:
+        cell = (bins[rows] + start).ravel()
+        sums = [np.bincount(cell, np.repeat(x[rows], width), width * slots) for x in (g, h)]
+        return np.stack((*sums, np.bincount(cell, minlength=width * slots))).reshape(3, width, slots)
+
+    def squared(x, y):
+        return np.square(x / GRID_UNIT) / (y / GRID_UNIT + params.reg_lambda)
+
+    found = []
+    everything = np.arange(len(bins))
+    waiting = [(top, everything, histogram(everything))]
+    while waiting:
+        node, rows, cells = waiting.pop()
+        total = cells[:, 0].sum(axis=1)
+        if total[1] <= 0:
+            continue
+        left = np.cumsum(cells, axis=2)[:, :, :missing]
+        # Missing values on the right, then on the left.
+        left = np.stack((left, left + cells[:, :, missing:]), axis=3)
+        right = total[:, None, None, None] - left
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = squared(left[0], left[1]) + squared(right[0], right[1]) - squared(total[0], total[1])
+        fits = (cells[2, :, :missing, None] > 0) & (left[1] > 0) & (right[1] > 0)
+        fits &= np.minimum(left[1], right[1]) >= params.min_child_weight * GRID_UNIT
+        fits &= (gain > LEAST_GAIN) & (gain >= params.gamma)
+        row = dict.fromkeys([name for name, _ in SPLIT_FIELDS])
+        row |= {"node": node, "g": int(total[0]), "h": int(total[1])}
+        found.append(row)
+        if not fits.any():
+            continue
+        # The first of equal gains: lowest feature, lowest bin, missing values to the right.
+        f, b, side = (int(i) for i in np.unravel_index(np.argmax(np.where(fits, gain, -np.inf)), gain.shape))
+        row |= {"feature": int(columns[f]), "bin": b, "default_left": side, "gain": float(gain[f, b, side])}
+        for i, name in enumerate("ghn"):
+            row |= {f"{name}l": int(left[i, f, b, side]), f"{name}r": int(right[i, f, b, side])}
+        if node.bit_length() >= params.max_depth:
+            continue
+        code = bins[rows, f]
+        goes = np.where(code == missing, bool(side), code <= b)
+        one, two = rows[goes], rows[~goes]
+        light = histogram(one if len(one) <= len(two) else two)
+        rest = cells - light
+        first, second = (light, rest) if len(one) <= len(two) else (rest, light)
+        waiting += [(2 * node, one, first), (2 * node + 1, two, second)]
+    return found
+
+
 def _split_rows(cells: DataFrame, params: dict[int, BoostParams], missing: int) -> DataFrame:
     """Best split per (model, node), NULL feature where none is good enough.
 
-    Sums and the window share one exchange, by feature.  All groups are bounded by the number of
+    The windows need no exchange of their own.  All groups are bounded by the number of
     bins and features, not by the rows.  Ties go to the first feature, the lowest bin and, for
     missing values, the right side.
     """
@@ -423,9 +614,10 @@ def fit_boost(
     rounds: int,
     seed: int = 7201,
     max_bins: int = MAX_BINS,
+    grow_rows: int = GROW_ROWS,
 ) -> DataFrame:
     """Train one model; the result is its trees, one row per node."""
-    job = Boosting(df, features, label, row_id, [Fit(0, params)], seed, max_bins=max_bins)
+    job = Boosting(df, features, label, row_id, [Fit(0, params)], seed, max_bins=max_bins, grow_rows=grow_rows)
     try:
         job.run(rounds)
         return job.tree_rows()

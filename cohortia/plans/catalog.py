@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.nulls import col
 from ..models.boost import fit_boost
-from ..models.params import BoostParams, param_grid
+from ..models.params import DEFAULT_PARAMS, DEFAULT_ROUNDS, BoostParams, param_grid
 from ..models.predict import collect_trees, predict
 from ..models.shap import expected_margin, margin_gap, shap_long, shap_scaled, shap_wide
 from ..models.tune import best_params, tune
@@ -519,6 +519,13 @@ def boost_trees(v: Views) -> DataFrame:
     return _small_trees(_training(v))
 
 
+@query
+def boost_full_trees(v: Views) -> DataFrame:
+    """The model at its full size: 150 rounds of depth 9."""
+    rows = _training(v).where("split = 'train'")
+    return fit_boost(rows, MODEL_FEATURES, "y", "row_id", DEFAULT_PARAMS, DEFAULT_ROUNDS)
+
+
 @query
 def boost_predict(v: Views) -> DataFrame:
     rows = _training(v)

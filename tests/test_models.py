@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortia.models import binning
 from cohortia.models import tune as tuning
 from cohortia.models.binning import bin_edges
-from cohortia.models.boost import GRID_UNIT, Boosting, Fit, fit_boost
+from cohortia.models.boost import GRID_UNIT, Boosting, Fit, fit_boost, grow_subtree
 from cohortia.models.params import GRID, BoostParams, param_grid
 from cohortia.models.predict import collect_trees, predict
 from cohortia.models.shap import attributions, expected_margin, margin_gap, shap_long, shap_scaled, shap_wide
@@ -102,6 +102,33 @@ def test_trees_equal_brute_force(spark, params):
                 assert found[t][node]["value"] == pytest.approx(value, abs=1e-9)
 
 
+@pytest.mark.parametrize("params", [BoostParams(eta=0.3, max_depth=5, min_child_weight=0.3, subsample=0.8, colsample_bytree=0.7)])
+def test_trees_do_not_depend_on_where_nodes_are_grown(spark, params):
+    """All levels by all tasks with subtraction, all in one task, and mixtures of both, for several models at once."""
+    df, _ = table(spark, 400)
+    folded = df.withColumn("k", (F.col("row_id") % 2).cast("int"))
+    fits = [Fit(0, params, 0), Fit(1, params, 1), Fit(2, BoostParams(eta=0.1, max_depth=2, gamma=0.5))]
+    grown = []
+    for grow_rows in (0, 25, 120, 1 << 17):
+        job = Boosting(folded, FEATURES, "y", "row_id", fits, 5, "k", grow_rows=grow_rows)
+        job.run(3)
+        grown.append(sorted(map(tuple, job.tree_rows().collect()), key=lambda r: r[:3]))
+        job.close()
+    assert grown[0] == grown[1] == grown[2] == grown[3]
+    assert max(row[2] for row in grown[0]) >= 16 and {row[0] for row in grown[0]} == {0, 1, 2}
+
+
+def test_subtrees_equal_level_jobs_without_missing_values_or_gain():
+    bins = np.array([[0, 3], [0, 3], [1, 3], [1, 3]], np.uint8)
+    g, h = np.full(4, GRID_UNIT // 2), np.full(4, GRID_UNIT // 4)
+    rows = grow_subtree(bins, g, h, 5, [2, 4], BoostParams(max_depth=6), 8)
+    assert [(r["node"], r["feature"], r["g"]) for r in rows] == [(5, None, 2 * GRID_UNIT)]
+    g = np.array([1, 1, -1, -1]) * (GRID_UNIT // 2)
+    rows = grow_subtree(bins, g, h, 5, [2, 4], BoostParams(max_depth=3, min_child_weight=0.0), 8)
+    assert [(r["node"], r["feature"], r["bin"], r["nl"], r["nr"]) for r in rows] == [(5, 2, 0, 2, 2)]
+    assert grow_subtree(bins, 0 * g, 0 * h, 1, [2, 4], BoostParams(), 8) == []
+
+
 def test_hand_case_with_missing_values(spark):
     """Eight rows, two of them missing, one split: the missing ones side with the ones they resemble."""
     rows = [(i, int(x is None or x > 2), x) for i, x in enumerate([1.0, 1.0, 2.0, 2.0, 3.0, 3.0, None, None])]
