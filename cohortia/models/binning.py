@@ -10,39 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import col
-from ..operators.rank import running_counts, with_buckets
+from .quantiles import cuts_between
 
+# The default; a byte holds up to ``MOST_BINS`` beside the mark of a missing value.
 MAX_BINS = 64
+MOST_BINS = 255
 
 
 def bin_edges(df: DataFrame, features: Sequence[str], label: str | None = None, max_bins: int = MAX_BINS) -> dict[str, list[float]]:
     """Up to ``max_bins - 1`` edges per feature, halfway between neighbouring values.
 
-    Few-valued features get an edge between all values, others at quantiles of all rows that have a
-    ``label``: the same rule at every size.  Values are counted with partial sums; running counts go
-    through buckets of bounded size, so no window holds all values of a feature.  The driver receives
-    the edges only.
+    Few-valued features get an edge between all values, others at exact quantiles of all rows that have a
+    ``label``: the same rule at every size.  Quantiles come from radix selection, so neither the shuffle nor
+    the driver sees the distinct values.
     """
+    if not 2 <= max_bins <= MOST_BINS:
+        raise ValueError(f"max_bins must be from 2 to {MOST_BINS}")
+    if not features:
+        return {}
     rows = df if label is None else df.where(col(label).isNotNull())
-    values = rows.select(*[col(name).cast("double").alias(name) for name in features]).unpivot(
-        [], [col(name) for name in features], "variable", "score"
-    )
-    counted = values.where("score IS NOT NULL AND NOT isnan(score)").groupBy("variable", "score").agg(
-        F.count(F.lit(1)).alias("pos"), F.lit(0).cast("bigint").alias("neg")
-    )
-    bucketed = with_buckets(counted)
-    # One row per feature.
-    sizes = F.broadcast(bucketed.groupBy("variable").agg(F.count(F.lit(1)).alias("distinct")))
-    placed = running_counts(bucketed, ["variable"]).where("prev_score IS NOT NULL").join(sizes, "variable")
-    # The edge below a value stands where the values up to the one before it complete a share of the rows.
-    upto = "(cum_pos - pos)"
-    share_after = F.expr(f"{upto} * {max_bins} div n_pos")
-    share_before = F.expr(f"({upto} - prev_pos) * {max_bins} div n_pos")
-    wanted = placed.where((F.col("distinct") <= max_bins) | (share_after > share_before))
-    edges: dict[str, list[float]] = {name: [] for name in features}
-    for row in wanted.select("variable", ((F.col("prev_score") + F.col("score")) / 2).alias("edge")).collect():
-        edges[row["variable"]].append(row["edge"])
-    found = {name: sorted(set(e)) for name, e in edges.items()}
+    found = {name: sorted({(a + b) / 2 for a, b in pairs}) for name, pairs in cuts_between(rows, features, max_bins).items()}
     assert all(len(e) < max_bins for e in found.values())
     return found
 

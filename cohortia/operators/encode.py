@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.nulls import FLOATING, col, lookup, nan_as_null
 from .profile import level_table
+from .rank import numbered_in_parts
 
 MISSING_LEVEL = "missing"
 MAX_LEVELS = 2000
@@ -127,9 +128,9 @@ def _encode_by_join(df: DataFrame, columns: Sequence[str], base: int) -> DataFra
     known = level_table(df, columns).where("level IS NOT NULL").select("variable", F.col("level").cast("string").alias("level"))
     numeric = [name for name in columns if isinstance(df.schema[name].dataType, T.NumericType)]
     size = F.when(F.col("variable").isin(numeric), F.col("level").cast("double")) if numeric else F.lit(None).cast("double")
-    order = Window.partitionBy("variable").orderBy(size, "level")
-    # One row per level of a column: never rows of the data.
-    coded = known.distinct().withColumn("code", (F.row_number().over(order) + F.lit(base - 1)).cast("double"))
+    # Levels are numbered across range partitions, so no task holds all levels of a column.
+    levels_in_order = numbered_in_parts(known.distinct().withColumn("__size", size), ["variable"], ["__size", "level"], "__number")
+    coded = levels_in_order.withColumn("code", (F.col("__number") + F.lit(base - 1)).cast("double"))
     out = df
     for i, name in enumerate(columns):
         level, code = f"__level{i}", f"__code{i}"

@@ -9,17 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nulls import join_null_safe
+from ..functions.nulls import col, join_null_safe
 from ..session import cut_lineage
 
 HOT_ROWS = 1_000_000
 HOT_SHARE = 100_000
 BLOCK_IDS = 1 << 20
-WINDOW_ROWS = 500_000
 
 
 def hot_groups(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
@@ -86,28 +84,43 @@ def score_counts(df: DataFrame, label: str, score: str, by: Sequence[str] = ())
     )
 
 
-def with_buckets(counts: DataFrame, window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Add a ``bucket`` that rises with the score and holds a bounded number of distinct scores.
+def in_range_parts(df: DataFrame, order: Sequence[str], parts: int | None = None, name: str = "bucket") -> DataFrame:
+    """``df`` sorted into range partitions, with the number of each row's partition.
 
-    The table is cut off its lineage first, since it is read several times: once to size the
-    buckets, then for the bucket totals and for the rows themselves.
+    The number rises with ``order``, and rows that are equal in it share one.  The table is written once,
+    so everything that reads it sees the same cut; the driver learns nothing about it.
     """
-    counts = cut_lineage(counts)
-    rows = counts.count()
-    if rows <= window_rows:
-        return counts.withColumn("bucket", F.lit(0))
-    parts = 2 * (rows // window_rows) + 2
-    cuts = counts.approxQuantile("score", [i / parts for i in range(1, parts)], 0.25 / parts)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    bucketed = Bucketizer(splits=splits, inputCol="score", outputCol="bucket", handleInvalid="keep").transform(counts)
-    return bucketed.withColumn("bucket", F.col("bucket").cast("int"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(parts, *[col(c) for c in order]).withColumn(name, F.spark_partition_id()))
+
+
+def with_buckets(counts: DataFrame, parts: int | None = None) -> DataFrame:
+    """Add a ``bucket`` that rises with the score: the range partition, of all groups together."""
+    return in_range_parts(counts, ["score"], parts)
+
+
+def numbered_in_parts(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str, parts: int | None = None) -> DataFrame:
+    """``row_number`` within ``by`` in the order of ``order`` (missing first), for groups of any size.
+
+    Rows are numbered inside range partitions; the rows of a group before a partition are added.  Rows of
+    a group must differ in ``order``.
+    """
+    by, order = list(by), list(order)
+    placed = in_range_parts(df, [*by, *order], parts, "__part")
+    keys = [*by, "__part"]
+    sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    # One row per group and partition.
+    group = Window.partitionBy(*by).orderBy("__part") if by else Window.partitionBy(F.lit(0)).orderBy("__part")
+    before = sizes.select(*keys, _before("__n", group, "__before"))
+    inside = placed.withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return join_null_safe(inside, before, keys).withColumn(name, F.col("__at") + F.col("__before")).select(*[col(c) for c in df.columns], name)
 
 
 def running_counts(bucketed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct score: counts up to and including it, group totals, previous score.
 
-    Bucket totals (one row per some 250,000 distinct scores) carry the running count across
-    buckets; inside a bucket a window over its distinct scores finishes the job.
+    A prefix sum on two levels: bucket totals, one row per group and bucket, carry the running count
+    across buckets; inside a bucket a window over its distinct scores finishes the job.
     """
     by = list(by)
     keys = [*by, "bucket"]

@@ -8,14 +8,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortia.models import binning
 from cohortia.models import tune as tuning
 from cohortia.models.binning import bin_edges
 from cohortia.models.boost import GRID_UNIT, Boosting, Fit, fit_boost, grow_subtree
 from cohortia.models.params import GRID, BoostParams, param_grid
 from cohortia.models.predict import collect_trees, predict
 from cohortia.models.shap import attributions, expected_margin, margin_gap, shap_long, shap_scaled, shap_wide
-from cohortia.operators import metrics, rank
+from cohortia.operators import metrics
 
 FEATURES = ["a", "b.x", "c"]
 
@@ -233,14 +232,66 @@ def test_early_stopping_rule():
     assert short.history == [0.5, 0.6, 0.7] and not short.stopped
 
 
-@pytest.mark.parametrize("window_rows", [3, 40])
-def test_edges_do_not_depend_on_the_bucket_size(spark, monkeypatch, window_rows):
+def brute_edges(values, bins):
+    """An edge between all of few values, else after each value that completes a share of the rows."""
+    known = sorted(v for v in values if v is not None and not math.isnan(v))
+    distinct = sorted(set(known))
+    edges = set()
+    for one, two in zip(distinct, distinct[1:]):
+        upto, below = sum(v <= one for v in known), sum(v < one for v in known)
+        if len(distinct) <= bins or upto * bins // len(known) > below * bins // len(known):
+            edges.add((one + two) / 2)
+    return sorted(edges)
+
+
+@pytest.mark.parametrize("bins", [2, 16, 64, 255])
+def test_edges_equal_brute_force(spark, bins):
+    rng = random.Random(bins)
+    kinds = [
+        lambda: rng.choice([None, float("nan"), rng.gauss(0, 1), rng.gauss(0, 1e-300), -rng.expovariate(1e200)]),
+        lambda: float(rng.randrange(bins)),
+        lambda: float(rng.randrange(bins + 1) - 5),
+        lambda: rng.choice([0.0, -0.0, 1.0]) if rng.random() < 0.9 else rng.random() / 1e9,
+        lambda: 1 + rng.randrange(700) * 2.0**-52,
+        lambda: None,
+        lambda: rng.choice([float("inf"), -float("inf"), 3.0]),
+        lambda: 7.0,
+    ]
+    rows = [tuple(kind() for kind in kinds) for _ in range(600)]
+    names = [f"v.{i}" for i in range(len(kinds))]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` double" for n in names))
+    for parts in (1, 5):
+        found = bin_edges(df.repartition(parts), names, max_bins=bins)
+        for i, name in enumerate(names):
+            expected = brute_edges([r[i] for r in rows], bins)
+            assert [str(e) for e in found[name]] == [str(e) for e in expected]
+
+
+def test_edges_see_labelled_rows_only(spark):
     df, _ = table(spark)
-    whole = bin_edges(df, FEATURES, "y", 16)
-    monkeypatch.setattr(binning, "with_buckets", lambda counts: rank.with_buckets(counts, window_rows))
-    assert bin_edges(df, FEATURES, "y", 16) == whole
     unlabelled = df.withColumn("y", F.when(F.col("row_id") % 2 == 0, F.col("y")))
     assert bin_edges(unlabelled, FEATURES, "y", 16) == bin_edges(df.where("row_id % 2 = 0"), FEATURES, "y", 16)
+    assert bin_edges(df.limit(0), ["a"]) == {"a": []} and bin_edges(df, []) == {}
+    for bins in (1, 256):
+        with pytest.raises(ValueError, match="max_bins"):
+            bin_edges(df, FEATURES, "y", bins)
+
+
+def test_cells_are_sent_in_parts(spark, monkeypatch):
+    from cohortia.models import quantiles
+
+    df, _ = table(spark)
+    whole = bin_edges(df, FEATURES, "y", 16)
+    monkeypatch.setattr(quantiles, "MOST_CELLS", 3)
+    assert bin_edges(df, FEATURES, "y", 16) == whole
+
+
+def test_trees_with_most_bins(spark):
+    df, _ = table(spark)
+    edges = bin_edges(df, FEATURES, "y", 255)
+    assert len(edges["b.x"]) > 150
+    found = {r["node"]: r for r in fit_boost(df, FEATURES, "y", "row_id", BoostParams(max_depth=2), 1, max_bins=255).collect()}
+    assert len(found) >= 3 and set(found) <= set(range(1, 8))
 
 
 def test_early_stopping_must_be_positive_or_off(spark):

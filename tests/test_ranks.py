@@ -1,6 +1,7 @@
 """Rank, split, ROC and bootstrap operators against brute force and their invariants."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from cohortia.operators import metrics, split
 from cohortia.operators.bootstrap import auc_ci, auc_replicates
 from cohortia.operators.evaluate import evaluate, summary_rows
-from cohortia.operators.rank import hot_groups, numbered, running_counts, score_counts, with_buckets
+from cohortia.operators.rank import hot_groups, numbered, numbered_in_parts, running_counts, score_counts, with_buckets
 
 
 def visits(spark):
@@ -54,13 +55,13 @@ def brute_auc(rows):
     return wins / (len(pos) * len(neg))
 
 
-@pytest.mark.parametrize("window_rows", [5, 10**6])
+@pytest.mark.parametrize("parts", [None, 1, 16])
 @pytest.mark.parametrize("partitions", [1, 3, 16])
-def test_running_counts_across_buckets(spark, window_rows, partitions):
+def test_running_counts_across_buckets(spark, parts, partitions):
     df, rows = scored(spark)
     counts = score_counts(df.repartition(partitions), "y", "p", ["g"])
-    bucketed = with_buckets(counts, window_rows)
-    if window_rows == 5:
+    bucketed = with_buckets(counts, parts)
+    if parts == 16:
         assert bucketed.select("bucket").distinct().count() > 3
     ranked = running_counts(bucketed, ["g"])
     for row in ranked.collect():
@@ -176,27 +177,49 @@ def test_bootstrap(spark):
     assert auc_ci(df.where("y = 1"), by=["g"], reps=20).collect() == []
 
 
-def test_bootstrap_bucket_draw_matches_a_whole_draw():
-    """Two scores in two buckets: the draw in parts gives exactly the AUC of its own counts."""
-    from types import SimpleNamespace
-
-    from cohortia.operators.bootstrap import _bucket_draws, _concordance
-
-    group = SimpleNamespace(all_pos=[3, 7], all_neg=[5, 2], bucket=[0, 1], group_key=1, first_rep=0, reps=5)
-    total = [0.0] * 5
-    for (_, _, slot, first, n_pos, n_neg, upward), pos, neg in zip(_bucket_draws(group, 9), ([3], [7]), ([5], [2])):
-        row = SimpleNamespace(
-            n_pos=n_pos, n_neg=n_neg, upward=upward, pos=pos, neg=neg, group_key=1, first_rep=first, slot=slot
-        )
-        for _, rep, wins in _concordance(row, 9):
-            total[rep] += wins
-    import numpy as np
-
-    for rep in range(5):
-        shared = np.random.default_rng([9, 1, rep])
-        p = shared.multinomial(10, [0.3, 0.7])
-        n = shared.multinomial(7, [5 / 7, 2 / 7])
-        assert total[rep] == n[0] * (p[0] / 2 + p[1]) + n[1] * p[1] / 2
+def exact_law(counts):
+    """Probability of each bootstrap AUC, by enumeration of both classes' draws."""
+    n_pos, n_neg = sum(p for _, p, _ in counts), sum(n for _, _, n in counts)
+
+    def draws(weights):
+        total = sum(weights)
+        out = {}
+        for choice in itertools.product(range(len(weights)), repeat=total):
+            got = tuple(choice.count(i) for i in range(len(weights)))
+            out[got] = out.get(got, 0) + math.prod(weights[i] / total for i in choice)
+        return out
+
+    law = {}
+    for pos, one in draws([p for _, p, _ in counts]).items():
+        for neg, two in draws([n for _, _, n in counts]).items():
+            wins = sum(neg[i] * (pos[i] / 2 + sum(pos[i + 1 :])) for i in range(len(counts)))
+            area = round(wins / n_pos / n_neg, 9)
+            law[area] = law.get(area, 0) + one * two
+    return law
+
+
+@pytest.mark.parametrize(("bucket_scores", "fanout"), [(100, 256), (1, 2), (2, 3), (1, 256)])
+def test_bootstrap_has_the_law_of_a_whole_draw(spark, bucket_scores, fanout):
+    """Whatever the tree, replicates follow the exact law, and the interval is the law's."""
+    counts = [(0.1, 0, 2), (0.2, 1, 0), (0.4, 1, 1), (0.7, 2, 1), (0.9, 1, 0)]
+    rows = [(y, s) for s, pos, neg in counts for y in [1] * pos + [0] * neg]
+    reps = 4000
+    found = auc_replicates(spark.createDataFrame(rows, "y int, p double"), by=[], reps=reps, bucket_scores=bucket_scores, fanout=fanout)
+    areas = sorted(round(r["auc"], 9) for r in found.collect())
+    law = exact_law(counts)
+    assert len(areas) == reps and set(areas) <= set(law) and sum(law.values()) == pytest.approx(1)
+    chi = sum((areas.count(a) - reps * p) ** 2 / (reps * p) for a, p in law.items() if reps * p >= 5)
+    kinds = sum(reps * p >= 5 for p in law.values())
+    assert chi < kinds + 5 * math.sqrt(2 * kinds)
+    for share in (0.025, 0.975):
+        # The exact quantile lies between those a little to both sides.
+        low, high = areas[int((share - 0.012) * reps)], areas[int((share + 0.012) * reps) - 1]
+        total, exact = 0.0, None
+        for area in sorted(law):
+            total += law[area]
+            if exact is None and total >= share:
+                exact = area
+        assert low <= exact <= high
 
 
 def test_evaluation_bundle(spark):
@@ -211,3 +234,15 @@ def test_evaluation_bundle(spark):
     assert table["test", "fixed"]["fp"] == sum(r[2] == 0 and r[3] > 0.5 for r in inside)
     text = {r["split"]: r for r in summary_rows(evaluate(df, reps=30)).collect()}
     assert " to " in text["test"]["auc"] and len(text["test"]["tpr"]) == 5
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_numbers_across_range_parts(spark, parts):
+    rows = [(i, None if i % 11 == 0 else i * 7 % 40, "ab"[i % 2] if i % 5 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, size long, g string").repartition(7)
+    for by in ([], ["g"]):
+        found = numbered_in_parts(df, by, ["size", "id"], "n", parts).collect()
+        for g in ({None, "a", "b"} if by else {0}):
+            own = [r for r in found if not by or r["g"] == g]
+            own.sort(key=lambda r: (r["size"] is not None, r["size"] or 0, r["id"]))
+            assert [r["n"] for r in own] == list(range(1, len(own) + 1)) and own
