@@ -19,14 +19,24 @@ def apply_correction(
     target: str = "HAQ0",
     corrected: str = "HAQ_corrected",
     keep_original: bool = False,
+    repeated: str = "repeat",
 ) -> DataFrame:
     """Overwrite ``target`` where a correction exists; without a table nothing changes.
 
-    Repeated keys in the correction table repeat the baseline row.
+    Repeated keys in the correction table repeat the baseline row, or with ``repeated="error"`` stop the job
+    that reads the result; ``checks.key_repeats`` lists them.
     """
+    if repeated not in ("repeat", "error"):
+        raise ValueError("repeated must be 'repeat' or 'error'")
     if correction is None:
         return baseline.withColumn(f"{target}_original", F.col(target)) if keep_original else baseline
     fixes = correction.select(*keys, corrected)
+    if repeated == "error":
+        # One row per key stays, and the check is part of the value it gives.
+        text = F.concat_ws(", ", *[F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys])
+        known = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("repeated correction: "), text)).cast(fixes.schema[corrected].dataType))
+        fixes = fixes.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(corrected).alias(corrected))
+        fixes = fixes.select(*keys, known.otherwise(F.col(corrected)).alias(corrected))
     joined = join_null_safe(baseline, fixes, keys, "left").withColumn(f"{target}_original", F.col(target))
     fixed = joined.withColumn(target, F.coalesce(corrected, f"{target}_original")).drop(corrected)
     return fixed if keep_original else fixed.drop(f"{target}_original")

@@ -221,8 +221,13 @@ def subgroup_metrics(
     shuffled once, after partial aggregation.
     """
     keys = [*by, group]
-    grouped = df.where(F.col(group).isNotNull())
-    counts = with_buckets(score_counts(grouped, label, score, keys))
+    counts = with_buckets(score_counts(df.where(F.col(group).isNotNull()), label, score, keys))
+    return subgroup_metrics_of(counts, threshold, keys)
+
+
+def subgroup_metrics_of(counts: DataFrame, threshold: float | Column, keys: Sequence[str]) -> DataFrame:
+    """The same from the bucketed counts of each subgroup, which may be read for other tables too."""
+    keys = list(keys)
     above = F.col("score") > threshold
     cells = counts.groupBy(*keys).agg(
         F.sum(F.when(above, F.col("pos")).otherwise(0)).alias("tp"),
@@ -247,6 +252,13 @@ def subgroup_metrics(
     )
 
 
+def pooled(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Running counts over coarser groups, from bucketed counts of finer ones."""
+    by = list(by)
+    summed = counts.groupBy(*by, "bucket", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return running_counts(summed, by)
+
+
 def sensitivity_subset(df: DataFrame, column: str = "CDAI0", above: float = 10.0) -> DataFrame:
     """Rows whose baseline score is known and above the limit."""
     return df.where((F.col(column) > above) & ~F.isnan(column))

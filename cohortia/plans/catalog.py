@@ -19,6 +19,7 @@ from ..operators import eligibility as elig
 from ..operators import encode, explain, metrics, profile, report, split, visits
 from ..operators.bootstrap import REPLICATES, auc_ci
 from ..operators.evaluate import evaluate, summary_rows
+from ..operators.rank import score_counts, with_buckets
 from ..session import cut_lineage
 from ..sources.fixtures import (
     CATEGORICAL,
@@ -404,12 +405,15 @@ def binarised_operating_point(v: Views) -> DataFrame:
 
 @query
 def subgroup_metrics(v: Views) -> DataFrame:
-    """Per group at the training threshold; in one group the label has a single class."""
-    scored = v.scored()
-    threshold = _train_threshold(metrics.roc_points(scored, by=["split"]))
-    one_class = F.when(F.col("grp") == "5-LOW", F.lit(0)).otherwise(F.col("y")).cast("bigint")
-    rows = scored.where("split <> 'train'").withColumn("y", one_class)
-    return metrics.subgroup_metrics(rows, threshold, "grp", by=["split"])
+    """Per group at the training threshold; in one group the label has a single class.
+
+    Threshold, cells and areas all come from one table of counts.
+    """
+    beyond = F.col("split") != "train"
+    one_class = F.when(beyond & (F.col("grp") == "5-LOW"), F.lit(0)).otherwise(F.col("y")).cast("bigint")
+    counts = with_buckets(score_counts(v.scored().withColumn("y", one_class), "y", "p", ["split", "grp"]))
+    roc = metrics.roc_of(metrics.pooled(counts.where(~beyond), ["split"]), ["split"])
+    return metrics.subgroup_metrics_of(counts.where(beyond & F.col("grp").isNotNull()), _train_threshold(roc), ["split", "grp"])
 
 
 @query

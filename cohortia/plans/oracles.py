@@ -614,12 +614,17 @@ UNION ALL
 SELECT 2, NULL, NULL, NULL, round(-0.3 * g1 / (n1 / 4 + 1), 6), NULL, round(n1 / 4, 6) FROM best
 UNION ALL
 SELECT 3, NULL, NULL, NULL, round(-0.3 * (g - g1) / ((n - n1) / 4 + 1), 6), NULL, round((n - n1) / 4, 6) FROM best"""
-SQL["stump_attributions"] = f"""WITH {STUMP},
-every AS ({" UNION ALL ".join(
-    f"SELECT row_id, '{name}' AS variable, CAST({value} AS DOUBLE) AS x FROM splits" for name, value in MODEL_COLUMNS.items())}),
+# The split's rows are made once and turned into one row per variable at once.
+SQL["stump_attributions"] = f"""WITH {STUMP.replace("splits AS (", "splits AS MATERIALIZED (", 1).replace("best AS (", "best AS MATERIALIZED (", 1)},
+wide AS (
+  SELECT row_id, {", ".join(f"CAST({value} AS DOUBLE) AS m{i}" for i, value in enumerate(MODEL_COLUMNS.values()))} FROM splits),
+names(m, variable) AS (VALUES {", ".join(f"('m{i}', '{name}')" for i, name in enumerate(MODEL_COLUMNS))}),
+every AS (
+  SELECT row_id, variable, x FROM wide UNPIVOT INCLUDE NULLS (x FOR m IN ({", ".join(f"m{i}" for i in range(len(MODEL_COLUMNS)))})) u
+  JOIN names ON u.m = names.m),
 leaves AS (
   SELECT *, -0.3 * g1 / (n1 / 4 + 1) AS left_value, -0.3 * (g - g1) / ((n - n1) / 4 + 1) AS right_value FROM best),
-scored AS (
+scored AS MATERIALIZED (
   SELECT row_id, CASE WHEN (x IS NULL AND d = 1) OR x < edge THEN left_value ELSE right_value END AS leaf,
          (n1 * left_value + (n - n1) * right_value) / n AS expected, feature
   FROM every JOIN leaves ON variable = feature)

@@ -27,7 +27,7 @@ from ..models.shap import long_form, shap_long, shap_wide
 from ..models.tune import chosen_params, tune
 from ..operators import correction as corr
 from ..operators import eligibility as elig
-from ..operators import encode, explain, metrics, profile, report, split, visits
+from ..operators import checks, encode, explain, metrics, profile, report, split, visits
 from ..operators.evaluate import evaluate, summary_rows, train_threshold
 from ..session import cut_lineage
 from ..sources.tables import ExportConfig, append_metrics, export, save_model
@@ -118,13 +118,15 @@ def prepare(cohort: DataFrame, settings: StudySettings) -> tuple[DataFrame, Data
     """Readable rows and encoded rows, both with their split, aligned by row id.
 
     The cohort is written once to the checkpoint folder: profiling, levels, split and both
-    tables all read it again.
+    tables all read it again.  The rows of both tables are counted and compared in the passes that write them.
     """
     keys = [settings.row_id, "Code", TARGET]
     excluded = [name for name in settings.excluded_columns if name not in keys]
     readable = cut_lineage(profile.prune_columns(profile.drop_types(cohort), excluded))
     hold_out = split.HoldOut("Code", settings.external_sites)
-    readable = cut_lineage(split.assign_split(readable, TARGET, settings.row_id, str(settings.seed), hold_out))
+    facts = checks.row_facts([settings.row_id, "split"])
+    seen = checks.watch(split.assign_split(readable, TARGET, settings.row_id, str(settings.seed), hold_out), facts)
+    readable = seen.table
 
     one_hot = [name for name in settings.encoded_columns if name in readable.columns]
     kinds = profile.classify_columns(readable.drop(*keys, "split", *one_hot))
@@ -134,7 +136,9 @@ def prepare(cohort: DataFrame, settings: StudySettings) -> tuple[DataFrame, Data
     levels = encode.collect_levels(filled, [*one_hot, *ordinal])
     single = [name for name in one_hot if len(levels[name]) < 2]
     encoded = encode.one_hot(encode.ordinal_encode(filled, ordinal, levels), one_hot, levels).drop(*single)
-    return readable, encode.nan_to_null(encoded)
+    finished = checks.watch(encode.nan_to_null(encoded), facts)
+    checks.same_rows(seen, finished)
+    return readable, finished.table
 
 
 def candidates(encoded: DataFrame, settings: StudySettings) -> list[str]:
@@ -151,13 +155,6 @@ def feature_names(encoded: DataFrame, settings: StudySettings) -> list[str]:
     return [name for name in names if name not in dropped]
 
 
-def check_rows(left: DataFrame, right: DataFrame, row_id: str) -> None:
-    """Both tables must be about the same rows."""
-    found = encode.unmatched_rows(left, right, row_id).first()
-    if len(set(found)) != 1:
-        raise ValueError(f"rows do not match: {found.asDict()}")
-
-
 def audit(
     visit_table: DataFrame, baseline: DataFrame, correction: DataFrame | None, cohort: DataFrame, settings: StudySettings
 ) -> dict[str, DataFrame]:
@@ -203,7 +200,6 @@ def run_study(
     encode.require_columns(baseline, [settings.row_id, *BASELINE_COLUMNS])
     cohort, flow = build_cohort(visit_table, baseline, correction, settings)
     readable, encoded = prepare(cohort, settings)
-    check_rows(readable, encoded, settings.row_id)
     if settings.include_baseline_flag:
         encoded = report.flag_at_most(encoded, SCORE, visits.REMISSION, "baseline_remission")
     row_id = settings.row_id

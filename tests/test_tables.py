@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from cohortia.models.boost import fit_boost
 from cohortia.models.params import BoostParams
 from cohortia.models.predict import predict
-from cohortia.operators import explain
+from cohortia.operators import checks, explain
+from cohortia.operators.correction import apply_correction
 from cohortia.operators.eligibility import cohort_flow
 from cohortia.plans.study import StudySettings, run_study
 from cohortia.session import checkpoint_dir, cut_lineage
@@ -52,6 +53,60 @@ def test_model_round_trip(spark, tmp_path):
     assert before == {r["row_id"]: r["p"] for r in predict(rows, loaded, ["a"]).collect()}
 
 
+def test_a_rerun_leaves_one_copy_of_its_metrics(spark, tmp_path):
+    folder = str(tmp_path)
+    flow = spark.createDataFrame([("known", 5)], "step string, n long")
+    first = tables.ExportConfig(folder, run="a")
+    for stage in ("flow", "later", "flow"):
+        tables.append_metrics(stage, flow, first)
+    tables.append_metrics("flow", flow.withColumn("n", F.lit(7)), tables.ExportConfig(folder, run="b"))
+    tables.append_metrics("flow", flow.withColumn("n", F.lit(6)), first)
+    found = spark.read.parquet(f"{folder}/metrics.parquet").select("run", "stage", "metric", "value").collect()
+    assert sorted(map(tuple, found)) == [("a", "flow", "known.n", "6"), ("a", "later", "known.n", "5"), ("b", "flow", "known.n", "7")]
+
+
+def test_half_a_model_is_refused(spark, tmp_path):
+    trees = spark.createDataFrame([(0, 0, 1, 0.5), (0, 1, 1, None)], "model_id int, tree int, node int, value double")
+    opened = tables.ExportConfig(model_artifacts=True)
+    path = str(tmp_path / "model")
+    with pytest.raises(ValueError, match="no complete model"):
+        tables.load_model(spark, path)
+    trees.write.parquet(f"{path}/trees.parquet")
+    with pytest.raises(ValueError, match="no complete model"):
+        tables.load_model(spark, path)
+    for _ in range(2):
+        assert tables.save_model(trees, {"eta": 0.1}, path, opened)
+        assert tables.load_model(spark, path)[0].count() == 2
+    # A later attempt that got as far as the trees.
+    trees.withColumn("value", F.lit(0.75)).write.mode("overwrite").parquet(f"{path}/trees.parquet")
+    with pytest.raises(ValueError, match="do not belong together"):
+        tables.load_model(spark, path)
+
+
+def test_rows_are_compared_as_they_are_written(spark):
+    facts = checks.row_facts(["id"])
+    df = spark.createDataFrame([(1, "x"), (2, None), (None, "y")], "id long, `a.b` string")
+    one = checks.watch(df, facts)
+    assert one.table.count() == 3 and one.seen["n_rows"] == 3
+    checks.same_rows(one, checks.watch(df.repartition(3).withColumn("more", F.lit(1)), facts))
+    for other in (df.where("id = 1"), df.withColumn("id", F.col("id") + 1), df.limit(0)):
+        with pytest.raises(ValueError, match="rows do not match"):
+            checks.same_rows(one, checks.watch(other, facts))
+    assert [tuple(r) for r in checks.key_repeats(df.unionByName(df.where("id IS NULL")), ["id"]).collect()] == [(None, 2)]
+
+
+def test_repeated_corrections_are_reported(spark):
+    baseline = spark.createDataFrame([(1, "a", 0.5), (2, "a", 0.7)], "ID_original long, Visit_date string, HAQ0 double")
+    fixes = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (2, "a", 3.0)], "ID_original long, Visit_date string, HAQ_corrected double")
+    assert apply_correction(baseline, fixes).count() == 3
+    once = apply_correction(baseline, fixes.where("HAQ_corrected > 1"), repeated="error")
+    assert sorted(map(tuple, once.collect())) == [(1, "a", 2.0), (2, "a", 3.0)]
+    with pytest.raises(Exception, match="repeated correction: 1, a"):
+        apply_correction(baseline, fixes, repeated="error").collect()
+    with pytest.raises(ValueError, match="repeated"):
+        apply_correction(baseline, fixes, repeated="drop")
+
+
 def test_cut_lineage_uses_the_checkpoint_folder(spark):
     folder = checkpoint_dir(spark)
     assert checkpoint_dir(spark) == folder
