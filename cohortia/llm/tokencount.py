@@ -1,14 +1,15 @@
-"""Token counts by a byte-level BPE tokenizer compiled to a deterministic transducer.
+"""Token counts by a byte-level BPE tokenizer compiled to deterministic transducers.
 
-The split pattern and the merges become one finite-state machine over characters.  A state holds the
-kind of the open piece and, of its bytes, only the longest suffix that can still grow into a token,
-together with the last token at each position of that suffix: nothing older can change a later
-token.  A transition carries the number of tokens by which the count of the text so far changes.
-States are made when first reached and shared by all texts of a worker.
+The split pattern is a finite-state machine over kinds of characters, run as one expression.  The
+vocabulary becomes an automaton over bytes with failure links: its state is the longest suffix that
+can still grow into a token, and lists the tokens that end here, longest first.  The encoding of a
+prefix ends in the longest of them that may follow the last token of what stands before it, so each
+transition emits by how many tokens the count so far changes.  States are integers, which pairs of tokens may
+stand together is decided once, and paths over frequent pieces are kept as one step.
 
 Long texts are cut into chunks.  A chunk becomes a state map: what stands before its first certain
 boundary, the count between its first and last certain boundary, and what stands after.  State maps
-compose associatively, so chunks are counted in any tasks and a scan in chunk order gives the total.
+compose associatively, so chunks are counted in any tasks and composed as a tree, level by level.
 """
 
 from __future__ import annotations
@@ -16,26 +17,44 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import cache, cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, col, process_cache, whole_text
+from .common import col, process_cache, whole_text
 
 # Unicode white space.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 # The endings that the split pattern keeps apart, with the apostrophe before them.
-SHORT_ENDINGS = "stmd"
-LONG_ENDINGS = {"r": "e", "v": "e", "l": "l"}
-
-BOUNDARY = re.compile(f"(?<=[^{SPACES}])[{SPACES}]")
-PIECES = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+ENDINGS = "s|t|re|ve|m|ll|d"
 CHUNK = 32_768
-# What a worker keeps; beyond these bounds transitions are made again.
-MOST_TRANSITIONS = 400_000
-MOST_PATHS = 400_000
+# What a worker keeps: pairs of tokens judged, and counts of pieces.  Beyond these bounds it starts anew.
+MOST_TRANSITIONS = 200_000
+MOST_PATHS = 120_000
+# Stands for the token before the first one.
+START = (1 << 20) - 1
+# Positions of a piece that are remembered at once; longer than any token.
+SPAN = 4096
+# State maps composed by one task at each level of the tree; the last level takes all that is left.
+FANOUT = 64
+
+
+@cache
+def class_of(kind: str) -> str:
+    """The characters of a Unicode category as ranges of an expression's character class."""
+    out, start = [], None
+    for point in range(0x110001):
+        inside = point < 0x110000 and unicodedata.category(chr(point))[0] == kind
+        if inside and start is None:
+            start = point
+        elif not inside and start is not None:
+            out.append(f"\\U{start:08x}-\\U{point - 1:08x}")
+            start = None
+    return "".join(out)
 
 
 def byte_names() -> dict[str, int]:
@@ -48,20 +67,65 @@ def byte_names() -> dict[str, int]:
 
 
 class Merges:
-    """Byte-pair merges, and the step of an encoding by one more byte."""
+    """Byte-pair merges compiled to an automaton over bytes."""
 
     def __init__(self, vocabulary: list[str], merges: list):
         names = byte_names()
         raw = lambda token: bytes(names[c] for c in token)
-        self.tokens = set()
-        for token in vocabulary:
-            if all(c in names for c in token):
-                self.tokens.add(raw(token))
+        self.tokens = [raw(t) for t in vocabulary if all(c in names for c in t)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.rank = {(raw(a), raw(b)): n for n, (a, b) in enumerate(pairs)}
-        self.prefixes = {t[:n] for t in self.tokens for n in range(len(t) + 1)}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.whole: dict[bytes, bool] = {}
+        number = {t: n for n, t in enumerate(self.tokens)}
+        # By token numbers: the rank of merging a pair, when a token is made (-1: a byte), and of which two.
+        self.joint = {number[a] << 20 | number[b]: n for (a, b), n in self.rank.items()}
+        self.made, self.halves = [-1] * len(self.tokens), [(-1, -1)] * len(self.tokens)
+        for (a, b), n in self.rank.items():
+            whole = number[a + b]
+            if self.made[whole] < 0:
+                self.made[whole], self.halves[whole] = n, (number[a], number[b])
+        # Whether a token is its own encoding, and whether two are the encoding of their bytes; decided when first asked.
+        self.whole: dict[int, bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.compile()
+
+    def compile(self) -> None:
+        """Edges (state * 256 + byte -> state), failure links, depths, tokens at states, and which states hold the tokens that end here."""
+        edge: dict[int, int] = {}
+        depth, token = [0], [-1]
+        for number, data in enumerate(self.tokens):
+            state = 0
+            for byte in data:
+                key = state << 8 | byte
+                to = edge.get(key)
+                if to is None:
+                    to = edge[key] = len(depth)
+                    depth.append(depth[state] + 1)
+                    token.append(-1)
+                state = to
+            token[state] = number
+        fail, shorter = [0] * len(depth), [0] * len(depth)
+        # Shorter suffixes come first.
+        for key, to in sorted(edge.items(), key=lambda e: depth[e[1]]):
+            state, byte = key >> 8, key & 255
+            if state:
+                at = fail[state]
+                while at and at << 8 | byte not in edge:
+                    at = fail[at]
+                fail[to] = edge.get(at << 8 | byte, 0)
+            shorter[to] = fail[to] if token[fail[to]] >= 0 else shorter[fail[to]]
+        longest = [n if token[n] >= 0 else shorter[n] for n in range(len(depth))]
+        self.edge, self.depth, self.token, self.fail, self.shorter, self.longest = edge, depth, token, fail, shorter, longest
+        self.most = len(edge) + MOST_TRANSITIONS
+
+    def move(self, key: int) -> int:
+        """The transition of a state that has no edge of its own: that of its failure link, kept from now on."""
+        state, byte = key >> 8, key & 255
+        while state and state << 8 | byte not in self.edge:
+            state = self.fail[state]
+        to = self.edge.get(state << 8 | byte, 0)
+        if len(self.edge) < self.most:
+            self.edge[key] = to
+        return to
 
     def encode(self, word: bytes) -> list[bytes]:
         parts = [word[i : i + 1] for i in range(len(word))]
@@ -81,164 +145,135 @@ class Merges:
             parts = out
         return parts
 
-    def alone(self, token: bytes) -> bool:
+    def alone(self, token: int) -> bool:
         """Whether the bytes of the token encode to it."""
         if token not in self.whole:
-            self.whole[token] = self.encode(token) == [token]
+            data = self.tokens[token]
+            self.whole[token] = self.encode(data) == [data]
         return self.whole[token]
 
-    def follows(self, left: bytes, right: bytes) -> bool:
-        """Whether the encoding of the two together is just these two."""
-        key = (left, right)
-        if key not in self.fits:
-            self.fits[key] = self.encode(left + right) == [left, right]
-        return self.fits[key]
-
-    #: The open piece before its first byte: no suffix; at its only position no token, count 0.
-    START = (b"", ((None, 0),))
+    def follows(self, left: int, right: int) -> bool:
+        """Whether the encoding of the two together is just these two; after ``START``, whether a token encodes to itself.
 
-    def step(self, state, byte: int):
-        """The state after one more byte and the change of the token count.
-
-        A state is the live suffix and, for each position from its start to its end where a longer
-        token can still begin, the last token there and the count there less the count at the end.
+        Undoes the later merge of the two, again and again: had the tokens that then meet a merge of lower
+        rank than the one undone, it would have come first.  Of equal ranks the left one comes first.
         """
-        suffix, marks = state
-        longer = suffix + bytes((byte,))
-        for at in range(len(longer)):
-            if marks[at] is None:
-                continue
-            token = longer[at:]
-            last, count = marks[at]
-            if token in self.tokens and self.alone(token) and (last is None or self.follows(last, token)):
+        key, limit = left << 20 | right, len(self.rank)
+        found = self.alone(right)
+        joint, made, halves = self.joint, self.made, self.halves
+        while found and left != START:
+            if joint.get(left << 20 | right, limit) < limit:
+                found = False
+                break
+            a, b = made[left], made[right]
+            if a < 0 and b < 0:
                 break
-        else:
-            raise ValueError("a byte without a token")
-        change = count + 1
-        keep = next(n for n in range(len(longer) + 1) if longer[n:] in self.prefixes)
-        marks += ((token, change),)
-        kept = [(t, c - change) if longer[n:] in self.prefixes else None for n, (t, c) in enumerate(m or (None, 0) for m in marks)]
-        return (longer[keep:], tuple(kept[keep:])), change
-
-    def steps(self, state, text: str):
-        total = 0
-        for byte in text.encode("utf-8", "surrogatepass"):
-            state, change = self.step(state, byte)
-            total += change
-        return state, total
+            if a > b:
+                left, limit = halves[left][1], a
+            else:
+                right, limit = halves[right][0], b + 1
+        if len(self.fits) >= MOST_TRANSITIONS:
+            self.fits.clear()
+        self.fits[key] = found
+        return found
+
+    def count(self, piece: bytes) -> int:
+        """Tokens of one piece: the sum of what its transitions emit."""
+        edge, depth, token, shorter, longest, fits = self.edge, self.depth, self.token, self.shorter, self.longest, self.fits
+        state, base, span = 0, 0, len(piece) > SPAN
+        # Last token and count after each byte; of a long piece only the end is remembered.
+        last, count = [START], [0]
+        for byte in piece:
+            key = state << 8 | byte
+            state = edge.get(key)
+            if state is None:
+                state = self.move(key)
+            at = longest[state]
+            while True:
+                size = depth[at]
+                pair = last[-size] << 20 | token[at]
+                fit = fits.get(pair)
+                if fit is None:
+                    fit = self.follows(pair >> 20, token[at])
+                if fit:
+                    break
+                at = shorter[at]
+                if not at:
+                    raise ValueError("a byte without a token")
+            count.append(count[-size] + 1)
+            last.append(token[at])
+            if span and len(last) > SPAN:
+                # The start is out of every token's reach by now.
+                base += count[-SPAN // 2]
+                count = [n - count[-SPAN // 2] for n in count[-SPAN // 2 :]]
+                last = last[-SPAN // 2 :]
+        return base + count[-1]
 
 
 class Paths(dict):
-    """What the transducer counts from its start over frequent pieces: whole paths kept as one step."""
+    """What the transducer counts over frequent pieces: whole paths kept as one step from their second sight on."""
 
     def __init__(self, walk):
         super().__init__()
-        self.walk = walk
+        self.walk, self.once = walk, {}
 
     def __missing__(self, piece):
-        n = self.walk(piece)
-        if len(self) < MOST_PATHS:
-            self[piece] = n
+        n = self.once.pop(piece, None)
+        if n is None:
+            n = self.walk(piece.encode("utf-8", "surrogatepass"))
+            if len(self.once) >= MOST_PATHS // 2:
+                self.once.clear()
+            if len(piece) < 64:
+                self.once[piece] = n
+            return n
+        if len(self) >= MOST_PATHS:
+            self.clear()
+        self[piece] = n
         return n
 
 
-class Row(dict):
-    """The transitions out of one state, made on demand: character -> (next row, change)."""
+class Transducer:
+    """Counts tokens of whole texts and of parts of them; compiled when first used."""
 
-    __slots__ = ("key", "machine")
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            self.spec = json.load(file)
+        specials = sorted((t["content"] for t in self.spec["added_tokens"]), key=len, reverse=True)
+        self.inside = "".join(sorted({c for s in specials for c in s}))
+        self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
 
-    def __init__(self, key, machine):
-        super().__init__()
-        self.key, self.machine = key, machine
+    @cached_property
+    def paths(self) -> Paths:
+        model = self.spec["model"]
+        return Paths(Merges(list(model["vocab"]), model["merges"]).count)
 
-    def __missing__(self, char):
-        key, change = self.machine.move(self.key, char)
-        to = self[char] = (self.machine.row(key), change)
-        return to
+    @cached_property
+    def kinds(self) -> dict[str, str]:
+        letter, number = class_of("L"), class_of("N")
+        return {"L": f"[{letter}]", "N": f"[{number}]", "O": f"[^{SPACES}{letter}{number}]"}
 
+    @cached_property
+    def pieces(self) -> re.Pattern:
+        letter, number, other = self.kinds.values()
+        return re.compile(f"'(?:{ENDINGS})| ?{letter}+| ?{number}+| ?{other}+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
-class Transducer:
-    """Counts tokens of whole texts; ``n`` of a prefix is what it would count as a text of its own."""
+    @cached_property
+    def boundary(self) -> re.Pattern:
+        """Where every text is split, whatever stands around.
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.merges = Merges(list(spec["model"]["vocab"]), spec["model"]["merges"])
-        specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.paths = Paths(self.walk)
-        self.reset()
-
-    def reset(self) -> None:
-        self.rows: dict = {}
-        self.made = 0
-        self.start = self.row(("new",))
-
-    def row(self, key) -> Row:
-        if key not in self.rows:
-            self.rows[key] = Row(key, self)
-        return self.rows[key]
-
-    @staticmethod
-    def kind(char: str) -> str:
-        if char in SPACES:
-            return "space"
-        group = unicodedata.category(char)[0]
-        return "letter" if group == "L" else "number" if group == "N" else "other"
-
-    def move(self, key, char: str):
-        """The transition of one state on one character, from the split pattern and the merges."""
-        self.made += 1
-        step, start = self.merges.steps, Merges.START
-        at, kind = key[0], self.kind(char)
-        if at == "space":
-            _, full, before, change, last = key
-            if kind == "space":
-                longer, more = step(full, char)
-                return ("space", longer, full, more, char), more
-            # The last white space leaves the run: a blank joins what follows, any other stands alone.
-            if last == " ":
-                state, n = step(start, " " + char)
-                return (kind, state), n - change
-            _, alone = step(start, last)
-            to, n = self.move(("new",), char)
-            return to, alone + n - change
-        if kind == "space":
-            state, n = step(start, char)
-            return ("space", state, None, n, char), n
-        if at == "quote":
-            if char in SHORT_ENDINGS:
-                return ("new",), step(start, "'" + char)[1] - step(start, "'")[1]
-            if char in LONG_ENDINGS:
-                state, n = step(start, char)
-                return ("ending", state, char), n
-            if kind == "other":
-                state, n = step(step(start, "'")[0], char)
-                return ("other", state), n
-            at = "new"
-        if at == "ending":
-            _, state, first = key
-            if char == LONG_ENDINGS[first]:
-                return ("new",), step(start, "'" + first + char)[1] - step(start, "'")[1] - step(start, first)[1]
-            at, key = "letter", ("letter", state)
-        if at == kind:
-            state, n = step(key[1], char)
-            return (kind, state), n
-        state, n = step(start, char)
-        return ("quote",) if char == "'" else (kind, state), n
+        Before white space, and where the kind of character changes, but for an apostrophe before a letter
+        and what may be the inside of a special string.
+        """
+        kinds = self.kinds
+        inside = f"[{re.escape(self.inside)}]"
+        apart = f"(?:(?<!{inside})|(?!{inside}))" if self.inside else ""
+        change = [f"(?<={kinds[a]})(?={kinds[b]})" for a, b in ("LN", "LO", "NL", "NO", "ON")]
+        change.append(f"(?<={kinds['O']})(?<!')(?={kinds['L']})")
+        return re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])|{apart}(?:{'|'.join(change)})")
 
     def plain(self, text: str) -> int:
-        """Tokens of a text without special strings: the sum over its pieces between certain boundaries."""
-        return sum(map(self.paths.__getitem__, PIECES.findall(text)))
-
-    def walk(self, text: str) -> int:
-        if self.made > MOST_TRANSITIONS:
-            self.reset()
-        row, total = self.start, 0
-        for char in text:
-            row, change = row[char]
-            total += change
-        return total
+        """Tokens of a text without special strings: the sum over the pieces of the split pattern."""
+        return sum(map(self.paths.__getitem__, self.pieces.findall(text)))
 
     def count(self, text: str) -> int:
         """Tokens of a text; a special string inside it is one token and ends what stands before it."""
@@ -248,24 +283,37 @@ class Transducer:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
     def state_map(self, chunk: str) -> tuple:
-        """(head, count, tail) of a chunk with a certain boundary, else (chunk, None, None).
-
-        Between a character and white space after it every text is split, whatever stands before.
-        """
-        first = BOUNDARY.search(chunk)
+        """(head, count, tail) of a chunk with a certain boundary, else (chunk, None, None)."""
+        first = self.boundary.search(chunk)
         if first is None:
             return chunk, None, None
-        cut, end = first.start(), len(chunk) - 1
-        while end > cut and not (chunk[end] in SPACES and chunk[end - 1] not in SPACES):
-            end -= 1
-        return chunk[:cut], self.count(chunk[cut:end]), chunk[end:]
+        size, last = 32, first.start()
+        while size < 2 * len(chunk):
+            found = [m.start() for m in self.boundary.finditer(chunk, max(last, len(chunk) - size))]
+            if found:
+                last = max(last, found[-1])
+                break
+            size *= 8
+        return chunk[: first.start()], self.count(chunk[first.start() : last]), chunk[last:]
+
+    def compose_all(self, maps: Iterable[tuple]) -> tuple:
+        """The state map of neighbouring chunks; what hangs together across them is joined once."""
+        head, total, open_ = None, 0, []
+        for first, count, tail in maps:
+            open_.append(first)
+            if count is None:
+                continue
+            if head is None:
+                head = "".join(open_)
+            else:
+                total += self.count("".join(open_))
+            total += count
+            open_ = [tail]
+        text = "".join(open_)
+        return (text, None, None) if head is None else (head, total, text)
 
     def compose(self, left: tuple, right: tuple) -> tuple:
-        if left[1] is None:
-            return left[0] + right[0], right[1], right[2]
-        if right[1] is None:
-            return left[0], left[1], left[2] + right[0]
-        return left[0], left[1] + self.count(left[2] + right[0]) + right[1], right[2]
+        return self.compose_all((left, right))
 
     def total(self, whole: tuple) -> int:
         return self.count(whole[0]) + (0 if whole[1] is None else whole[1] + self.count(whole[2]))
@@ -280,7 +328,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     ``path`` is the tokenizer file, at the same place on every executor.  A missing or empty text has
     no bytes and no tokens; repeated rows and ids are counted each; other columns are ignored, and an
-    id may be missing.  Texts above ``chunk`` characters are counted chunk by chunk.
+    id may be missing.  Texts above ``chunk`` characters are counted chunk by chunk, equal ones once.
+    What has no certain boundary inside, a single run of letters, say, is counted as one.
     """
     given = docs.select(col(id_col).alias("id"), whole_text(text_col).alias("text"))
     id_type = given.schema["id"].dataType
@@ -293,54 +342,60 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = [machine.count(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
-    # A key of the whole text keeps rows apart that share an id.
-    long = given.where(F.length("text") > chunk).select(
-        "id", "text", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key")
-    )
-    # Chunks are dealt out, so that one long text is counted by many tasks.
+    long = given.where(F.length("text") > chunk).withColumn("key", F.sha2("text", 256))
+    # Chunks are dealt out, so that one long text is counted by many tasks; those of copies collapse on the way.
     seq = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / F.lit(chunk)).cast("int")))
-    pieces = long.withColumn("seq", seq).select(
-        "id", "n_bytes", "key", "seq", F.expr(f"substring(text, seq * {chunk} + 1, {chunk})").alias("piece")
-    )
-    maps_type = T.StructType(
-        [T.StructField("id", id_type), T.StructField("n_bytes", T.LongType()), T.StructField("key", T.StringType())]
-        + [T.StructField("seq", T.IntegerType()), T.StructField("head", T.StringType())]
-        + [T.StructField("count", T.LongType()), T.StructField("tail", T.StringType())]
-    )
+    pieces = long.select("key", "text", seq.alias("seq")).select("key", "seq", F.expr(f"substring(text, seq * {chunk} + 1, {chunk})").alias("piece"))
+    pieces = pieces.groupBy("key", "seq").agg(F.first("piece").alias("piece"))
+    maps_type = "key string, seq int, head string, count long, tail string"
+
+    def map_rows(keys: list, seqs: list, maps: list[tuple]) -> pa.RecordBatch:
+        head, count, tail = zip(*maps) if maps else ((), (), ())
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, k) for v, k in zip((keys, seqs, head, count, tail), kinds)], names=["key", "seq", "head", "count", "tail"]
+        )
 
     def map_chunks(batches):
         machine = transducer(path)
         for b in batches:
-            maps = [machine.state_map(t) for t in b.column(4).to_pylist()]
-            head, count, tail = zip(*maps) if maps else ((), (), ())
-            rest = [pa.array(head, pa.string()), pa.array(count, pa.int64()), pa.array(tail, pa.string())]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)] + rest, names=[f.name for f in maps_type])
-
-    def scan(batches):
-        """Compose the maps of each text in chunk order; copies of a row bring each chunk several times."""
+            yield map_rows(b.column(0).to_pylist(), b.column(1).to_pylist(), [machine.state_map(t) for t in b.column(2).to_pylist()])
+
+    def compose(span: int | None):
+        """Compose the maps of each text in chunk order, ``span`` numbers at a time or all."""
+
+        def groups(batches) -> Iterator[tuple]:
+            place, held = None, []
+            for b in batches:
+                for key, seq, *one in zip(*(c.to_pylist() for c in b.columns)):
+                    now = key, 0 if span is None else seq // span
+                    if now != place:
+                        if held:
+                            yield place, held
+                        place, held = now, []
+                    held.append(tuple(one))
+            if held:
+                yield place, held
+
+        def run(batches):
+            machine = transducer(path)
+            for (key, seq), maps in groups(batches):
+                yield map_rows([key], [seq], [machine.compose_all(maps)])
+
+        return run
+
+    maps = pieces.mapInArrow(map_chunks, maps_type)
+    for span in (FANOUT, FANOUT, None):
+        keys = ["key"] if span is None else ["key", F.floor(F.col("seq") / span)]
+        maps = maps.repartition(*keys).sortWithinPartitions("key", "seq").mapInArrow(compose(span), maps_type)
+
+    def finish(batches):
         machine = transducer(path)
-        schema = None
-        now, whole, seen, copies = None, None, -1, 0
         for b in batches:
-            schema = pa.schema([b.schema.field(0).with_name("id"), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
-            done = []
-            for row in b.to_pylist():
-                key = (row["id"], row["key"])
-                this = (row["head"], row["count"], row["tail"])
-                if now is None or key != now[0]:
-                    if now is not None:
-                        done += [(now[0][0], now[1], machine.total(whole))] * copies
-                    now, whole, seen, copies = (key, row["n_bytes"]), this, row["seq"], 1
-                elif row["seq"] != seen:
-                    whole, seen = machine.compose(whole, this), row["seq"]
-                elif row["seq"] == 0:
-                    copies += 1
-            ids, sizes, counts = zip(*done) if done else ((), (), ())
-            yield batch(schema, {"id": list(ids), "n_bytes": list(sizes), "n_tokens": list(counts)})
-        if now is not None:
-            n = machine.total(whole)
-            yield batch(schema, {"id": [now[0][0]] * copies, "n_bytes": [now[1]] * copies, "n_tokens": [n] * copies})
-
-    maps = pieces.repartition("key", "seq").mapInArrow(map_chunks, maps_type)
-    totals = maps.repartition("key").sortWithinPartitions("key", "id", "seq").mapInArrow(scan, out)
-    return short.mapInArrow(count_short, out).unionByName(totals).withColumnRenamed("id", id_col)
+            totals = [machine.total(m) for m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(totals, pa.int64())], names=["key", "n_tokens"])
+
+    totals = maps.mapInArrow(finish, "key string, n_tokens long")
+    rows = long.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "key")
+    counted = rows.join(totals, "key").select("id", "n_bytes", "n_tokens")
+    return short.mapInArrow(count_short, out).unionByName(counted).withColumnRenamed("id", id_col)
