@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 
+# Rows go to Python in batches of so many bytes: long texts would otherwise fill a worker ten thousand at a time.
+BATCH_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; from now on the session hands rows to Python in small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -29,9 +35,14 @@ def whole_text(name: str = "text") -> Column:
 
 
 def process_cache(name: str, make: Callable[[], object]) -> object:
-    """An object kept as long as the Python worker lives, so that its tasks build it once."""
+    """An object that the tasks of a Python worker build once and share, until they ask for another one.
+
+    A worker outlives the stages of a pipeline; what an earlier one kept must not stay beside the new.
+    """
     home = sys.modules.setdefault("_cohortia_llm_worker", types.ModuleType("_cohortia_llm_worker"))
     if not hasattr(home, name):
+        for other in [n for n in vars(home) if not n.startswith("__")]:
+            delattr(home, other)
         setattr(home, name, make())
     return getattr(home, name)
 

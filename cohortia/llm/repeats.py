@@ -36,6 +36,7 @@ MOST_SHARDS = 4096
 # Anchors with more occurrences than this send single windows.
 HOT = 8192
 SLICE = 32_768
+MOST_WORDS = 120_000
 NO_ID = np.iinfo(np.int64).max
 MULTIPLIER = 0x9E3779B97F4A7C15
 # Two hashes together stand for the content of a window inside a block.
@@ -91,9 +92,11 @@ class Bytes:
 
 
 class WordHashes(dict):
+    """Hashes of words, kept for the first ``MOST_WORDS`` distinct ones a worker meets."""
+
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 250_000:
+        if len(self) < MOST_WORDS:
             self[word] = h
         return h
 

@@ -25,7 +25,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 START_LENGTHS = range(4, 9)
 # A lexicon voter speaks once its words are this share of the text.
 VOTER_RATE = 1 / 1000
-MOST_KNOWN = 300_000
+MOST_KNOWN = 100_000
 # A lexicon entry stays if it speaks on so many toxic rows, however many there are, and is right so often.
 LEAST_COUNT, LEAST_ACCURACY = 3, 0.9
 
@@ -212,7 +212,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
                 marks = {m for w in set(WORDS.findall(text.lower())) for m in word_marks(w)}
                 for m in marks:
                     counts.setdefault(m, [0, 0])[toxic != 0] += 1
-                if len(counts) > 200_000:
+                if len(counts) > 100_000:
                     yield tally(counts)
                     counts = {}
             yield tally(counts)
