@@ -4,7 +4,8 @@ Markup is stripped into lines, one per block element.  Lines inside menus, adver
 weigh nothing, and neither does link text.  The weights are summed over sliding windows of lines.  The
 text surges where a window rises above the threshold and dives where the windows fall below it; what
 stands between is the main text, with the lines of its container and the adjoining lines up to the
-next menu, advert or link.  Where the text found lies in a marked article, the mark is its boundary.
+next menu, advert or link.  Where most of the text found lies in marked articles, the marks are its boundary;
+where most lies elsewhere, a mark only adds its lines.
 """
 
 from __future__ import annotations
@@ -53,14 +54,39 @@ NOISE = frozenset(
     + ["footer", "foot", "gdpr", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter"]
     + ["notice", "notification", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related"]
     + ["reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored"]
-    + ["subscribe", "tags", "toolbar", "topbar", "widget", "widgets", "aside", "header"]
+    + ["subscribe", "tags", "teaser", "teasers", "toolbar", "topbar", "widget", "widgets", "aside", "header"]
 )
-# Words that keep an element although one of the above is there too, as in "post-header".
+# Words that name the text itself; beside a name like "post-header" they keep an element.
 MAIN = frozenset(["article", "body", "content", "entry", "main", "post", "story", "text", "title", "headline"])
+# Words that say something of the layout around an element, as in "has-sidebar".
+LAYOUT = frozenset(["has", "no", "with", "without", "type", "status", "format", "category", "tag"])
 ARTICLE_ROLES = frozenset(["main", "article"])
 HEADS = frozenset(["header"])
 
 
+def says_noise(names: str, strict: bool) -> bool:
+    """Whether class, id or role names mark something beside the text.
+
+    A name is judged by the place of its words: "newsletter-main" begins with what it is, "article-share" ends
+    with it, "post-header" heads the text, "has-sidebar" is about the layout.  A name that is nothing but
+    words for the text outweighs compounds, but not a plain "comment" or "ad".  With ``strict``, for
+    elements that mark an article, only the first word counts.
+    """
+    plain = compound = text = False
+    for name in names.split():
+        words = [w.lower() for w in PART.findall(name)]
+        words = [w for w in words if not w.isdigit()]
+        if not words or words[0] in LAYOUT:
+            continue
+        if all(w in MAIN for w in words):
+            text = True
+        elif all(w in NOISE for w in words):
+            plain = True
+        elif words[0] in NOISE or (not strict and words[-1] in NOISE and not (words[-1] in HEADS and words[0] in MAIN)):
+            compound = True
+    return plain or (compound and not text)
+
+
 class Lines:
     """The lines of a page with their weights, fed by tags and text in page order."""
 
@@ -114,14 +140,12 @@ class Lines:
             if top == name:
                 self.noise[-1] = (top, 1 if name in ("p", "li") else depth + 1)
             return
-        words = set()
-        if attributes:
-            for m in NAMES.finditer(attributes):
-                words.update(p.lower() for p in PART.findall(m[1] or m[2] or m[3] or ""))
+        found = [m[1] or m[2] or m[3] or "" for m in NAMES.finditer(attributes)] if attributes else []
+        words = {p.lower() for f in found for p in PART.findall(f)}
         article = name in ("article", "main") or bool(words & ARTICLE_ROLES and name in ("div", "section", "td"))
         noisy = name in ASIDE or (name in HEADS and not self.articles)
-        noisy = noisy or (bool(words & NOISE) and not words & MAIN and name not in ("html", "body", "article", "main"))
-        noisy = noisy or bool(words & {"comment", "comments", "related", "sidebar", "ad", "ads"} and name not in ("html", "body", "article", "main"))
+        if words and name not in ("html", "body"):
+            noisy = noisy or says_noise(" ".join(found), strict=name in ("article", "main"))
         if noisy or (attributes and HIDDEN.search(attributes) and name != "body"):
             if name not in BLOCKS:
                 self.text(" ")
@@ -223,8 +247,8 @@ def extract(page: str) -> str:
         return ""
     marked, weights = np.array(lines.marked), np.array(lines.weights)
     keep = main_region(weights)
-    if (keep & marked).any() or (marked.any() and not keep.any()):
-        # The text lies in what the page says is its article: that is its boundary, and short articles stay.
+    if marked.any() and weights[keep & marked].sum() >= weights[keep & ~marked].sum():
+        # Most of the text lies in what the page says is its article: that is its boundary, and short articles stay.
         keep = marked
     else:
         keep = extended(keep, weights, np.array(lines.containers), np.array(lines.parts)) | marked
