@@ -101,6 +101,7 @@ class Lines:
         self.stack: list[tuple[str, bool, int]] = []
         # The container of each line (0 for the page), and how many noise blocks stand before it.
         self.containers: list[int] = []
+        self.parents: list[int] = [0]
         self.parts: list[int] = []
         self.seen = self.breaks = 0
 
@@ -157,11 +158,14 @@ class Lines:
             self.links = 1
         elif article:
             self.articles += 1
-            self.seen += 1
-            self.stack.append((name, True, self.seen))
+            self.contain(name, True)
         elif name in ("div", "section", "td"):
-            self.seen += 1
-            self.stack.append((name, False, self.seen))
+            self.contain(name, False)
+
+    def contain(self, name: str, article: bool) -> None:
+        self.parents.append(self.stack[-1][2] if self.stack else 0)
+        self.seen += 1
+        self.stack.append((name, article, self.seen))
 
     def end(self, name: str) -> None:
         if name in BLOCKS:
@@ -231,11 +235,27 @@ def main_region(weights: np.ndarray, window: int = WINDOW, least: int = LEAST) -
     return keep
 
 
-def extended(keep: np.ndarray, weights: np.ndarray, containers: np.ndarray, parts: np.ndarray) -> np.ndarray:
-    """``keep`` with the text lines of its containers, and the adjoining ones up to the next noise or link line."""
+def extended(keep: np.ndarray, weights: np.ndarray, containers: np.ndarray, parts: np.ndarray, parents: list[int]) -> np.ndarray:
+    """``keep`` with the text lines of its containers, of the smallest one around all of it and of those inside them.
+
+    Then come the adjoining text lines, up to the next noise or link line.
+    """
     text = weights > 0
-    inside = np.unique(containers[keep & (containers > 0)])
-    keep = keep | (text & np.isin(containers, inside))
+    inside = np.zeros(len(parents), bool)
+    common = -1
+    for container in np.unique(containers[keep]).tolist():
+        inside[container] = True
+        # A container has a higher number than the one around it.
+        while common >= 0 and container != common:
+            container, common = (parents[container], common) if container > common else (container, parents[common])
+        common = container
+    if common >= 0:
+        inside[common] = True
+    # The page itself is no container.
+    inside[0] = False
+    for container, parent in enumerate(parents):
+        inside[container] |= inside[parent]
+    keep = keep | (text & inside[containers])
     run = np.cumsum(np.concatenate(([True], (np.diff(parts) != 0) | ~text[1:] | ~text[:-1])))
     return keep | (text & np.isin(run, run[keep & text]))
 
@@ -251,7 +271,7 @@ def extract(page: str) -> str:
         # Most of the text lies in what the page says is its article: that is its boundary, and short articles stay.
         keep = marked
     else:
-        keep = extended(keep, weights, np.array(lines.containers), np.array(lines.parts)) | marked
+        keep = extended(keep, weights, np.array(lines.containers), np.array(lines.parts), lines.parents) | marked
         if not keep.any():
             keep = weights > 0
     return "\n".join(t for t, k in zip(lines.texts, keep.tolist()) if k)
