@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -25,10 +25,10 @@ def row_facts(keys: Sequence[str]) -> dict[str, Column]:
     return {"n_rows": F.count(F.lit(1)), "digest": F.sum(F.xxhash64(*[col(k) for k in keys]).cast("decimal(20,0)"))}
 
 
-def watch(df: DataFrame, facts: dict[str, Column]) -> Watched:
-    """``df`` written to the checkpoint folder, with the aggregates ``facts`` of the same pass."""
+def watch(df: DataFrame, facts: dict[str, Column], write: Callable[[DataFrame], DataFrame] = cut_lineage) -> Watched:
+    """``df`` as ``write`` stores it, with the aggregates ``facts`` of the same pass."""
     seen = Observation()
-    table = cut_lineage(df.observe(seen, *[fact.alias(name) for name, fact in facts.items()]))
+    table = write(df.observe(seen, *[fact.alias(name) for name, fact in facts.items()]))
     return Watched(table, seen.get)
 
 

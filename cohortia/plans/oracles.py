@@ -397,6 +397,16 @@ tests AS (SELECT variable, CASE WHEN MAX(df) > 0 THEN SUM((n - e) * (n - e) / e)
 SELECT variable, level, split, n, round(100.0 * n / split_n, 6) AS percent, df, round(chi2, 6) AS chi2
 FROM cells JOIN tests USING (variable)"""
 
+# Three splits give tails in closed form: of F with two degrees of freedom above, of chi-square with an even number.
+SQL["table_one_p_values"] = f"""WITH means AS ({SQL["table_one_continuous"].replace("round(f_stat, 6)", "f_stat")}),
+levels AS ({SQL["table_one_categorical"].replace("round(chi2, 6)", "chi2")})
+SELECT DISTINCT variable, round(CASE WHEN df1 = 2 THEN pow(df2 / (df2 + 2 * f_stat), df2 / 2.0) END, 6) AS p_value
+FROM means WHERE variable IN ('HAQ0', 'CDAI0', 'Weight')
+UNION
+SELECT variable, round(CASE WHEN df % 2 = 0 THEN
+         exp(-chi2 / 2) * list_sum(list_transform(range(df // 2), lambda i: pow(chi2 / 2, i) / gamma(i + 1))) END, 6)
+FROM levels WHERE variable IN ({", ".join(f"'{c}'" for c in CATEGORICAL)})"""
+
 # --- metrics
 
 CELLS = """cells AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from ..operators import correction as corr
 from ..operators import eligibility as elig
 from ..operators import checks, encode, explain, metrics, profile, report, split, visits
 from ..operators.evaluate import evaluate, summary_rows, train_threshold
-from ..session import cut_lineage
+from ..session import bucketed, cut_lineage
 from ..sources.tables import ExportConfig, append_metrics, export, save_model
 
 # Sites, dates, years and drugs of the registry study.
@@ -118,14 +119,16 @@ def prepare(cohort: DataFrame, settings: StudySettings) -> tuple[DataFrame, Data
     """Readable rows and encoded rows, both with their split, aligned by row id.
 
     The cohort is written once to the checkpoint folder: profiling, levels, split and both
-    tables all read it again.  The rows of both tables are counted and compared in the passes that write them.
+    tables all read it again.  Both tables are bucketed by row id, so joins of them need no exchange, and their
+    rows are counted and compared in the passes that write them.
     """
     keys = [settings.row_id, "Code", TARGET]
     excluded = [name for name in settings.excluded_columns if name not in keys]
     readable = cut_lineage(profile.prune_columns(profile.drop_types(cohort), excluded))
     hold_out = split.HoldOut("Code", settings.external_sites)
     facts = checks.row_facts([settings.row_id, "split"])
-    seen = checks.watch(split.assign_split(readable, TARGET, settings.row_id, str(settings.seed), hold_out), facts)
+    by_row = partial(bucketed, key=settings.row_id)
+    seen = checks.watch(split.assign_split(readable, TARGET, settings.row_id, str(settings.seed), hold_out), facts, by_row)
     readable = seen.table
 
     one_hot = [name for name in settings.encoded_columns if name in readable.columns]
@@ -136,7 +139,7 @@ def prepare(cohort: DataFrame, settings: StudySettings) -> tuple[DataFrame, Data
     levels = encode.collect_levels(filled, [*one_hot, *ordinal])
     single = [name for name in one_hot if len(levels[name]) < 2]
     encoded = encode.one_hot(encode.ordinal_encode(filled, ordinal, levels), one_hot, levels).drop(*single)
-    finished = checks.watch(encode.nan_to_null(encoded), facts)
+    finished = checks.watch(encode.nan_to_null(encoded), facts, by_row)
     checks.same_rows(seen, finished)
     return readable, finished.table
 
@@ -237,10 +240,11 @@ def run_study(
         )
         params, rounds = chosen_params(results["tuning"])
     trees = fit_boost(train, features, TARGET, row_id, params, rounds, settings.seed)
-    scored = predict(encoded, trees, features, base_score=params.base_score, keep=keep)
-    # One scored frame with the readable group and baseline score serves all later tables.
-    facts = readable.select(row_id, GROUP, SCORE)
-    scored = cut_lineage(encode.align(scored, facts, row_id))
+    # One scored frame with the readable group and baseline score serves all later tables.  Rows meet their
+    # facts before they are scored, while both tables still lie in buckets by row id.
+    facts = readable.select(row_id, GROUP, F.col(SCORE).alias("baseline_score"))
+    scored = predict(encode.align(encoded, facts, row_id), trees, features, base_score=params.base_score, keep=[*keep, GROUP, "baseline_score"])
+    scored = cut_lineage(scored.withColumnRenamed("baseline_score", SCORE))
     threshold = train_threshold(metrics.ranked_scores(scored, TARGET, by=["split"]))
     results |= curves(scored, threshold)
     results["trees"] = trees
@@ -255,7 +259,7 @@ def run_study(
     results["subgroups"] = metrics.subgroup_metrics(beyond, threshold, GROUP, TARGET, by=["split"])
 
     # Attributions are kept as one array per row, with the group and score later steps ask for.
-    labelled = encode.align(train, facts.withColumnRenamed(SCORE, "baseline_score"), row_id)
+    labelled = encode.align(train, facts, row_id)
     wide = cut_lineage(shap_wide(labelled, trees, features, keep=[row_id, GROUP, "baseline_score"]))
     shap = long_form(wide, features)
     results["shap_top"] = explain.top_variables(shap)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def bucketed(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """``df`` written once into the shared folder, bucketed and sorted by ``key``.
+
+    Tables with the same key and number of buckets are joined on it without an exchange, and a lost
+    executor costs a bucket's file to read again.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    # Rows come to the writer by bucket, so each bucket is one file.
+    dealt = df.repartition(parts, f"`{key}`")
+    dealt.write.bucketBy(parts, key).sortBy(key).option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared folder; executor loss cannot undo it."""
     checkpoint_dir(df.sparkSession)

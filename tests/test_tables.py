@@ -12,7 +12,7 @@ from cohortia.operators import checks, explain
 from cohortia.operators.correction import apply_correction
 from cohortia.operators.eligibility import cohort_flow
 from cohortia.plans.study import StudySettings, run_study
-from cohortia.session import checkpoint_dir, cut_lineage
+from cohortia.session import bucketed, checkpoint_dir, cut_lineage
 from cohortia.sources import fixtures, tables
 
 
@@ -107,6 +107,23 @@ def test_repeated_corrections_are_reported(spark):
         apply_correction(baseline, fixes, repeated="drop")
 
 
+def test_bucketed_tables_meet_without_an_exchange(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = bucketed(spark.range(500).select(F.col("id").alias("row.id"), F.lit(1).alias("x")).repartition(3), "row.id")
+        right = bucketed(spark.range(250).select((F.col("id") * 2).alias("row.id"), F.col("id").alias("y")), "row.id")
+        watched = checks.watch(left.where("x = 1"), checks.row_facts(["row.id"]), lambda df: bucketed(df, "row.id"))
+        assert watched.seen["n_rows"] == 500
+        for one in (left, watched.table):
+            joined = one.join(right, ["row.id"])
+            assert joined.count() == 250
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_cut_lineage_uses_the_checkpoint_folder(spark):
     folder = checkpoint_dir(spark)
     assert checkpoint_dir(spark) == folder
