@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, col, whole_text
+from .common import buckets_for, col, free_name, stored, whole_text
 
-SHARD_CHARS = 3_000_000
+# Characters of the benchmark whose probes are held at once: some 40 MB on the driver's way to the workers.
+SHARD_CHARS = 500_000
 MULTIPLIER = 0x9E3779B97F4A7C15
 TABLE_BITS = 20
 REGION = "array<struct<item_id:long,start:long,end:long,edits:int>>"
@@ -204,7 +205,9 @@ def find_regions(
     times its length in edits.  Probes start so close that every verbatim passage of ``width`` characters
     is found, and every one a step longer within the edits of a probe.  Items under ``q`` characters and items without
     an id or text are left out; missing and empty texts have no regions; repeated rows are judged each.
-    The benchmark is sent in shares of at most ``SHARD_CHARS`` characters, one map over the rows each.
+    The benchmark is sent in shares of about ``SHARD_CHARS`` characters, one pass over the texts each.  A share
+    leaves the driver and the workers before the next one comes, so memory does not grow with the benchmark;
+    with several shares the regions found are written and joined to the rows by a hash of the text.
     """
     items = benchmark.where(col(item_col).isNotNull() & col(item_text_col).isNotNull()).select(
         col(item_col).cast("long").alias("item"), col(item_text_col).alias("text")
@@ -213,31 +216,49 @@ def find_regions(
     shares = buckets_for(size, SHARD_CHARS)
     if column in docs.columns:
         raise ValueError(f"the table has a column {column} already")
-    out = docs.withColumn(column, F.array().cast(REGION))
-    text_at, region_at = docs.columns.index(text_col), len(docs.columns)
-    schema = out.schema
+    text_at = docs.columns.index(text_col)
     share_of = F.pmod(F.xxhash64("item", "text"), F.lit(shares))
-    for share in range(shares):
+
+    def sent(share: int):
         part = sorted((r["item"], r["text"]) for r in items.where(share_of == share).collect())
-        sent = docs.sparkSession.sparkContext.broadcast(vars(make_probes(part, width, rate, q)))
+        return docs.sparkSession.sparkContext.broadcast(vars(make_probes(part, width, rate, q)))
+
+    def found(text: str | None, probes: Probes) -> list[dict]:
+        return [dict(zip(("item_id", "start", "end", "edits"), r)) for r in regions(text or "", probes)] if probes.texts else []
+
+    region_type = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())]))
+    if shares == 1:
+        only = sent(0)
+
+        def add(batches):
+            probes = Probes(**only.value)
+            for b in batches:
+                rows = [found(t, probes) for t in b.column(text_at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, region_type)], names=[*b.schema.names, column])
+
+        return docs.mapInArrow(add, docs.withColumn(column, F.array().cast(REGION)).schema)
 
-        def add(batches, sent=sent):
-            probes = Probes(**sent.value)
+    key = free_name(docs, "key")
+    texts = docs.select(F.sha2(whole_text(text_col), 256).alias("key"), whole_text(text_col).alias("text"))
+    parts = []
+    for share in range(shares):
+        here = sent(share)
+
+        def hits(batches, here=here):
+            probes = Probes(**here.value)
             for b in batches:
-                if not len(probes.texts):
-                    yield b
-                    continue
-                kind = b.schema.field(region_at).type
-                before = b.column(region_at).to_pylist()
-                rows = []
-                for text, known in zip(b.column(text_at).to_pylist(), before):
-                    new = [dict(zip(("item_id", "start", "end", "edits"), r)) for r in regions(text or "", probes)]
-                    rows.append((known or []) + new)
-                columns = [*b.columns[:region_at], pa.array(rows, kind)]
-                yield pa.RecordBatch.from_arrays(columns, schema=b.schema)
-
-        out = out.mapInArrow(add, schema)
-    return out
+                rows = [(k, r) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if (r := found(t, probes))]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([r for _, r in rows], region_type)], names=["key", "found"])
+
+        # Copies of a text have the same regions.
+        parts.append(stored(texts.mapInArrow(hits, f"key string, found {REGION}").groupBy("key").agg(F.first("found").alias("found")), "regions"))
+        here.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = every.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("found"))).alias(column))
+    joined = docs.withColumn(key, F.sha2(whole_text(text_col), 256)).hint("merge").join(every, key, "left")
+    return joined.select(*[col(c).alias(c) for c in docs.columns], F.coalesce(col(column), F.array().cast(REGION)).alias(column))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
