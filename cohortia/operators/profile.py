@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import heavy
 from ..functions.nulls import FLOATING, INTEGRAL, col, is_missing, nan_as_null
 
 MAX_LEVELS = 10
@@ -157,9 +158,17 @@ def near_zero_var(
     )
 
 
-def near_zero_names(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """Names of the columns to drop: metadata, at most one row per column."""
-    return [row["variable"] for row in near_zero_var(df, columns, prescreen=True).where("nzv").collect()]
+def near_zero_names(df: DataFrame, columns: Sequence[str], counters: int = heavy.COUNTERS) -> list[str]:
+    """Names of the columns to drop, in order: metadata, at most one row per column.
+
+    The verdict follows from each column's leading values, counted exactly; only columns that they leave
+    open have all their values counted.
+    """
+    columns = list(columns)
+    verdicts = {name: heavy.near_zero(found, FREQ_CUT, UNIQUE_CUT) for name, found in heavy.leading_values(df, columns, counters).items()}
+    open_ = [name for name, verdict in verdicts.items() if verdict is None]
+    verdicts |= {row["variable"]: row["nzv"] for row in near_zero_var(df, open_, prescreen=True).collect()}
+    return [name for name in columns if verdicts[name]]
 
 
 def drop_types(df: DataFrame, types: Sequence[type] = (T.DateType, T.TimestampType, T.TimestampNTZType)) -> DataFrame:
