@@ -162,7 +162,12 @@ def candidates(names: np.ndarray, octave: int, offset: int = 0) -> tuple[np.ndar
 def tiles(codes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """(octave, first, last, left, right): boundaries from ``first`` to before ``last`` are solved in words ``left`` to ``right``."""
     n = len(codes)
-    names, width = codes, 1
+    width = spacing(LOWEST)
+    names = block_names(codes, width)
+    # A run brings its first block again one period later; most texts bring none again.
+    ordered = np.sort(names)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return
     for octave in octaves(n):
         step = spacing(octave)
         while width < step:
@@ -322,6 +327,8 @@ def periodic_runs(
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "period", "start", "stop"])
 
+    # Solving costs far more than its bytes tell, so the tiles are dealt out anew.
+    tile = tile.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)
     fragments = tile.mapInArrow(solved, FRAGMENT)
     by_start = Window.partitionBy("key", "period").orderBy("start", "stop")
     so_far = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
