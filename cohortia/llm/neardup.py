@@ -42,7 +42,7 @@ EDGE = "a long, b long"
 RARE_BITS = 18
 # Parity bits of a shingle set.
 SKETCH = 512
-# Documents of one shingle compared by one task; more are cut into blocks that meet in pairs.
+# Documents of one shingle and side compared by one task; more are cut into blocks that meet in pairs.
 BLOCK = 1024
 PREFIX = "token long, id long, n int, place int, home long, bits binary"
 
@@ -286,13 +286,27 @@ def exact_rest(sets: DataFrame, percent: int, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["token", "id", "n", "place", "home", "bits"])
 
     first = stored(sets.select("id", "home", "shingles").mapInArrow(prefixes, PREFIX), "prefixes")
-    # A shingle on which one home alone stands joins nothing; a frequent one is cut into blocks.
-    shared = first.groupBy("token").agg(F.count(F.lit(1)).alias("times"), F.min("home").alias("low"), F.max("home").alias("high"))
-    shared = shared.where("low < high").select("token", F.ceil(F.col("times") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    crossing = first.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    crossing = crossing.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    crossing = crossing.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")})
-    crossing = crossing.select("token", "p", "q", "id", "n", "place", "home", "own", "bits")
+    # A shingle on which one home alone stands joins nothing.  Of the others the largest home is cut into blocks
+    # that meet those of all other homes, never each other; these meet among themselves too.
+    by_home = first.groupBy("token", "home").agg(F.count(F.lit(1)).alias("times"))
+    shared = by_home.groupBy("token").agg(F.sum("times").alias("times"), F.max(F.struct("times", "home")).alias("most"), F.count(F.lit(1)).alias("homes"))
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    shared = shared.where("homes > 1").select(
+        "token", F.col("most.home").alias("main"), blocks(F.col("most.times")).alias("mains"), blocks(F.col("times") - F.col("most.times")).alias("others")
+    )
+    crossing = first.join(shared, "token").withColumn("side", F.when(F.col("home") == F.col("main"), F.lit(0)).otherwise(F.lit(1)))
+    spread = F.pmod(F.xxhash64("id"), F.when(F.col("side") == 0, F.col("mains")).otherwise(F.col("others"))).cast("int")
+    crossing = crossing.withColumn("block", spread)
+    # Place (-1 - i, j): block i of the main home and block j of the others, told apart by the side; (i, j): two blocks of others.
+    place = lambda p, q, own: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), own.cast("int").alias("own"))
+    every = lambda n, of: F.transform(F.sequence(F.lit(0), F.col(n) - 1), of)
+    block = F.col("block")
+    as_main = every("others", lambda j: place(-1 - block, j, F.lit(-1)))
+    to_main = every("mains", lambda i: place(-1 - i, block, F.lit(-2)))
+    to_others = every("others", lambda j: place(F.least(block, j), F.greatest(block, j), block))
+    places = F.when(F.col("side") == 0, as_main).otherwise(F.concat(to_main, to_others))
+    crossing = crossing.select("token", "id", "n", "place", "home", "bits", F.explode(places).alias("at"))
+    crossing = crossing.select("token", "at.p", "at.q", "id", "n", "place", "home", "at.own", "bits")
     crossing = crossing.repartition(parts, "token", "p", "q").sortWithinPartitions("token", "p", "q")
 
     def compare(batches):

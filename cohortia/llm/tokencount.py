@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import cache, cached_property
+from functools import cached_property
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +31,12 @@ from .common import col, process_cache, whole_text
 SPACES = "\t\n\x0b\x0c\r \x85\xa0                　"
 # The endings that the split pattern keeps apart, with the apostrophe before them.
 ENDINGS = "s|t|re|ve|m|ll|d"
+# The kinds of characters: letters, numbers, others.
+KINDS = {"L": r"\p{L}", "N": r"\p{N}", "O": rf"[^{SPACES}\p{{L}}\p{{N}}]"}
 CHUNK = 32_768
 # What a worker keeps: pairs of tokens judged, and counts of pieces.  Beyond these bounds it starts anew.
-MOST_TRANSITIONS = 200_000
-MOST_PATHS = 120_000
+MOST_TRANSITIONS = 400_000
+MOST_PATHS = 200_000
 # Stands for the token before the first one.
 START = (1 << 20) - 1
 # Positions of a piece that are remembered at once; longer than any token.
@@ -43,20 +45,6 @@ SPAN = 4096
 FANOUT = 64
 
 
-@cache
-def class_of(kind: str) -> str:
-    """The characters of a Unicode category as ranges of an expression's character class."""
-    out, start = [], None
-    for point in range(0x110001):
-        inside = point < 0x110000 and unicodedata.category(chr(point))[0] == kind
-        if inside and start is None:
-            start = point
-        elif not inside and start is not None:
-            out.append(f"\\U{start:08x}-\\U{point - 1:08x}")
-            start = None
-    return "".join(out)
-
-
 def byte_names() -> dict[str, int]:
     """The printable stand-in of every byte in the vocabulary files."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -248,28 +236,23 @@ class Transducer:
         return Paths(Merges(list(model["vocab"]), model["merges"]).count)
 
     @cached_property
-    def kinds(self) -> dict[str, str]:
-        letter, number = class_of("L"), class_of("N")
-        return {"L": f"[{letter}]", "N": f"[{number}]", "O": f"[^{SPACES}{letter}{number}]"}
-
-    @cached_property
-    def pieces(self) -> re.Pattern:
-        letter, number, other = self.kinds.values()
-        return re.compile(f"'(?:{ENDINGS})| ?{letter}+| ?{number}+| ?{other}+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+    def pieces(self) -> regex.Pattern:
+        letter, number, other = KINDS.values()
+        return regex.compile(f"'(?:{ENDINGS})| ?{letter}+| ?{number}+| ?{other}+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
     @cached_property
-    def boundary(self) -> re.Pattern:
+    def boundary(self) -> regex.Pattern:
         """Where every text is split, whatever stands around.
 
         Before white space, and where the kind of character changes, but for an apostrophe before a letter
         and what may be the inside of a special string.
         """
-        kinds = self.kinds
+        kinds = KINDS
         inside = f"[{re.escape(self.inside)}]"
         apart = f"(?:(?<!{inside})|(?!{inside}))" if self.inside else ""
         change = [f"(?<={kinds[a]})(?={kinds[b]})" for a, b in ("LN", "LO", "NL", "NO", "ON")]
         change.append(f"(?<={kinds['O']})(?<!')(?={kinds['L']})")
-        return re.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])|{apart}(?:{'|'.join(change)})")
+        return regex.compile(f"(?<=[^{SPACES}])(?=[{SPACES}])|{apart}(?:{'|'.join(change)})")
 
     def plain(self, text: str) -> int:
         """Tokens of a text without special strings: the sum over the pieces of the split pattern."""
