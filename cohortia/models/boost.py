@@ -256,26 +256,21 @@ class Boosting:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for m, at, bins, g, h in reader(batches):
                 own = bins[:, columns[m]]
+                # One row per batch and node, which holds the bytes of many.
                 for i in np.unique(at[at >= 0]).tolist():
                     here = at == i
-                    parts = [pack(x[here]) for x in (own, g.astype(np.int64)[:, None], h.astype(np.int64)[:, None])]
+                    parts = [own[here], g[here].astype(np.int64), h[here].astype(np.int64)]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(parts[0]), m, np.int32)),
-                            pa.array(np.full(len(parts[0]), small[m][i], np.int32)),
-                            *parts,
-                        ],
+                        [pa.array([m], pa.int32()), pa.array([small[m][i]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]],
                         names=["model", "node", "bins", "g", "h"],
                     )
 
         def grow(rows: pa.Table) -> pa.Table:
-            rows = rows.combine_chunks()
             m, node = rows.column("model")[0].as_py(), rows.column("node")[0].as_py()
             bins, g, h = (
-                packed(rows.column(name).chunk(0), kind, rows.num_rows)
-                for name, kind in (("bins", np.uint8), ("g", np.int64), ("h", np.int64))
+                np.frombuffer(b"".join(rows.column(name).to_pylist()), kind) for name, kind in (("bins", np.uint8), ("g", np.int64), ("h", np.int64))
             )
-            found = grow_subtree(bins, g[:, 0], h[:, 0], node, columns[m], fits[m].params, missing)
+            found = grow_subtree(bins.reshape(len(g), -1), g, h, node, columns[m], fits[m].params, missing)
             return pa.table(
                 {name: pa.array([m] * len(found) if name == "model" else [r[name] for r in found], kind) for name, kind in SPLIT_FIELDS}
             )

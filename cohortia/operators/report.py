@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import col, flag, is_missing
 from ..functions.tails import chi_square_tail, f_tail
+from ..session import cut_lineage
 from .profile import value_counts
 
 
@@ -80,13 +81,14 @@ def table_one_categorical(
     The strata are those of the data unless given.  Missing values and rows without a stratum take
     no part.  Two levels in two strata get the continuity correction.
     """
+    # One row per level and stratum, written once: the strata, the table and the tests all come from it.
+    every = cut_lineage(value_counts(df, columns, by=[strata]))
     if values is None:
-        found = df.where(col(strata).isNotNull()).select(col(strata).cast("string").alias("value")).distinct()
-        values = sorted(row["value"] for row in found.collect())
+        values = sorted(row["value"] for row in every.where(col(strata).isNotNull()).select(col(strata).cast("string").alias("value")).distinct().collect())
     values = list(values)
     if not values:
         raise ValueError(f"no row has a {strata}")
-    counts = value_counts(df, columns, by=[strata]).where(F.col("value").isNotNull())
+    counts = every.where(F.col("value").isNotNull())
     table = counts.groupBy("variable", F.col("value").alias("level")).pivot(strata, values).agg(F.sum("n"))
     table = table.na.fill(0, values)
     totals = table.groupBy("variable").agg(
