@@ -327,8 +327,6 @@ def periodic_runs(
                 kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "period", "start", "stop"])
 
-    # Solving costs far more than its bytes tell, so the tiles are dealt out anew.
-    tile = tile.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)
     fragments = tile.mapInArrow(solved, FRAGMENT)
     by_start = Window.partitionBy("key", "period").orderBy("start", "stop")
     so_far = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
