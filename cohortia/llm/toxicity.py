@@ -194,7 +194,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
 
     The rows are those with a label whose id is not held out, the first by a hash of the id.  A repeated
     id counts as toxic if any of its labels says so.  A lexicon entry needs a log-likelihood ratio of
-    ``least``; all that pass are taken.  The ``most_voters`` strongest are voters of their own, the
+    ``least``; all that pass are taken.  Labels without an id or value are left out, and so are ids without a
+    document; a missing text counts as empty.  The ``most_voters`` strongest are voters of their own, the
     others speak together as one more.  Without labelled rows of both kinds the model
     gives every text the share of toxic ones (0 without labels).
     """
@@ -295,7 +296,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 30_000, mos
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", column: str = "score") -> DataFrame:
-    """``docs`` with ``column``: the score of each text, empty and missing ones included."""
+    """``docs`` with ``column``: the score of each text, empty and missing ones included.
+
+    A column of that name in ``docs`` is replaced; other columns stay.  Repeated rows get the same score each, a
+    row's id may be missing, and an empty table stays empty.
+    """
     kept = [c for c in docs.columns if c != column]
     given = docs.select(*[col(c).alias(c) for c in kept])
     at = kept.index(text_col)
