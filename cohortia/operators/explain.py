@@ -30,8 +30,12 @@ def top_shap_long(shap: DataFrame, n: int = TOP_N) -> DataFrame:
 
 
 def attach_group(shap: DataFrame, groups: DataFrame, on: str = "row_id", group: str = "treatment_group") -> DataFrame:
-    """Attributions with the row's group; rows without one are left out."""
-    return shap.join(groups.where(F.col(group).isNotNull()).select(on, group), on)
+    """Attributions with the row's group; rows without one are left out.
+
+    Both tables grow with the rows, and the long one is larger than the file sizes behind it tell, so
+    neither may go through the driver as a broadcast.
+    """
+    return shap.join(groups.where(F.col(group).isNotNull()).select(on, group).hint("merge"), on)
 
 
 def drop_prefix(shap: DataFrame, prefix: str) -> DataFrame:
