@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortia.models.boost import Boosting, Fit
+from cohortia.models.params import BoostParams
 from cohortia.operators import explain
 
 
@@ -21,3 +23,56 @@ def test_attributions_meet_their_groups_without_a_broadcast(spark):
             want[str(g), rank] = (name, means[name])
     assert found == want
     assert "Broadcast" not in ranked._jdf.queryExecution().executedPlan().toString()
+
+
+def training(spark, n=300):
+    x = F.col("id")
+    return spark.range(n).select(
+        x.alias("row_id"), (x * 7 % 13 + x % 3 > 7).cast("int").alias("y"), (x * 7 % 13).cast("double").alias("a"),
+        (x % 3).cast("double").alias("b.x"), F.when(x % 5 != 0, x * 11 % 17).cast("double").alias("c"), (x % 2).cast("int").alias("k"),
+    )
+
+
+def test_a_level_reads_the_rows_once(spark):
+    """The histograms of the levels above are kept, not added up again from the rows at each level."""
+    params = BoostParams(eta=0.3, max_depth=4, min_child_weight=0.1)
+    job = Boosting(training(spark), ["a", "b.x", "c"], "y", "row_id", [Fit(0, params)], 5, grow_rows=0)
+    tasks, levels, add_up = spark.sparkContext.accumulator(0), [], job._histograms
+
+    def counted(growing, nodes):
+        levels.append(nodes)
+        found = add_up(growing, nodes)
+
+        def tally(batches):
+            tasks.add(1)
+            yield from batches
+
+        return found.mapInArrow(tally, found.schema)
+
+    job._histograms = counted
+    job.run(2)
+    assert len(levels) >= 6
+    assert tasks.value == len(levels) * job.rows.rdd.getNumPartitions()
+    job.close()
+
+
+def test_tasks_send_each_held_out_score_once(spark, monkeypatch):
+    """Counts of equal scores are added up over the batches of a task, and stay right where they are sent in parts."""
+    from cohortia.models import boost
+
+    fits = [Fit(k, BoostParams(eta=0.3, max_depth=2, min_child_weight=0.1), k) for k in (0, 1)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        job = Boosting(training(spark), ["a", "b.x", "c"], "y", "row_id", fits, 5, "k")
+        job.run(2)
+        parts = job.held_out_parts().withColumn("task", F.spark_partition_id()).collect()
+        keys = [(r["task"], r["model"], r["round"], r["score"]) for r in parts]
+        assert len(keys) == len(set(keys))
+        assert all(sum(r["pos"] + r["neg"] for r in parts if (r["model"], r["round"]) == (m, t)) == 150 for m in (0, 1) for t in (1, 2))
+        whole = sorted(map(tuple, job.held_out_counts().collect()))
+        monkeypatch.setattr(boost, "SEND_ROWS", 5)
+        assert sorted(map(tuple, job.held_out_counts().collect())) == whole
+        job.close()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
