@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from cohortia.models.boost import Boosting, Fit
+from cohortia.models import boost
+from cohortia.models.boost import Boosting, Fit, Sums
 from cohortia.models.params import BoostParams
 from cohortia.operators import explain
 
@@ -76,3 +78,58 @@ def test_tasks_send_each_held_out_score_once(spark, monkeypatch):
         job.close()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_round_descends_one_earlier_tree(spark, monkeypatch):
+    """Margins of a model grown alone are moved on each round; the jobs of a round descend the tree they grow, no others."""
+    calls, descend = spark.sparkContext.accumulator(0), boost.descend
+
+    def counted(bins, tree):
+        calls.add(1)
+        return descend(bins, tree)
+
+    monkeypatch.setattr(boost, "descend", counted)
+    job = Boosting(training(spark), ["a", "b.x", "c"], "y", "row_id", [Fit(0, BoostParams(eta=0.3, max_depth=2, min_child_weight=0.1))], 5, grow_rows=0)
+    jobs, add_up = [], job._histograms
+    job._histograms = lambda *nodes: jobs.append(nodes) or add_up(*nodes)
+    job.run(5)
+    blocks = job.rows.count()
+    assert calls.value == blocks * (len(jobs) + 4)
+    job.close()
+
+
+def test_trees_do_not_depend_on_where_histograms_meet(spark, monkeypatch):
+    """All by the driver, all in a shuffle, and the first levels here, the others there."""
+    params, names = BoostParams(eta=0.3, max_depth=4, min_child_weight=0.1), ["a", "b.x", "c"]
+    # What four tasks send for one node.
+    part = 4 * 3 * 3 * 8 * 65
+    grown = []
+    for most in (1 << 20, 0, part):
+        monkeypatch.setattr(boost, "GATHER_BYTES", most)
+        job = Boosting(training(spark), names, "y", "row_id", [Fit(0, params)], 5, grow_rows=0)
+        assert job.parts == job.rows.rdd.getNumPartitions() == 4
+        job.run(2)
+        grown.append(sorted(map(tuple, job.tree_rows().collect()), key=lambda r: r[:3]))
+        job.close()
+    assert grown[0] == grown[1] == grown[2] and max(row[2] for row in grown[0]) >= 8
+
+
+def test_tasks_that_grow_nodes_get_like_shares(spark):
+    """The nodes of each task are chosen by their rows, not by a hash."""
+    job = Boosting(training(spark), ["a"], "y", "row_id", [Fit(0, BoostParams())], 5)
+    sizes = {(0, node): rows for node, rows in zip(range(8, 17), (900, 100, 500, 400, 300, 300, 200, 250, 50), strict=True)}
+    tasks, task_of = job._shares(sizes)
+    assert tasks == spark.sparkContext.defaultParallelism == 4
+    loads = [sum(rows for key, rows in sizes.items() if task_of[key] == task) for task in range(tasks)]
+    assert sum(loads) == 3000 and max(loads) == 900
+    assert job._shares({(0, 1): 300}) == (1, {(0, 1): 0})
+    job.close()
+
+
+def test_sums_of_curvature_and_rows_stay_apart():
+    """Both are kept in one number, also where curvature is as large as can be on every row."""
+    n = boost.COUNT_ROWS // 2
+    sums, cell = Sums(1, 2), np.zeros(n, np.int64)
+    for sign in (1, -1, 1, 1, 1):
+        sums.add([cell], np.full(n, sign * boost.GRID_UNIT, np.int32), np.full(n, boost.GRID_UNIT // 4, np.int32))
+    assert sums.cells().tolist() == [[[3 * n * boost.GRID_UNIT, 0]], [[5 * n * boost.GRID_UNIT // 4, 0]], [[5 * n, 0]]]
